@@ -1,8 +1,9 @@
-"""Reliable checkpoints for iterative operators, and size-checked broadcasts."""
+"""Reliable lineage cuts for iterative operators, and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,21 +27,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Below this measured size a table is read as one partition, so joins and
+#: aggregations among such tables need no shuffle at all.
+ONE_PARTITION_BYTES = 4 * 1024 * 1024
+
+
 class Stage:
-    """A checkpointed DataFrame together with figures measured while it was written."""
+    """A written DataFrame together with figures measured while it was written."""
 
     def __init__(self, df: DataFrame, figures: dict):
-        self.df = df
         self.figures = figures
         self.rows = figures["_rows"]
         self.bytes = (figures["_text"] or 0) + 16 * len(df.columns) * self.rows
+        self.tiny = self.bytes <= ONE_PARTITION_BYTES
+        self.df = df.coalesce(1) if self.tiny else df
 
     def __getitem__(self, name: str):
         return self.figures[name]
 
-    def small(self, extra_bytes: int = 0) -> DataFrame:
-        """The DataFrame, hinted for broadcast only when its measured size allows it."""
-        return F.broadcast(self.df) if self.bytes + extra_bytes <= BROADCAST_BYTES else self.df
+    def small(self, other: Stage | None = None) -> DataFrame:
+        """The DataFrame as the smaller side of a join, hinted as its measured size allows.
+
+        Two one-partition tables are hash-joined where they are; otherwise the side is
+        broadcast up to ``BROADCAST_BYTES`` and shuffled beyond.
+        """
+        if self.tiny and other is not None and other.tiny:
+            return self.df.hint("shuffle_hash")
+        return F.broadcast(self.df) if self.bytes <= BROADCAST_BYTES else self.df
 
 
 def _text_bytes(df: DataFrame):
@@ -54,17 +67,20 @@ def _text_bytes(df: DataFrame):
                 if inner.dataType.typeName() == "string":
                     total = total + F.coalesce(F.octet_length(f"{field.name}.{inner.name}"), F.lit(0))
         elif kind == "array":
-            total = total + F.coalesce(F.size(field.name), F.lit(0)) * 32
+            total = total + F.coalesce(F.size(field.name), F.lit(0)) * 64
     return F.sum(total)
 
 
 def cut(df: DataFrame, **figures) -> Stage:
-    """Write ``df`` to the checkpoint folder in one job and measure it on the way.
+    """Write ``df`` as a table into the checkpoint folder in one job and measure it on the way.
 
-    ``figures`` are extra aggregate columns observed in the same job, so a loop
-    learns whether anything changed without a second action.
+    Reading the table back gives a plan with no history at all: a lost executor costs a
+    re-read, and neither constraints nor orderings pile up over the rounds of a loop.
+    ``figures`` are extra aggregate columns observed in the same job, so a loop learns
+    whether anything changed without a second action.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/seqnet-{uuid.uuid4().hex}"
     seen = Observation()
     watched = df.observe(
         seen,
@@ -72,5 +88,10 @@ def cut(df: DataFrame, **figures) -> Stage:
         _text_bytes(df).alias("_text"),
         *[value.alias(name) for name, value in figures.items()],
     )
-    saved = watched.checkpoint(eager=True)
-    return Stage(saved, seen.get)
+    watched.write.option("compression", "lz4").parquet(path)
+    return Stage(spark.read.schema(df.schema).parquet(path), seen.get)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, for plans that read it several times."""
+    return cut(df).df
