@@ -11,10 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqnet.operators.graph import hops, reachable_subgraph
-from seqnet.operators.network import PAIR, node_strength, nodes_of, observed_edges
+from seqnet.operators.graph import reachable_subgraph
+from seqnet.operators.network import PAIR, node_strength, observed_edges
 from seqnet.plans.lineage import Stage, cut
-from seqnet.plans.ordering import CHUNK, neighbours, with_chunks
+from seqnet.plans.ordering import neighbours, with_chunks
 
 # Names that mark a start node, and the directions of poly-tree edges.
 START_NAMES = ["SOURCE", "START"]
@@ -158,25 +158,25 @@ def dominant_path(tree: DataFrame) -> DataFrame:
 # --- maximum rooted branching -------------------------------------------------
 
 
-def _cycles(best: Stage) -> tuple[DataFrame, int]:
-    """``graph_id, node, rep`` of nodes on cycles of the best-in-edge map, and their number."""
-    state = cut(best.df.select("graph_id", F.col("d").alias("node"), F.col("b.s").alias("to"), F.col("d").alias("low")))
+def cycle_members(pointers: DataFrame) -> Stage:
+    """``graph_id, node, rep`` of the nodes on cycles of ``graph_id, node, to``, one ``rep`` per cycle.
+
+    Pointers are doubled until every row has left the map or must stand on a cycle.
+    """
+    state = cut(pointers.select("graph_id", "node", "to", F.col("node").alias("low")))
     reach = 1
-    while True:
+    while state.rows and reach < state.rows:
         table = state.df
         for _ in range(2):
             ahead = table.select("graph_id", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
-            # A pointer at a node without parent stays out: such rows have reached the root.
+            # Rows that point at a node without a pointer of its own are on no cycle.
             table = table.join(ahead, ["graph_id", "to"]).select(
                 "graph_id", "node", F.col("_to").alias("to"), F.least("low", "_low").alias("low")
             )
         state = cut(table)
         reach *= 4
-        if not state.rows or reach >= state.rows:
-            break
     on_cycle = state.df.select("graph_id", F.col("to").alias("node")).distinct()
-    members = state.df.join(on_cycle, ["graph_id", "node"], "left_semi").select("graph_id", "node", F.col("low").alias("rep"))
-    return members, state.rows
+    return cut(state.df.join(on_cycle, ["graph_id", "node"], "left_semi").select("graph_id", "node", F.col("low").alias("rep")))
 
 
 def max_rooted_branching(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -198,10 +198,10 @@ def max_rooted_branching(edges: DataFrame, roots: DataFrame | None = None) -> Da
     rounds = []
     while True:
         best = cut(arcs.df.groupBy("graph_id", "d").agg(F.min(pick).alias("b")))
-        members, size = _cycles(best)
-        if not size:
+        members = cycle_members(best.df.select("graph_id", F.col("d").alias("node"), F.col("b.s").alias("to")))
+        if not members.rows:
             break
-        member = cut(members.join(best.df.withColumnRenamed("d", "node"), ["graph_id", "node"]))
+        member = cut(members.small(best).join(best.df.withColumnRenamed("d", "node"), ["graph_id", "node"]))
         rounds.append(member)
         rep = member.small()
         into = rep.select("graph_id", F.col("node").alias("d"), F.col("rep").alias("_d"), (-F.col("b.nw")).alias("_w"))
@@ -349,14 +349,16 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
     ways = cut(
         forest.select(
             "graph_id",
+            "weight",
             F.inline(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))),
         )
     )
-    turned = neighbours(with_chunks(ways.df.withColumn("_order", F.col("b")), ["graph_id", "a"], "_order"), ["graph_id", "a"], [F.col("b")], "b", position=False)
+    turned = with_chunks(ways.df.withColumn("_order", F.col("b")), ["graph_id", "a"], "_order")
+    turned = neighbours(turned, ["graph_id", "a"], [F.col("b")], "b", position=False)
     first = cut(ways.df.groupBy("graph_id", "a").agg(F.min("b").alias("_first")))
     # The arc that enters ``a`` from ``b`` goes on to the neighbour of ``a`` after ``b``.
     tour = turned.join(first.small(), ["graph_id", "a"]).select(
-        "graph_id", F.col("b").alias("a"), F.col("a").alias("b"), F.col("a").alias("na"), F.coalesce("next", "_first").alias("nb")
+        "graph_id", "weight", F.col("b").alias("a"), F.col("a").alias("b"), F.col("a").alias("na"), F.coalesce("next", "_first").alias("nb")
     )
     begin = starts.select("graph_id", F.col("node").alias("a")).join(first.df, ["graph_id", "a"])
     begin = cut(begin.select("graph_id", F.col("a").alias("_sa"), F.col("_first").alias("_sb")))
@@ -364,7 +366,7 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
     ends = (F.col("na") == F.col("_sa")) & (F.col("nb") == F.col("_sb"))
     closed = F.coalesce(ends, F.lit(False))
     state = cut(
-        tour.select("graph_id", "a", "b", F.when(~closed, F.col("na")).alias("na"), F.when(~closed, F.col("nb")).alias("nb"), F.when(closed, 0).otherwise(1).cast("long").alias("left"))
+        tour.select("graph_id", "weight", "a", "b", F.when(~closed, F.col("na")).alias("na"), F.when(~closed, F.col("nb")).alias("nb"), F.when(closed, 0).otherwise(1).cast("long").alias("left"))
     )
     reach = 1
     while True:
@@ -372,7 +374,7 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
         for _ in range(2):
             ahead = table.select("graph_id", F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("_na"), F.col("nb").alias("_nb"), F.col("left").alias("_left"))
             table = table.join(ahead, ["graph_id", "na", "nb"], "left").select(
-                "graph_id", "a", "b", F.col("_na").alias("na"), F.col("_nb").alias("nb"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")
+                "graph_id", "weight", "a", "b", F.col("_na").alias("na"), F.col("_nb").alias("nb"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")
             )
         state = cut(table, open=F.count_if(F.col("na").isNotNull()))
         reach *= 4
@@ -383,8 +385,8 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
     return (
         state.df.filter("na is null")
         .groupBy("graph_id", low.alias("_lo"), high.alias("_hi"))
-        .agg(F.max_by(F.struct("a", "b"), "left").alias("down"))
-        .select("graph_id", F.col("down.a").alias("src"), F.col("down.b").alias("dst"), F.lit(1.0).alias("weight"))
+        .agg(F.max_by(F.struct("a", "b", "weight"), "left").alias("down"))
+        .select("graph_id", F.col("down.a").alias("src"), F.col("down.b").alias("dst"), "down.weight")
     )
 
 
