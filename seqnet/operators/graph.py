@@ -33,17 +33,17 @@ def hops(edges: DataFrame, starts: DataFrame, directed: bool = True) -> Stage:
     """Least number of edges from the start nodes: ``graph_id, node, level`` of all reached nodes."""
     arcs = cut(arcs_of(edges, directed))
     state = cut(starts.select("graph_id", "node", F.lit(0).cast("long").alias("level")).distinct())
-    depth = 0
+    depth, steps = 0, 3 if arcs.tiny else 1
     while True:
         table = state.df
-        for step in (depth, depth + 1):
-            edge_side = arcs.small().withColumnRenamed("src", "node")
+        for step in range(depth, depth + steps):
+            edge_side = arcs.small(state).withColumnRenamed("src", "node")
             reached = table.filter(F.col("level") == step).join(edge_side, ["graph_id", "node"]).select(
                 "graph_id", F.col("dst").alias("node"), F.lit(step + 1).cast("long").alias("level")
             )
             table = table.unionByName(reached).groupBy("graph_id", "node").agg(F.min("level").alias("level"))
-        before, state = state.rows, cut(table, last=F.max("level"))
-        depth += 2
+        before, state = state.rows, cut(table, arcs.tiny, last=F.max("level"))
+        depth += steps
         if state.rows == before or (state["last"] or 0) < depth:
             return state
 
@@ -68,13 +68,14 @@ def reachable_all(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def cyclic_core(edges: DataFrame) -> Stage:
     """What is left after nodes without incoming or without outgoing edges are peeled off."""
     state = cut(edges.select(*PAIR).distinct())
+    tiny = state.tiny
     while state.rows:
         table = state.df
-        for _ in range(2):
+        for _ in range(2 if tiny else 1):
             entered = table.select("graph_id", F.col("dst").alias("src")).distinct()
             left = table.select("graph_id", F.col("src").alias("dst")).distinct()
             table = table.join(entered, ["graph_id", "src"], "left_semi").join(left, ["graph_id", "dst"], "left_semi")
-        before, state = state.rows, cut(table.select(*PAIR))
+        before, state = state.rows, cut(table.select(*PAIR), tiny)
         if state.rows == before:
             break
     return state
@@ -96,22 +97,24 @@ def component_labels(edges: DataFrame) -> DataFrame:
     """
     labels = nodes_of(edges).withColumn("component", F.col("node"))
     arcs = cut(arcs_of(edges, directed=False))
+    tiny = arcs.tiny
     while arcs.rows:
         hook = arcs.df.groupBy("graph_id", "src").agg(F.min("dst").alias("to"))
-        hooks = cut(hook.select("graph_id", "src", F.least("src", "to").alias("to")))
+        hooks = cut(hook.select("graph_id", "src", F.least("src", "to").alias("to")), tiny)
         table = hooks.df
         for _ in range(2):
             ahead = table.select("graph_id", F.col("src").alias("to"), F.col("to").alias("_next"))
             table = table.join(ahead, ["graph_id", "to"]).select("graph_id", "src", F.col("_next").alias("to"))
-        hooks = cut(table)
-        ends = hooks.small()
+        hooks = cut(table, tiny)
+        ends = hooks.small(arcs)
         arcs = cut(
             arcs.df.join(ends, ["graph_id", "src"])
             .select("graph_id", F.col("to").alias("src"), "dst")
             .join(ends.withColumnsRenamed({"src": "dst", "to": "_d"}), ["graph_id", "dst"])
             .filter("src <> _d")
             .select("graph_id", "src", F.col("_d").alias("dst"))
-            .distinct()
+            .distinct(),
+            tiny,
         )
         new = ends.withColumnsRenamed({"src": "component", "to": "_to"})
         labels = labels.join(new, ["graph_id", "component"], "left").select(
@@ -188,6 +191,7 @@ def pagerank(edges: DataFrame) -> DataFrame:
                 F.col("rank").alias("before"),
                 F.col("_still").alias("done"),
             ),
+            share.tiny,
             open=F.count_if(~F.col("done")),
         )
         if not state["open"]:

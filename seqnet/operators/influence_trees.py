@@ -62,24 +62,24 @@ def forum_forward_tree(
     for level in range(1, max_depth + 1):
         seen = reduce(DataFrame.unionByName, visited).withColumnRenamed("node", "dst")
         wishes = arcs.df.join(front.small(arcs).withColumnRenamed("node", "src"), ["graph_id", "src"]).join(seen, ["graph_id", "dst"], "left_anti")
-        wishes = cut(wishes.select(*PAIR, "weight", "place"))
+        wishes = cut(wishes.select(*PAIR, "weight", "place"), arcs.tiny)
         while True:
             best = Window.partitionBy("graph_id", "src").orderBy(F.desc("weight"), "dst")
             asked = wishes.df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
             first = asked.groupBy("graph_id", "dst").agg(F.min("place").alias("_first"))
             table = asked.join(first, ["graph_id", "dst"]).withColumn("lost", F.col("place") > F.col("_first"))
-            offers = cut(table, lost=F.count_if(F.col("lost")))
+            offers = cut(table, arcs.tiny, lost=F.count_if(F.col("lost")))
             if not offers["lost"]:
                 break
             taken = offers.df.filter("not lost").select("graph_id", "dst", "_first")
             kept = wishes.df.join(taken, ["graph_id", "dst"], "left").filter("_first is null or place <= _first")
-            wishes = cut(kept.select(*PAIR, "weight", "place"))
+            wishes = cut(kept.select(*PAIR, "weight", "place"), arcs.tiny)
         if not offers.rows:
             break
         picked.append(
             offers.df.select(*PAIR, "weight", F.lit(level).cast("long").alias("level"), F.concat("place", F.array("rank")).alias("place"))
         )
-        front = cut(picked[-1].select("graph_id", F.col("dst").alias("node"), "place"))
+        front = cut(picked[-1].select("graph_id", F.col("dst").alias("node"), "place"), arcs.tiny)
         visited.append(front.df.select("graph_id", "node"))
     if not picked:
         return arcs.df.limit(0).withColumns({"level": F.lit(0).cast("long"), "direction": F.lit(FORWARD)})
@@ -101,14 +101,14 @@ def _grow(arcs: Stage, starts: DataFrame, max_depth: int, max_edges: int | None)
         ends = state.small(arcs)
         near = arcs.df.join(ends.filter(F.col("at") < max_depth), ["graph_id", "node"])
         free = near.join(ends.select("graph_id", F.col("node").alias("new")), ["graph_id", "new"], "left_anti")
-        best = cut(free.groupBy("graph_id").agg(F.min(F.struct("key", "new", "at", "direction")).alias("b")))
+        best = cut(free.groupBy("graph_id").agg(F.min(F.struct("key", "new", "at", "direction")).alias("b")), arcs.tiny)
         if not best.rows:
             break
         level = F.col("b.at") + 1
         out.append(
             best.df.select("graph_id", "b.key.src", "b.key.dst", (-F.col("b.key.nw")).alias("weight"), level.alias("level"), F.col("b.direction").alias("direction"))
         )
-        state = cut(state.df.unionByName(best.df.select("graph_id", F.col("b.new").alias("node"), level.alias("at"))))
+        state = cut(state.df.unionByName(best.df.select("graph_id", F.col("b.new").alias("node"), level.alias("at"))), arcs.tiny)
         step += 1
         if len(out) > 30:
             out = [cut(reduce(DataFrame.unionByName, out)).df]
@@ -168,15 +168,16 @@ def simplified_influence(edges: DataFrame) -> DataFrame:
     deleted for good, its origin moves on to its next edge, until no cycle is left.
     """
     live = cut(relative_weight(edges))
+    tiny = live.tiny
     order = F.struct((-F.col("relative_weight")).alias("share"), (-F.col("weight")).alias("nw"), F.col("src"), F.col("dst"))
     while True:
-        best = cut(live.df.groupBy("graph_id", "src").agg(F.min(order).alias("b")))
-        cycles = cycle_members(best.df.select("graph_id", F.col("src").alias("node"), F.col("b.dst").alias("to")))
-        if not cycles.rows:
+        best = cut(live.df.groupBy("graph_id", "src").agg(F.min(order).alias("b")), tiny)
+        cycles = cycle_members(best.df.select("graph_id", F.col("src").alias("node"), F.col("b.dst").alias("to")), best)
+        members = best.df.join(cycles.withColumnRenamed("node", "src"), ["graph_id", "src"])
+        weak = cut(members.groupBy("graph_id", "rep").agg(F.max("b").alias("b")).select("graph_id", "b.src", "b.dst"), tiny)
+        if not weak.rows:
             break
-        members = best.df.join(cycles.small(best).withColumnRenamed("node", "src"), ["graph_id", "src"])
-        weak = cut(members.groupBy("graph_id", "rep").agg(F.max("b").alias("b")).select("graph_id", "b.src", "b.dst"))
-        live = cut(live.df.join(weak.small(live), PAIR, "left_anti"))
+        live = cut(live.df.join(weak.small(live), PAIR, "left_anti"), tiny)
     return best.df.select("graph_id", "b.src", "b.dst", (-F.col("b.nw")).alias("weight"), (-F.col("b.share")).alias("relative_weight"))
 
 
@@ -204,7 +205,7 @@ def greedy_walks(edges: DataFrame, walks: int = WALKS, max_nodes: int = WALK_NOD
             (F.col("shares") - F.coalesce("b.s", zero)).alias("shares"),
             F.col("b").isNotNull().alias("open"),
         )
-        state = cut(table, open=F.count_if(F.col("open")))
+        state = cut(table, shares.tiny, open=F.count_if(F.col("open")))
         if not state["open"]:
             break
     return state.df.filter(F.size("items") > 1).select(

@@ -74,25 +74,30 @@ def start_end_network(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return state_network(events, "START", "END", hot_rows)
 
 
+def _steps(seqs: DataFrame) -> DataFrame:
+    """Consecutive pairs of different items; equal neighbours are the runs that collapse."""
+    pairs = seqs.filter(F.size("items") >= 2)
+    last = F.size("items") - 1
+    zipped = F.arrays_zip(F.slice("items", 1, last).alias("src"), F.slice("items", 2, last).alias("dst"))
+    return pairs.select("graph_id", "seq_id", "weight", F.inline(zipped)).filter("src <> dst")
+
+
 def sequence_transitions(seqs: DataFrame) -> DataFrame:
     """Steps of ``graph_id, seq_id, items, weight`` rows; no shuffle, the count stays a weight."""
-    items = F.filter("items", lambda x, i: (i == 0) | (x != F.element_at("items", F.greatest(i, F.lit(1)))))
-    runs = seqs.withColumn("_r", items).filter(F.size("_r") >= 2)
-    last = F.size("_r") - 1
-    steps = F.arrays_zip(F.slice("_r", 1, last).alias("src"), F.slice("_r", 2, last).alias("dst"))
-    return runs.select("graph_id", "seq_id", "weight", F.inline(steps))
+    return _steps(seqs)
 
 
 def sequence_network(seqs: DataFrame, virtual: bool = False) -> DataFrame:
     """Network of array sequences, optionally with the virtual nodes, weighted by ``weight``."""
-    items = F.filter("items", lambda x, i: (i == 0) | (x != F.element_at("items", F.greatest(i, F.lit(1)))))
-    runs = seqs.withColumn("_r", items).filter(F.size("_r") >= 2)
+    steps = _steps(seqs).drop("seq_id")
     if virtual:
-        runs = runs.withColumn("_r", F.concat(F.array(F.lit(SOURCE)), "_r", F.array(F.lit(SINK))))
-    last = F.size("_r") - 1
-    steps = F.arrays_zip(F.slice("_r", 1, last).alias("src"), F.slice("_r", 2, last).alias("dst"))
-    pairs = runs.select("graph_id", "weight", F.inline(steps))
-    return pairs.groupBy(*PAIR).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+        ends = F.array(
+            F.struct(F.lit(SOURCE).alias("src"), F.element_at("items", 1).alias("dst")),
+            F.struct(F.element_at("items", -1).alias("src"), F.lit(SINK).alias("dst")),
+        )
+        valid = seqs.filter(F.array_min("items") < F.array_max("items"))
+        steps = steps.unionByName(valid.select("graph_id", "weight", F.inline(ends)))
+    return steps.groupBy(*PAIR).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
 
 
 def observed_edges(edges: DataFrame) -> DataFrame:

@@ -83,10 +83,11 @@ def ancestors(tree: DataFrame, paths: bool = False) -> Stage:
     start = [F.col("dst").alias("node"), F.col("src").alias("top"), F.lit(1).cast("long").alias("level")]
     if paths:
         start += [F.array("dst").alias("path"), F.col("weight").alias("path_weight"), F.col("weight").alias("bottleneck_weight")]
-    state = cut(tree.select("graph_id", *start))
-    while True:
+    state = cut(tree.select("graph_id", *start), total=F.sum(F.lit(1)))
+    tiny = state.tiny
+    while state.rows:
         table = state.df
-        for _ in range(2):
+        for _ in range(3 if tiny else 1):
             ahead = table.select("graph_id", F.col("node").alias("top"), *[F.col(c).alias(f"_{c}") for c in table.columns[2:]])
             joined = table.join(ahead, ["graph_id", "top"], "left")
             new = [
@@ -100,9 +101,10 @@ def ancestors(tree: DataFrame, paths: bool = False) -> Stage:
                     F.least("bottleneck_weight", "_bottleneck_weight").alias("bottleneck_weight"),
                 ]
             table = joined.select("graph_id", "node", *new)
-        before, state = state, cut(table, total=F.sum("level"))
-        if not state.rows or state["total"] == before.figures.get("total"):
-            return state
+        before, state = state, cut(table, tiny, total=F.sum("level"))
+        if state["total"] == before["total"]:
+            break
+    return state
 
 
 def tree_levels(tree: DataFrame) -> DataFrame:
@@ -158,25 +160,25 @@ def dominant_path(tree: DataFrame) -> DataFrame:
 # --- maximum rooted branching -------------------------------------------------
 
 
-def cycle_members(pointers: DataFrame) -> Stage:
+def cycle_members(pointers: DataFrame, size: Stage) -> DataFrame:
     """``graph_id, node, rep`` of the nodes on cycles of ``graph_id, node, to``, one ``rep`` per cycle.
 
-    Pointers are doubled until every row has left the map or must stand on a cycle.
+    Pointers are doubled until every row has left the map or must stand on a cycle;
+    ``size`` is the measured table the pointers come from.
     """
-    state = cut(pointers.select("graph_id", "node", "to", F.col("node").alias("low")))
-    reach = 1
-    while state.rows and reach < state.rows:
-        table = state.df
-        for _ in range(2):
+    table, rows, reach = pointers.select("graph_id", "node", "to", F.col("node").alias("low")), size.rows, 1
+    steps = 4 if size.tiny else 1
+    while rows and reach < rows:
+        for _ in range(steps):
             ahead = table.select("graph_id", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
             # Rows that point at a node without a pointer of its own are on no cycle.
             table = table.join(ahead, ["graph_id", "to"]).select(
                 "graph_id", "node", F.col("_to").alias("to"), F.least("low", "_low").alias("low")
             )
-        state = cut(table)
-        reach *= 4
-    on_cycle = state.df.select("graph_id", F.col("to").alias("node")).distinct()
-    return cut(state.df.join(on_cycle, ["graph_id", "node"], "left_semi").select("graph_id", "node", F.col("low").alias("rep")))
+        state = cut(table, size.tiny)
+        table, rows, reach = state.df, state.rows, reach * 2**steps
+    on_cycle = table.select("graph_id", F.col("to").alias("node")).distinct()
+    return table.join(on_cycle, ["graph_id", "node"], "left_semi").select("graph_id", "node", F.col("low").alias("rep"))
 
 
 def max_rooted_branching(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -196,14 +198,15 @@ def max_rooted_branching(edges: DataFrame, roots: DataFrame | None = None) -> Da
     )
     pick = F.struct((-F.col("w")).alias("nw"), F.col("src"), F.col("dst"), F.col("s"), F.col("weight"), F.col("path"))
     rounds = []
+    tiny = arcs.tiny
     while True:
-        best = cut(arcs.df.groupBy("graph_id", "d").agg(F.min(pick).alias("b")))
-        members = cycle_members(best.df.select("graph_id", F.col("d").alias("node"), F.col("b.s").alias("to")))
-        if not members.rows:
+        best = cut(arcs.df.groupBy("graph_id", "d").agg(F.min(pick).alias("b")), tiny)
+        members = cycle_members(best.df.select("graph_id", F.col("d").alias("node"), F.col("b.s").alias("to")), best)
+        member = cut(members.join(best.df.withColumnRenamed("d", "node"), ["graph_id", "node"]), tiny)
+        if not member.rows:
             break
-        member = cut(members.small(best).join(best.df.withColumnRenamed("d", "node"), ["graph_id", "node"]))
         rounds.append(member)
-        rep = member.small()
+        rep = member.small(arcs)
         into = rep.select("graph_id", F.col("node").alias("d"), F.col("rep").alias("_d"), (-F.col("b.nw")).alias("_w"))
         out = rep.select("graph_id", F.col("node").alias("s"), F.col("rep").alias("_s"))
         merged = (
@@ -225,11 +228,12 @@ def max_rooted_branching(edges: DataFrame, roots: DataFrame | None = None) -> Da
         arcs = cut(
             kept.select(
                 "graph_id", "s", "d", (-F.col("b.nw")).alias("w"), "b.src", "b.dst", "b.weight", F.concat("b.path", F.array("d")).alias("path")
-            )
+            ),
+            tiny,
         )
     chosen = best.df.select("graph_id", "d", "b.src", "b.dst", "b.weight", "b.path")
     for depth, member in reversed(list(enumerate(rounds))):
-        inner = member.small().select("graph_id", F.col("rep").alias("d"), "node", "b")
+        inner = member.small(best).select("graph_id", F.col("rep").alias("d"), "node", "b")
         enters = F.col("node").isNull() | (F.col("node") == F.element_at("path", depth + 1))
         opened = chosen.join(inner, ["graph_id", "d"], "left")
         chosen = cut(
@@ -237,7 +241,8 @@ def max_rooted_branching(edges: DataFrame, roots: DataFrame | None = None) -> Da
                 "graph_id",
                 F.coalesce("node", "d").alias("d"),
                 *[F.when(enters, F.col(c)).otherwise(F.col(f"b.{c}")).alias(c) for c in ("src", "dst", "weight", "path")],
-            )
+            ),
+            tiny,
         ).df
     return chosen.select(*PAIR, "weight")
 
@@ -274,7 +279,7 @@ def forward_tree(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
             table = merged.select(
                 "graph_id", "node", F.when(better, F.col("_new")).otherwise(F.col("label")).alias("label"), better.alias("fresh")
             )
-        state = cut(table, fresh=F.count_if(F.col("fresh")))
+        state = cut(table, arcs.tiny, fresh=F.count_if(F.col("fresh")))
         if not state["fresh"]:
             break
     entered = state.df.filter(F.size("label") > 0).select("graph_id", F.element_at("label", -1).alias("e"))
@@ -300,6 +305,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     base = edges.filter("weight > 0 and src <> dst").select("graph_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), edge_key().alias("edge"))
     arcs = cut(base.groupBy("graph_id", "a", "b").agg(F.min("edge").alias("edge")))
     parts = []
+    tiny = arcs.tiny
     while arcs.rows:
         both = arcs.df.select(
             "graph_id",
@@ -310,29 +316,30 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
                 )
             ),
         )
-        best = cut(both.groupBy("graph_id", "c").agg(F.min("pick").alias("pick")))
+        best = cut(both.groupBy("graph_id", "c").agg(F.min("pick").alias("pick")), tiny)
         parts.append(best.df.select("graph_id", "pick.edge.src", "pick.edge.dst", (-F.col("pick.edge.nw")).alias("weight")).distinct())
-        back = best.small().select("graph_id", F.col("c").alias("to"), F.col("pick.other").alias("_back"))
+        back = best.small(best).select("graph_id", F.col("c").alias("to"), F.col("pick.other").alias("_back"))
         hook = best.df.select("graph_id", "c", F.col("pick.other").alias("to")).join(back, ["graph_id", "to"])
         # Two components that chose the same edge: the lesser name stays a root.
         hook = hook.select("graph_id", "c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
         while True:
             table = hook
-            for _ in range(2):
+            for _ in range(3 if tiny else 2):
                 ahead = table.select("graph_id", F.col("c").alias("to"), F.col("to").alias("_to"))
                 table = table.join(ahead, ["graph_id", "to"]).select("graph_id", "c", F.col("_to").alias("to"), (F.col("_to") != F.col("to")).alias("moved"))
-            labels = cut(table, moved=F.count_if(F.col("moved")))
+            labels = cut(table, tiny, moved=F.count_if(F.col("moved")))
             if not labels["moved"]:
                 break
             hook = labels.df.drop("moved")
-        label = labels.small().select("graph_id", "c", "to")
+        label = labels.small(arcs).select("graph_id", "c", "to")
         x, y = F.col("_a"), F.col("_b")
         arcs = cut(
             arcs.df.join(label.withColumnsRenamed({"c": "a", "to": "_a"}), ["graph_id", "a"])
             .join(label.withColumnsRenamed({"c": "b", "to": "_b"}), ["graph_id", "b"])
             .filter("_a <> _b")
             .groupBy("graph_id", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-            .agg(F.min("edge").alias("edge"))
+            .agg(F.min("edge").alias("edge")),
+            tiny,
         )
     if not parts:
         return edges.select(*PAIR, "weight").limit(0)
@@ -355,29 +362,29 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
     )
     turned = with_chunks(ways.df.withColumn("_order", F.col("b")), ["graph_id", "a"], "_order")
     turned = neighbours(turned, ["graph_id", "a"], [F.col("b")], "b", position=False)
-    first = cut(ways.df.groupBy("graph_id", "a").agg(F.min("b").alias("_first")))
+    first = ways.df.groupBy("graph_id", "a").agg(F.min("b").alias("_first"))
     # The arc that enters ``a`` from ``b`` goes on to the neighbour of ``a`` after ``b``.
-    tour = turned.join(first.small(), ["graph_id", "a"]).select(
+    tour = turned.join(first, ["graph_id", "a"]).select(
         "graph_id", "weight", F.col("b").alias("a"), F.col("a").alias("b"), F.col("a").alias("na"), F.coalesce("next", "_first").alias("nb")
     )
-    begin = starts.select("graph_id", F.col("node").alias("a")).join(first.df, ["graph_id", "a"])
-    begin = cut(begin.select("graph_id", F.col("a").alias("_sa"), F.col("_first").alias("_sb")))
-    tour = tour.join(begin.small(), "graph_id", "left")
+    begin = starts.select("graph_id", F.col("node").alias("a")).join(first, ["graph_id", "a"])
+    begin = begin.select("graph_id", F.col("a").alias("_sa"), F.col("_first").alias("_sb"))
+    tour = tour.join(begin, "graph_id", "left")
     ends = (F.col("na") == F.col("_sa")) & (F.col("nb") == F.col("_sb"))
     closed = F.coalesce(ends, F.lit(False))
     state = cut(
         tour.select("graph_id", "weight", "a", "b", F.when(~closed, F.col("na")).alias("na"), F.when(~closed, F.col("nb")).alias("nb"), F.when(closed, 0).otherwise(1).cast("long").alias("left"))
     )
-    reach = 1
+    reach, steps, tiny = 1, 4 if state.tiny else 1, state.tiny
     while True:
         table = state.df
-        for _ in range(2):
+        for _ in range(steps):
             ahead = table.select("graph_id", F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("_na"), F.col("nb").alias("_nb"), F.col("left").alias("_left"))
             table = table.join(ahead, ["graph_id", "na", "nb"], "left").select(
                 "graph_id", "weight", "a", "b", F.col("_na").alias("na"), F.col("_nb").alias("nb"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")
             )
-        state = cut(table, open=F.count_if(F.col("na").isNotNull()))
-        reach *= 4
+        state = cut(table, tiny, open=F.count_if(F.col("na").isNotNull()))
+        reach *= 2**steps
         if not state["open"] or reach >= state["open"]:
             break
     # Arcs of other components never end and are left out.

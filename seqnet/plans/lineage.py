@@ -32,6 +32,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 ONE_PARTITION_BYTES = 4 * 1024 * 1024
 
 
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
 class Stage:
     """A written DataFrame together with figures measured while it was written."""
 
@@ -71,24 +74,31 @@ def _text_bytes(df: DataFrame):
     return F.sum(total)
 
 
-def cut(df: DataFrame, **figures) -> Stage:
+def cut(df: DataFrame, tiny: bool = False, **figures) -> Stage:
     """Write ``df`` as a table into the checkpoint folder in one job and measure it on the way.
 
     Reading the table back gives a plan with no history at all: a lost executor costs a
     re-read, and neither constraints nor orderings pile up over the rounds of a loop.
-    ``figures`` are extra aggregate columns observed in the same job, so a loop learns
-    whether anything changed without a second action.
+    ``tiny`` marks results that are bounded by inputs measured as tiny; they are written
+    as one file.  ``figures`` are extra aggregate columns observed in the same job, so a
+    loop learns whether anything changed without a second action.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/seqnet-{uuid.uuid4().hex}"
     seen = Observation()
-    watched = df.observe(
+    watched = (df.coalesce(1) if tiny else df).observe(
         seen,
         F.count(F.lit(1)).alias("_rows"),
         _text_bytes(df).alias("_text"),
         *[value.alias(name) for name, value in figures.items()],
     )
-    watched.write.option("compression", "lz4").parquet(path)
+    # Inferred filters multiply in chains of self-joins and have nothing to prune here.
+    before = spark.conf.get(CONSTRAINTS, "true")
+    spark.conf.set(CONSTRAINTS, "false")
+    try:
+        watched.write.option("compression", "lz4").parquet(path)
+    finally:
+        spark.conf.set(CONSTRAINTS, before)
     return Stage(spark.read.schema(df.schema).parquet(path), seen.get)
 
 

@@ -55,17 +55,17 @@ def with_chunks(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_
         hot = F.broadcast(hot)
     matched = [F.col(f"e.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
     marked = (
-        df.withColumn("_order", as_number(df, order)).alias("e").join(hot.alias("h"), matched, "left").select("e.*", "h._hot")
+        df.withColumn("_along", as_number(df, order)).alias("e").join(hot.alias("h"), matched, "left").select("e.*", "h._hot")
     )
-    marks = marked.filter("_hot").select("_order").approxQuantile(
-        "_order", [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)
+    marks = marked.filter("_hot").select("_along").approxQuantile(
+        "_along", [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)
     )
     splits = [-math.inf, *sorted(set(marks)), math.inf]
-    cutter = Bucketizer(splits=splits, inputCol="_order", outputCol=CHUNK, handleInvalid="keep")
+    cutter = Bucketizer(splits=splits, inputCol="_along", outputCol=CHUNK, handleInvalid="keep")
     return (
         cutter.transform(marked)
         .withColumn(CHUNK, F.when(F.col("_hot"), F.col(CHUNK).cast("int")).otherwise(F.lit(0)))
-        .drop("_order", "_hot")
+        .drop("_along", "_hot")
     )
 
 
