@@ -822,3 +822,27 @@ oracle(
         "SELECT graph_id, nodes, edges, total_weight, round(density, 6) AS density, te AS structure_edges, tw AS structure_weight, round(tw / total_weight * 100, 6) AS preserved_percent FROM metrics JOIN tsz USING (graph_id)",
     ),
 )
+
+_auto = polytree(start=_LATE_START).replace("FROM net WHERE src <> dst) WHERE r = 1", "FROM net WHERE src <> dst AND graph_id NOT IN (SELECT graph_id FROM roots)) WHERE r = 1").replace(
+    "list_contains(f.seen, n.src) <> list_contains(f.seen, n.dst)\n",
+    "list_contains(f.seen, n.src) <> list_contains(f.seen, n.dst) AND f.at[list_position(f.seen, CASE WHEN list_contains(f.seen, n.src) THEN n.src ELSE n.dst END)] < 10\n",
+)
+oracle(
+    "extract_structure",
+    w(
+        STRONG + STRENGTH + """,
+roots AS (SELECT graph_id, max_by(node, {'w': out_weight, 'n': node}) AS root FROM strength WHERE in_degree = 0 AND out_degree > 0 GROUP BY 1),
+ch AS (
+  SELECT graph_id, 0 AS level, root AS node, [root] AS seen, NULL::VARCHAR AS src, NULL::DOUBLE AS weight FROM roots
+  UNION ALL
+  SELECT f.graph_id, f.level + 1, e.dst, list_append(f.seen, e.dst), e.src, e.weight
+  FROM ch f, LATERAL (SELECT n.src, n.dst, n.weight FROM net n WHERE n.graph_id = f.graph_id AND n.src = f.node AND NOT list_contains(f.seen, n.dst) ORDER BY n.weight DESC, n.dst LIMIT 1) e
+  WHERE f.level < 10)""" + _auto + """,
+sel AS (SELECT graph_id, src, node AS dst, weight, 'forward' AS heuristic FROM ch WHERE level > 0 UNION ALL SELECT graph_id, src, dst, weight, 'back_and_forward' FROM poly),
+ins AS (SELECT graph_id, max(k) AS k FROM (SELECT graph_id, dst, count(*) AS k FROM sel GROUP BY ALL) GROUP BY 1),
+sz AS (SELECT graph_id, max(heuristic) AS heuristic, count(*) AS e, sum(weight) AS sw FROM sel GROUP BY 1),
+bf AS (SELECT graph_id, count(*) AS eb, sum(weight) AS tw FROM net GROUP BY 1)""",
+        "SELECT graph_id, heuristic, eb AS edges_before, e + 1 AS nodes_after, e AS edges_after, tw AS total_weight, sw AS selected_weight, round(sw / tw * 100, 6) AS preserved_percent, "
+        "true AS is_dag, k <= 1 AS is_tree, true AS is_polytree FROM sz JOIN ins USING (graph_id) JOIN bf USING (graph_id)",
+    ),
+)
