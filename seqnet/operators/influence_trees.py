@@ -56,31 +56,29 @@ def forum_forward_tree(
     place in the queue is the list of ranks on the way from the root.
     """
     arcs = cut(edges.select(*PAIR, "weight") if min_weight is None else edges.filter(F.col("weight") >= min_weight).select(*PAIR, "weight"))
-    front = cut(roots.filter("root is not null").select("graph_id", F.col("root").alias("node"), F.array().cast("array<int>").alias("place")))
-    visited = [front.df.select("graph_id", "node")]
-    picked = []
+    start = cut(roots.filter("root is not null").select("graph_id", F.col("root").alias("node"), F.array().cast("array<int>").alias("place")))
+    front, visited, picked = start.small(arcs), [start.df.select("graph_id", "node")], []
+    best = Window.partitionBy("graph_id", "src").orderBy(F.desc("weight"), "dst")
     for level in range(1, max_depth + 1):
         seen = reduce(DataFrame.unionByName, visited).withColumnRenamed("node", "dst")
-        wishes = arcs.df.join(front.small(arcs).withColumnRenamed("node", "src"), ["graph_id", "src"]).join(seen, ["graph_id", "dst"], "left_anti")
-        wishes = cut(wishes.select(*PAIR, "weight", "place"), arcs.tiny)
+        wishes = arcs.df.join(front.withColumnRenamed("node", "src"), ["graph_id", "src"]).join(seen, ["graph_id", "dst"], "left_anti")
+        wishes = wishes.select(*PAIR, "weight", "place")
         while True:
-            best = Window.partitionBy("graph_id", "src").orderBy(F.desc("weight"), "dst")
-            asked = wishes.df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
+            asked = wishes.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
             first = asked.groupBy("graph_id", "dst").agg(F.min("place").alias("_first"))
             table = asked.join(first, ["graph_id", "dst"]).withColumn("lost", F.col("place") > F.col("_first"))
             offers = cut(table, arcs.tiny, lost=F.count_if(F.col("lost")))
             if not offers["lost"]:
                 break
             taken = offers.df.filter("not lost").select("graph_id", "dst", "_first")
-            kept = wishes.df.join(taken, ["graph_id", "dst"], "left").filter("_first is null or place <= _first")
-            wishes = cut(kept.select(*PAIR, "weight", "place"), arcs.tiny)
+            kept = wishes.join(taken, ["graph_id", "dst"], "left").filter("_first is null or place <= _first")
+            wishes = cut(kept.select(*PAIR, "weight", "place"), arcs.tiny).df
         if not offers.rows:
             break
-        picked.append(
-            offers.df.select(*PAIR, "weight", F.lit(level).cast("long").alias("level"), F.concat("place", F.array("rank")).alias("place"))
-        )
-        front = cut(picked[-1].select("graph_id", F.col("dst").alias("node"), "place"), arcs.tiny)
-        visited.append(front.df.select("graph_id", "node"))
+        step = offers.small(arcs).select(*PAIR, "weight", F.lit(level).cast("long").alias("level"), F.concat("place", F.array("rank")).alias("place"))
+        picked.append(step)
+        front = step.select("graph_id", F.col("dst").alias("node"), "place")
+        visited.append(front.select("graph_id", "node"))
     if not picked:
         return arcs.df.limit(0).withColumns({"level": F.lit(0).cast("long"), "direction": F.lit(FORWARD)})
     return reduce(DataFrame.unionByName, picked).select(*PAIR, "weight", "level", F.lit(FORWARD).alias("direction"))
@@ -217,7 +215,7 @@ def forward_dominant_walk(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """From the root always to the heaviest child: ``graph_id, step, src, dst, weight``."""
     best = tree.groupBy("graph_id", "src").agg(F.max(F.struct("weight", "dst")).alias("b")).select("graph_id", "src", "b.dst", "b.weight")
     chain = cut(best)
-    tops = ancestors(chain.df).small(chain).select("graph_id", F.col("node").alias("dst"), "top", F.col("level").alias("step"))
+    tops = ancestors(chain).small(chain).select("graph_id", F.col("node").alias("dst"), "top", F.col("level").alias("step"))
     start = roots.select("graph_id", F.col("root").alias("top"))
     return chain.df.join(tops, ["graph_id", "dst"]).join(start, ["graph_id", "top"], "left_semi").select("graph_id", "step", "src", "dst", "weight")
 
@@ -232,7 +230,7 @@ def polytree_dominant_path(tree: DataFrame) -> DataFrame:
     any_node = nodes_of(kept.df).groupBy("graph_id").agg(F.min("node").alias("node"))
 
     def farthest(starts: DataFrame) -> DataFrame:
-        ways = ancestors(cut(orient(kept.df, starts)).df, paths=True).df
+        ways = ancestors(cut(orient(kept.df, starts)), paths=True).df
         far = F.struct(-F.col("path_weight"), F.col("node"))
         best = F.struct("node", "top", "path")
         return ways.groupBy("graph_id").agg(F.min_by(best, far).alias("b")).select("graph_id", "b.node", "b.top", "b.path")

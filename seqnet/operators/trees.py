@@ -74,7 +74,7 @@ def as_nodes(roots: DataFrame) -> DataFrame:
 # --- rooted trees: levels and paths -------------------------------------------
 
 
-def ancestors(tree: DataFrame, paths: bool = False) -> Stage:
+def ancestors(tree: DataFrame | Stage, paths: bool = False) -> Stage:
     """For every node with a parent: its root and level, and with ``paths`` the way from the root.
 
     Each round every node jumps to the ancestor its current ancestor points at, so the
@@ -83,10 +83,9 @@ def ancestors(tree: DataFrame, paths: bool = False) -> Stage:
     start = [F.col("dst").alias("node"), F.col("src").alias("top"), F.lit(1).cast("long").alias("level")]
     if paths:
         start += [F.array("dst").alias("path"), F.col("weight").alias("path_weight"), F.col("weight").alias("bottleneck_weight")]
-    state = cut(tree.select("graph_id", *start), total=F.sum(F.lit(1)))
-    tiny = state.tiny
-    while state.rows:
-        table = state.df
+    saved = tree if isinstance(tree, Stage) else cut(tree.select("graph_id", "src", "dst", *(["weight"] if paths else [])))
+    tiny, table, total = saved.tiny, saved.df.select("graph_id", *start), saved.rows
+    while True:
         for _ in range(3 if tiny else 1):
             ahead = table.select("graph_id", F.col("node").alias("top"), *[F.col(c).alias(f"_{c}") for c in table.columns[2:]])
             joined = table.join(ahead, ["graph_id", "top"], "left")
@@ -101,10 +100,10 @@ def ancestors(tree: DataFrame, paths: bool = False) -> Stage:
                     F.least("bottleneck_weight", "_bottleneck_weight").alias("bottleneck_weight"),
                 ]
             table = joined.select("graph_id", "node", *new)
-        before, state = state, cut(table, tiny, total=F.sum("level"))
-        if state["total"] == before["total"]:
-            break
-    return state
+        state = cut(table, tiny, total=F.sum("level"))
+        if not state.rows or state["total"] == total:
+            return state
+        table, total = state.df, state["total"]
 
 
 def tree_levels(tree: DataFrame) -> DataFrame:
@@ -410,16 +409,16 @@ def polytree_levels(forest: DataFrame, starts: DataFrame) -> DataFrame:
     says whether an edge points away from the start edge.
     """
     kept = cut(forest.select(*PAIR, "weight"))
-    begin = cut(starts.select("graph_id", F.col("src").alias("_s"), F.col("dst").alias("_d")))
-    down = cut(orient(kept.df, begin.df.select("graph_id", F.col("_s").alias("node"))))
-    depth = ancestors(down.df).small().select("graph_id", F.col("node").alias("child"), "level")
+    begin = starts.select("graph_id", F.col("src").alias("_s"), F.col("dst").alias("_d"))
+    down = cut(orient(kept.df, begin.select("graph_id", F.col("_s").alias("node"))))
+    depth = ancestors(down).small(down).select("graph_id", F.col("node").alias("child"), "level")
     # The child end of an edge is the one that the tour reaches later.
     sides = kept.df.select("*", F.explode(F.array("src", "dst")).alias("child")).join(
-        down.small().select("graph_id", F.col("src").alias("_up"), F.col("dst").alias("child")), ["graph_id", "child"]
+        down.small(kept).select("graph_id", F.col("src").alias("_up"), F.col("dst").alias("child")), ["graph_id", "child"]
     )
     placed = sides.filter("_up = src and child = dst or _up = dst and child = src").join(depth, ["graph_id", "child"])
     initial = (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d"))
-    return placed.join(begin.small(), "graph_id").select(
+    return placed.join(begin, "graph_id").select(
         *PAIR,
         "weight",
         F.when(initial, F.lit(0).cast("long")).otherwise(F.col("level")).alias("level"),
@@ -450,7 +449,7 @@ def back_forward_from_node(edges: DataFrame, starts: DataFrame) -> DataFrame:
     base = cut(edges.filter("weight > 0 and src <> dst").select(*PAIR, "weight"))
     forest = cut(spanning_forest(base.df))
     down = cut(orient(forest.df, starts.select("graph_id", "node")))
-    depth = ancestors(down.df).df.select("graph_id", F.col("node").alias("child"), "level")
+    depth = ancestors(down).df.select("graph_id", F.col("node").alias("child"), "level")
     placed = down.df.select("graph_id", F.col("src").alias("_up"), F.col("dst").alias("child")).join(depth, ["graph_id", "child"])
     along = forest.df.withColumns({"_up": F.col("src"), "child": F.col("dst"), "direction": F.lit(FORWARD)})
     against = forest.df.withColumns({"_up": F.col("dst"), "child": F.col("src"), "direction": F.lit(BACKWARD)})

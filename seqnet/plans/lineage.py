@@ -32,16 +32,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 ONE_PARTITION_BYTES = 4 * 1024 * 1024
 
 
+#: Loop tables are read by the job that wrote them, so they need no success marker.
+WRITE_OPTIONS = {"compression": "lz4", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
 
 class Stage:
     """A written DataFrame together with figures measured while it was written."""
 
-    def __init__(self, df: DataFrame, figures: dict):
+    def __init__(self, df: DataFrame, columns: int, figures: dict):
         self.figures = figures
         self.rows = figures["_rows"]
-        self.bytes = (figures["_text"] or 0) + 16 * len(df.columns) * self.rows
+        self.bytes = (figures["_text"] or 0) + 16 * columns * self.rows
         self.tiny = self.bytes <= ONE_PARTITION_BYTES
         self.df = df.coalesce(1) if self.tiny else df
 
@@ -96,10 +98,10 @@ def cut(df: DataFrame, tiny: bool = False, **figures) -> Stage:
     before = spark.conf.get(CONSTRAINTS, "true")
     spark.conf.set(CONSTRAINTS, "false")
     try:
-        watched.write.option("compression", "lz4").parquet(path)
+        watched.write.options(**WRITE_OPTIONS).parquet(path)
     finally:
         spark.conf.set(CONSTRAINTS, before)
-    return Stage(spark.read.schema(df.schema).parquet(path), seen.get)
+    return Stage(spark.read.schema(df.schema).parquet(path), len(df.schema.fields), seen.get)
 
 
 def keep(df: DataFrame) -> DataFrame:
