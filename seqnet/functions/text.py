@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 # Labels that mean "no value" once trimmed and lower-cased.
 EMPTY_LABELS = ["", "nan", "nat"]
 EMPTY_SIGNALS = ["", "nan", "nat", "none"]
+# Fixed value: the characters that count as white space.
+WHITE_SPACE = " \t\n\x0b\f\r"
 
 
 def clean_text(column: Column | str, empty: list[str] = EMPTY_LABELS) -> Column:
     """Trim white space; labels that stand for a missing value become null."""
-    text = F.regexp_replace(F.col(column) if isinstance(column, str) else column, r"^\s+|\s+$", "")
+    text = F.btrim(F.col(column) if isinstance(column, str) else column, F.lit(WHITE_SPACE))
     return F.when(~F.lower(text).isin(empty), text)
 
 
