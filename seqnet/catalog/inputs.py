@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqnet.operators import events as ev
 from seqnet.operators import influence as inf
 from seqnet.operators import network as nw
-from seqnet.plans.lineage import cut, ensure_checkpoint_dir, keep
+from seqnet.plans.lineage import cut, shared_folder, keep
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -20,7 +20,7 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def user_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,19 +11,27 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder named in ``spark.checkpoint.dir``; set one only in local mode."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="seqnet-checkpoint-")
-    context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share.
+
+    It is the one ``spark.checkpoint.dir`` names; where that is unset, a folder below the
+    warehouse, which is shared too.  A machine's own temporary folder is never used.
+    """
+    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return current or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+
+
+def write_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/seqnet-{uuid.uuid4().hex}"
+    df.write.options(**WRITE_OPTIONS).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Below this measured size a table is read as one partition, so joins and
@@ -86,7 +93,7 @@ def cut(df: DataFrame, tiny: bool = False, **figures) -> Stage:
     loop learns whether anything changed without a second action.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/seqnet-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/seqnet-{uuid.uuid4().hex}"
     seen = Observation()
     watched = (df.coalesce(1) if tiny else df).observe(
         seen,
