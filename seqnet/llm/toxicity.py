@@ -135,11 +135,14 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside[:] = False
     vocabulary: dict[str, int] = {}
-    plain = ["".join(map(chr, code_points(t))).split(" ") for t, out in zip(texts, aside, strict=True) if not out]
-    docs = [[vocabulary.setdefault(w, len(vocabulary)) for w in d if w] for d in plain]
+    docs = []
+    for text, out in zip(texts, aside, strict=True):
+        if not out:
+            words = code_points(text).tobytes().decode("utf-32-le").split(" ")
+            docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words if w], np.int64))
     own = y[~aside]
-    keep = [i for i, d in enumerate(docs) if d]
-    docs, own = [np.array(docs[i]) for i in keep], own[keep]
+    keep = [i for i, d in enumerate(docs) if len(d)]
+    docs, own = [docs[i] for i in keep], own[keep]
     if not docs or own.min() == own.max():
         return train([], [], s)
     found = list(grams(code_points(" ".join(vocabulary)), s))
@@ -236,8 +239,21 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     # At most twice SAMPLE_ROWS pairs of numbers are sent to the executors.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
     before = F.sum(F.length("text")).over(Window.orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, 0))
-    sample = texts.withColumn("so_far", before).filter(F.col("so_far") <= SAMPLE_CHARS).orderBy(*order, "text").collect()
-    return train([r["text"] for r in sample], [r["toxic"] for r in sample], settings)
+    sample = texts.withColumn("so_far", before).filter(F.col("so_far") <= SAMPLE_CHARS)
+    settings = settings or Settings()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((b["so_far"][i].as_py(), b["text"][i].as_py(), b["toxic"][i].as_py()) for b in batches for i in range(b.num_rows)))
+        made = train([r[1] for r in rows], [r[2] for r in rows], settings)
+        numbers = np.concatenate([[made.bias, made.slope, made.shift], made.gram_scores])
+        yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()], pa.binary())], names=["model"])
+
+    # One task trains on the bounded sample; the driver gets the model, a megabyte.
+    found = sample.select("so_far", "text", "toxic").coalesce(1).mapInArrow(run, "model binary").collect()
+    if not found:
+        return train([], [], settings)
+    numbers = np.frombuffer(found[0]["model"], np.float64)
+    return Model(settings, numbers[3:], *numbers[:3].tolist())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
