@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqnet.llm import linededup, mixing, packing, simhash, toxicity
+from seqnet.llm import embeddings, licenses, linededup, mixing, mpeg, packing, secrets, simhash, toxicity, warc
 from seqnet.llm.common import on_workers
 
 
@@ -19,10 +19,22 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(secrets.secrets(table(spark, folder, "documents")))
+
+
 def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"))
 
@@ -31,19 +43,32 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op8_mpeg_audio(spark: SparkSession, folder: str) -> DataFrame:
+    return mpeg.digests(mpeg.stored_features(table(spark, folder, "documents")))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digests(linededup.line_report(table(spark, folder, "documents")))
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_license_scan,
         op3_toxicity,
+        op4_embedding_near_dedup,
+        op5_secret_scan,
         op6_source_mixing,
         op7_best_fit_packing,
+        op8_mpeg_audio,
         op9_line_dedup,
+        op10_warc,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle()}
