@@ -310,11 +310,11 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
             gone = batch.column(batch.num_columns - 1).to_pylist()
             texts = columns[at].to_pylist()
             for i, keys in enumerate(gone):
-                if keys:
+                if keys and texts[i] is not None:
                     texts[i] = clean(texts[i].encode(), gone_keys(keys), min_chars)[0].decode()
             if counted_at is not None:
                 sizes = columns[counted_at].to_pylist()
-                sizes = [len(t) if keys else n for t, n, keys in zip(texts, sizes, gone, strict=True)]
+                sizes = [len(t) if keys and t is not None else n for t, n, keys in zip(texts, sizes, gone, strict=True)]
                 columns[counted_at] = pa.array(sizes, columns[counted_at].type)
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])

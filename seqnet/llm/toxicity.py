@@ -32,11 +32,11 @@ CHUNK_CHARS = 1_000_000
 class Settings:
     bucket_bits: int = 17
     dims: int = 8
-    shortest: int = 3
-    longest: int = 5
+    shortest: int = 4
+    longest: int = 6
     window: int = 3
     rounds: int = 40
-    rate: float = 0.5
+    rate: float = 1.0
     decay: float = 1e-4
     hard: int = 4
     seed: int = 7
