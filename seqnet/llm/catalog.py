@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle()}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op6_source_mixing": mixing.oracle()}

@@ -206,12 +206,12 @@ def oracle(notices: tuple[tuple[str, str], ...] = NOTICES) -> str:
         WITH templates(template, license, n, size, stride, shingle) AS (VALUES {", ".join(values)}),
         docs AS (
             SELECT row_number() OVER () AS row_id, doc_id,
-                list_transform(list_filter(string_split_regex(coalesce(text, ''), '[^A-Za-z0-9]+'), w -> w <> ''), w -> lower(w)) AS words
+                [lower(w) FOR w IN string_split_regex(coalesce(text, ''), '[^A-Za-z0-9]+') IF w <> ''] AS words
             FROM documents
         ),
         shingles AS (
             SELECT row_id, doc_id, unnest(range(0, len(words) - {WIDTH - 1})) AS place,
-                unnest(list_transform(range(1, len(words) - {WIDTH - 2}), i -> array_to_string(words[i:i + {WIDTH - 1}], ' '))) AS shingle
+                unnest([array_to_string(words[i:i + {WIDTH - 1}], ' ') FOR i IN range(1, len(words) - {WIDTH - 2})]) AS shingle
             FROM docs WHERE len(words) >= {WIDTH}
         ),
         hits AS (

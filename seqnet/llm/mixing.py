@@ -5,7 +5,7 @@ are raked to the three marginals in turn: each category's weights are scaled to
 and no cell may ask for more tokens than it has.  A document is then sampled with its
 cell's calibrated probability, by a hash of its id, so any task decides alike.
 
-The cells stay a table; each round is one job with partial sums per category.
+The cells stay a table; each step is one job with partial sums per category.
 """
 
 from __future__ import annotations
@@ -56,8 +56,8 @@ def marked(docs: DataFrame, names: dict[str, str]) -> DataFrame:
 def even_targets(cells: DataFrame, margin: str, even: float = EVEN) -> DataFrame:
     """``margin, target``: shares in proportion to a power of each category's tokens."""
     sums = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(even)).alias("power"))
-    total = sums.agg(F.sum("power").alias("total"))
-    return sums.crossJoin(F.broadcast(total)).select(margin, (F.col("power") / F.col("total")).alias("target"))
+    total = sums.agg(F.sum("power").alias("total")).first()["total"] or 1.0
+    return sums.select(margin, (F.col("power") / F.lit(total)).alias("target"))
 
 
 def calibrated(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
@@ -71,13 +71,12 @@ def calibrated(cells: DataFrame, targets: dict[str, DataFrame], budget: float =
     state = cut(cells.filter("tokens > 0").withColumn("weight", F.col("tokens") * F.lit(budget)))
     aims = {m: cut(t.select(m, (F.col("target") * goal).alias("aim"))) for m, t in targets.items()}
     for _ in range(rounds):
-        table = state.df
         for margin, aim in aims.items():
-            sums = table.groupBy(margin).agg(F.sum("weight").alias("have")).join(aim.small(), margin, "left")
+            sums = state.df.groupBy(margin).agg(F.sum("weight").alias("have")).join(aim.small(state), margin, "left")
             factor = F.when(F.col("have") > 0, F.coalesce("aim", F.lit(0.0)) / F.col("have")).otherwise(0.0)
-            table = table.join(sums.select(margin, factor.alias("factor")), margin)
-            table = table.withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.col("tokens").cast("double"))).drop("factor")
-        state = cut(table.select(*state.df.columns), state.tiny)
+            scaled = state.df.join(sums.select(margin, factor.alias("factor")), margin)
+            weight = F.least(F.col("weight") * F.col("factor"), F.col("tokens").cast("double"))
+            state = cut(scaled.select(*MARGINS, "tokens", weight.alias("weight")), state.tiny)
     return state.df
 
 
@@ -111,3 +110,48 @@ def mix(docs: DataFrame, budget: float = BUDGET, even: float = EVEN, rounds: int
     rate = fresh(docs, "_rate")
     found = rates(facts, budget, even, rounds).withColumnsRenamed({**{m: names[m] for m in MARGINS}, "probability": rate})
     return rows.join(found, [names[m] for m in MARGINS]).filter(fraction("doc_id") < F.col(rate)).select(*docs.columns)
+
+
+def oracle(budget: float = BUDGET, even: float = EVEN, rounds: int = ROUNDS) -> str:
+    """The result of ``mixed`` with the raking rounds written out."""
+    steps, before = [], "start"
+    for turn in range(rounds):
+        for margin in MARGINS:
+            have = f"sum(weight) OVER (PARTITION BY {margin})"
+            factor = f"CASE WHEN {have} > 0 THEN target * goal / {have} ELSE 0 END"
+            name = f"{margin}_{turn}"
+            steps.append(
+                f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, least(weight * {factor}, CAST(tokens AS DOUBLE)) AS weight "
+                f"FROM {before} JOIN aim_{margin} USING ({margin}), total)"
+            )
+            before = name
+    aims = ", ".join(
+        f"aim_{m} AS (SELECT {m}, power / sum(power) OVER () AS target FROM "
+        f"(SELECT {m}, pow(CAST(sum(tokens) AS DOUBLE), {even}) AS power FROM cells GROUP BY {m}))"
+        for m in MARGINS
+    )
+    return f"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '{MISSING}') AS source, coalesce(lang, '{MISSING}') AS lang,
+                len([w FOR w IN string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+') IF w <> '']) AS tokens
+            FROM documents
+        ),
+        facts AS (
+            SELECT doc_id, source, lang, CAST(tokens AS BIGINT) AS tokens, CASE WHEN tokens = 0 THEN 'empty'
+                WHEN (length(text) - length(replace(text, '|', ''))) * 10 >= tokens THEN 'table'
+                WHEN (length(text) - length(translate(text, '{MARKS}', ''))) * 2 >= tokens THEN 'noise'
+                WHEN tokens < 100 THEN 'short' ELSE 'prose' END AS topic
+            FROM texts
+        ),
+        cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM facts GROUP BY source, lang, topic),
+        total AS (SELECT CAST(sum(tokens) AS DOUBLE) * {budget} AS goal FROM cells),
+        {aims},
+        start AS (SELECT *, tokens * CAST({budget} AS DOUBLE) AS weight FROM cells WHERE tokens > 0),
+        {", ".join(steps)},
+        chances AS (
+            SELECT doc_id, source, lang, topic, facts.tokens AS tokens, coalesce(round(weight / c.tokens, 6), 0) AS probability
+            FROM facts LEFT JOIN {before} c USING (source, lang, topic)
+        )
+        SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / {float(1 << 48)} < probability AS sampled
+        FROM chances
+    """

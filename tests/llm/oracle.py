@@ -1,0 +1,21 @@
+"""Compares a query with its SQL on the given tables."""
+
+import duckdb
+
+NAMES = "documents embeddings pages benchmark labels conversations".split()
+
+
+def normal(rows, columns):
+    places = [columns.index(c) for c in sorted(columns)]
+    return sorted(str([row[i] for i in places]) for row in rows)
+
+
+def same_rows(spark, name, queries, oracles, folder):
+    con = duckdb.connect()
+    for table in NAMES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    result = con.execute(oracles[name])
+    columns = [c[0] for c in result.description]
+    found = queries[name](spark, folder)
+    assert sorted(columns) == sorted(found.columns)
+    assert normal(found.collect(), found.columns) == normal(result.fetchall(), columns)
