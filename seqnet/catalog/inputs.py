@@ -13,6 +13,10 @@ from seqnet.operators import network as nw
 from seqnet.plans.lineage import cut, shared_folder, keep
 
 
+#: Labels of the event table, as columns of the wide matrices.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -28,14 +32,14 @@ def user_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segment_events(spark: SparkSession, folder: str) -> DataFrame:
-    """User events with the customer's market segment as the graph."""
+    """User events with the customer's market segment as the graph; stored, so the join runs once."""
     users = table(spark, folder, "customer", "c_custkey", "c_mktsegment")
     rows = table(spark, folder, "events", "user_id", "ts", "event_type").join(users, F.col("user_id") == F.col("c_custkey"))
-    return ev.event_table(rows, "user_id", "ts", "event_type", graph="c_mktsegment")
+    return keep(ev.event_table(rows, "user_id", "ts", "event_type", graph="c_mktsegment"))
 
 
 def brand_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Brands bought by each customer in order of date, order and line; one graph per segment."""
+    """Brands bought by each customer in order of date, order and line; one graph per segment; stored."""
     lines = table(spark, folder, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
     orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     parts = table(spark, folder, "part", "p_partkey", "p_brand")
@@ -45,7 +49,7 @@ def brand_events(spark: SparkSession, folder: str) -> DataFrame:
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
     )
-    return ev.event_table(rows, "o_custkey", "o_orderdate", "p_brand", graph="c_mktsegment", tie=["o_orderkey", "l_linenumber"])
+    return keep(ev.event_table(rows, "o_custkey", "o_orderdate", "p_brand", graph="c_mktsegment", tie=["o_orderkey", "l_linenumber"]))
 
 
 def order_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from seqnet.catalog.inputs import EVENT_TYPES
+
 ORACLES: dict[str, str] = {}
 
 # --- shared table expressions ------------------------------------------------------
@@ -151,7 +153,6 @@ def w(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes.strip()}\n{select}"
 
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 # --- sources and sinks ------------------------------------------------------------------
 
@@ -164,11 +165,13 @@ def _profile(column: str) -> str:
     return (
         f"SELECT '{column}' AS \"column\", round(avg(CASE WHEN t IS NULL THEN 1.0 ELSE 0 END), 6) AS null_ratio, "
         "round(avg(CASE WHEN try_cast(t AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS number_ratio, "
-        "round(avg(CASE WHEN try_cast(t AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS date_ratio, min(t) AS sample "
-        f"FROM (SELECT {label} AS t FROM conversations)"
+        "round(avg(CASE WHEN try_cast(t AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS date_ratio, min(t) AS sample, "
+        f"count(DISTINCT t) AS distinct_count FROM (SELECT {label} AS t FROM conversations)"
     )
 
 
+ORDER_COLUMNS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
+oracle("profile_distinct", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_count FROM orders" for c in ORDER_COLUMNS))
 oracle("profile_columns", " UNION ALL ".join(_profile(c) for c in ("conv_id", "turn", "role", "text")))
 oracle("read_weighted_sequences", w(states(ROLES), "SELECT graph_id, src, dst, weight FROM states"))
 oracle(
@@ -233,7 +236,7 @@ REACHED = """,
 rch AS (SELECT graph_id, root AS node FROM roots UNION SELECT r.graph_id, n.dst FROM rch r JOIN net n ON n.graph_id = r.graph_id AND n.src = r.node)"""
 oracle(
     "reachable_subgraph",
-    w(STRONG + FORWARD_ROOT + REACHED, "SELECT n.graph_id, n.src, n.dst, n.weight FROM net n JOIN rch r ON n.graph_id = r.graph_id AND n.src = r.node"),
+    w(net(BRANDS) + FORWARD_ROOT + REACHED, "SELECT n.graph_id, n.src, n.dst, n.weight FROM net n JOIN rch r ON n.graph_id = r.graph_id AND n.src = r.node"),
 )
 
 # --- sequences and scalar functions -----------------------------------------------------------
@@ -376,7 +379,7 @@ oracle("latency_pairs", w(influence(86400), "SELECT from_signal, to_signal, coun
 oracle(
     "frontier_levels",
     w(
-        STRONG + FORWARD_ROOT + """,
+        net(BRANDS) + FORWARD_ROOT + """,
 walk AS (SELECT graph_id, root AS node, 0::BIGINT AS level FROM roots UNION SELECT k.graph_id, n.dst, k.level + 1 FROM walk k JOIN net n ON n.graph_id = k.graph_id AND n.src = k.node WHERE k.level < 30)""",
         "SELECT graph_id, node, min(level) AS level FROM walk GROUP BY ALL",
     ),
@@ -437,12 +440,12 @@ UNION ALL SELECT graph_id, node, CASE WHEN (SELECT count(*) FROM strength z WHER
   FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY out_weight DESC, out_degree DESC, node) AS r FROM strength WHERE in_degree = 0) s WHERE r = 1
 UNION ALL SELECT DISTINCT c_mktsegment, 'SOURCE', 'SOURCE', 'states' FROM events JOIN customer ON user_id = c_custkey"""
 oracle("choose_root_2007", w(net(BRANDS) + STRENGTH, _ROOT_2007))
-oracle("choose_root_forward", w(STRONG + FORWARD_ROOT, "SELECT graph_id, root FROM roots"))
+oracle("choose_root_forward", w(net(BRANDS) + FORWARD_ROOT, "SELECT graph_id, root FROM roots"))
 oracle("choose_root_greedy", w(net(BRANDS) + GREEDY_ROOT, "SELECT graph_id, root FROM roots"))
 oracle(
     "infer_initial_node",
     w(
-        STRONG + STRENGTH + """,
+        net(BRANDS) + STRENGTH + """,
 zero AS (SELECT graph_id, max_by(node, {'w': out_weight, 'n': node}) AS root FROM strength WHERE in_degree = 0 AND out_degree > 0 GROUP BY 1),
 heavy AS (SELECT graph_id, max_by(node, {'w': out_weight, 'n': node}) AS root FROM strength WHERE out_degree > 0 GROUP BY 1),
 picked AS (SELECT graph_id, z.root, 'auto' AS force FROM heavy h LEFT JOIN zero z USING (graph_id)
@@ -479,7 +482,7 @@ oracle("max_rooted_branching", w(states(SEGMENTS) + brute_branching(), "SELECT g
 oracle("forward_tree", w(net(BRANDS) + FORWARD_ROOT + FORWARD, "SELECT graph_id, src, dst, weight FROM tree"))
 oracle(
     "tree_levels",
-    w(STRONG + FORWARD_ROOT + FORWARD + LEVELS, "SELECT t.graph_id, t.src, t.dst, t.weight, l.level FROM tree t JOIN lv l ON l.graph_id = t.graph_id AND l.node = t.dst"),
+    w(net(BRANDS) + FORWARD_ROOT + FORWARD + LEVELS, "SELECT t.graph_id, t.src, t.dst, t.weight, l.level FROM tree t JOIN lv l ON l.graph_id = t.graph_id AND l.node = t.dst"),
 )
 oracle(
     "tree_nodes",
@@ -625,11 +628,11 @@ oracle(
 
 # --- graph analytics and validation -------------------------------------------------------------------------------
 
-oracle("is_dag", w(STRONG + CLOSURE, "SELECT graph_id, NOT has_cycles AS is_dag, has_cycles FROM cyc"))
+oracle("is_dag", w(net(BRANDS) + CLOSURE, "SELECT graph_id, NOT has_cycles AS is_dag, has_cycles FROM cyc"))
 oracle(
     "reachable_all",
     w(
-        STRONG + FORWARD_ROOT + REACHED + NODES + """,
+        net(BRANDS) + FORWARD_ROOT + REACHED + NODES + """,
 a AS (SELECT graph_id, count(*) AS nodes FROM nodes GROUP BY 1), b AS (SELECT graph_id, count(*) AS reached FROM rch GROUP BY 1)""",
         "SELECT graph_id, nodes, reached, nodes = reached AS all_reachable FROM a JOIN b USING (graph_id)",
     ),
@@ -637,17 +640,17 @@ a AS (SELECT graph_id, count(*) AS nodes FROM nodes GROUP BY 1), b AS (SELECT gr
 oracle(
     "weak_components",
     w(
-        STRONG + UNDIRECTED + ", sz AS (SELECT graph_id, component, count(*) AS n FROM comp GROUP BY ALL)",
+        net(BRANDS) + UNDIRECTED + ", sz AS (SELECT graph_id, component, count(*) AS n FROM comp GROUP BY ALL)",
         "SELECT graph_id, count(*) AS components, max(n) AS largest, sum(n)::BIGINT AS nodes FROM sz GROUP BY 1",
     ),
 )
 _SUMMARY = """,
 deg AS (SELECT graph_id, max(in_degree) AS max_in_degree, max(out_degree) AS max_out_degree, count(*) FILTER (in_degree = 0) AS sources, count(*) FILTER (out_degree = 0) AS sinks FROM strength GROUP BY 1)"""
 _SUMMARY_COLUMNS = "graph_id, nodes, edges, total_weight, round(density, 6) AS density, max_in_degree, max_out_degree, sources, sinks, round(2 * edges / nodes, 6) AS average_degree"
-oracle("graph_summary", w(STRONG + STRENGTH + SIZES + _SUMMARY, f"SELECT {_SUMMARY_COLUMNS} FROM metrics JOIN deg USING (graph_id)"))
+oracle("graph_summary", w(net(BRANDS) + STRENGTH + SIZES + _SUMMARY, f"SELECT {_SUMMARY_COLUMNS} FROM metrics JOIN deg USING (graph_id)"))
 oracle(
     "validate_observed",
-    w(STRONG + STRENGTH + SIZES + _SUMMARY + CLOSURE, f"SELECT {_SUMMARY_COLUMNS}, NOT has_cycles AS is_dag, has_cycles FROM metrics JOIN deg USING (graph_id) JOIN cyc USING (graph_id)"),
+    w(net(BRANDS) + STRENGTH + SIZES + _SUMMARY + CLOSURE, f"SELECT {_SUMMARY_COLUMNS}, NOT has_cycles AS is_dag, has_cycles FROM metrics JOIN deg USING (graph_id) JOIN cyc USING (graph_id)"),
 )
 oracle(
     "pagerank",
@@ -685,15 +688,16 @@ tsz AS (SELECT graph_id, count(*) AS edges, sum(weight) AS total_weight FROM tre
 oracle(
     "validate_branching",
     w(
-        net(BRANDS) + FORWARD_ROOT + FORWARD + _TREE_SIZE,
-        "SELECT graph_id, edges + 1 AS nodes, edges, total_weight, round(total_weight / t * 100, 6) AS preserved_percent, true AS is_dag, true AS root_exists, 0::BIGINT AS root_in_degree, "
-        "1::BIGINT AS max_other_in_degree, true AS all_reachable, true AS edge_count_ok, true AS is_valid FROM tsz JOIN gsz USING (graph_id)",
+        states(SEGMENTS) + brute_branching() + ", whole AS (SELECT graph_id, sum(weight) AS t FROM states GROUP BY 1)",
+        "SELECT graph_id, 7::BIGINT AS nodes, 6::BIGINT AS edges, best.weight + sinks.weight AS total_weight, round((best.weight + sinks.weight) / t * 100, 6) AS preserved_percent, "
+        "true AS is_dag, true AS root_exists, 0::BIGINT AS root_in_degree, 1::BIGINT AS max_other_in_degree, true AS all_reachable, true AS edge_count_ok, true AS is_valid "
+        "FROM best JOIN sinks USING (graph_id) JOIN whole USING (graph_id)",
     ),
 )
 oracle(
     "validate_forward",
     w(
-        STRONG + FORWARD_ROOT + FORWARD + _TREE_SIZE,
+        net(BRANDS) + FORWARD_ROOT + FORWARD + _TREE_SIZE,
         "SELECT graph_id, edges + 1 AS nodes, edges, total_weight, round(total_weight / t * 100, 6) AS preserved_percent, true AS is_dag, true AS root_exists, true AS all_reachable, "
         "true AS edge_count_ok, true AS is_valid FROM tsz JOIN gsz USING (graph_id)",
     ),
@@ -766,7 +770,7 @@ oracle("tree_center", w(net(BRANDS) + polytree() + _HOPS.format("poly"), "SELECT
 oracle(
     "graph_center",
     w(
-        STRONG + STRENGTH + _HOPS.format("net") + """,
+        net(BRANDS) + STRENGTH + _HOPS.format("net") + """,
 cn AS (SELECT graph_id, count(*) AS n FROM ec GROUP BY 1),
 fx AS (SELECT graph_id, node, CASE WHEN r = n THEN e::DOUBLE ELSE 'infinity'::DOUBLE END AS e, out_weight + in_weight AS wt FROM ec JOIN cn USING (graph_id) JOIN strength USING (graph_id, node))""",
         "SELECT graph_id, node AS center, e AS eccentricity FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY e, wt DESC, node) AS k FROM fx) WHERE k = 1",
@@ -830,7 +834,7 @@ _auto = polytree(start=_LATE_START).replace("FROM net WHERE src <> dst) WHERE r
 oracle(
     "extract_structure",
     w(
-        STRONG + STRENGTH + """,
+        net(BRANDS) + STRENGTH + """,
 roots AS (SELECT graph_id, max_by(node, {'w': out_weight, 'n': node}) AS root FROM strength WHERE in_degree = 0 AND out_degree > 0 GROUP BY 1),
 ch AS (
   SELECT graph_id, 0 AS level, root AS node, [root] AS seen, NULL::VARCHAR AS src, NULL::DOUBLE AS weight FROM roots

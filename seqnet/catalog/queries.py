@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqnet.catalog.inputs import (
+    EVENT_TYPES,
     brand_events,
     brand_network,
     brand_states,
@@ -73,12 +74,12 @@ def write_tables_by_graph(spark, folder):
 
 @query
 def profile_columns(spark, folder):
-    return rounded(rd.profile_columns(table(spark, folder, "conversations")).drop("distinct_estimate"))
+    return rounded(rd.profile_columns(table(spark, folder, "conversations")))
 
 
 @query
 def profile_distinct(spark, folder):
-    return rd.profile_columns(table(spark, folder, "orders", "o_orderstatus", "o_orderpriority")).select("column", "distinct_estimate")
+    return rd.profile_columns(table(spark, folder, "orders")).select("column", "distinct_count")
 
 
 def _role_lines(spark, folder):
@@ -187,7 +188,7 @@ def read_pair_frequencies(spark, folder):
 
 @query
 def matrix_to_edges(spark, folder):
-    return rd_matrix(nw.adjacency_matrix(user_network(spark, folder)))
+    return rd_matrix(nw.adjacency_matrix(user_network(spark, folder), EVENT_TYPES))
 
 
 def rd_matrix(matrix: DataFrame) -> DataFrame:
@@ -247,7 +248,7 @@ def valid_ratio_gate(spark, folder):
 
 @query
 def reachable_subgraph(spark, folder):
-    net = strong_brands(spark, folder)
+    net = brand_network(spark, folder)
     return gr.reachable_subgraph(net, tr.as_nodes(tr.choose_root_forward(net)))
 
 
@@ -404,12 +405,12 @@ def start_end_network(spark, folder):
 
 @query
 def adjacency_matrix(spark, folder):
-    return nw.adjacency_matrix(user_network(spark, folder))
+    return nw.adjacency_matrix(user_network(spark, folder), EVENT_TYPES)
 
 
 @query
 def transition_matrix(spark, folder):
-    return nw.transition_matrix(segment_network(spark, folder))
+    return nw.transition_matrix(segment_network(spark, folder), EVENT_TYPES)
 
 
 @query
@@ -459,7 +460,7 @@ def latency_pairs(spark, folder):
 
 @query
 def frontier_levels(spark, folder):
-    net = strong_brands(spark, folder)
+    net = brand_network(spark, folder)
     return gr.hops(net, tr.as_nodes(tr.choose_root_forward(net))).df
 
 
@@ -515,7 +516,7 @@ def influence_edges(spark, folder):
 
 @query
 def influence_matrix(spark, folder):
-    return rounded(inf.influence_matrix(influence_net(spark, folder)))
+    return rounded(inf.influence_matrix(influence_net(spark, folder), EVENT_TYPES))
 
 
 @query
@@ -541,7 +542,7 @@ def choose_root_2007(spark, folder):
 
 @query
 def choose_root_forward(spark, folder):
-    return tr.choose_root_forward(strong_brands(spark, folder))
+    return tr.choose_root_forward(brand_network(spark, folder))
 
 
 @query
@@ -551,7 +552,7 @@ def choose_root_greedy(spark, folder):
 
 @query
 def infer_initial_node(spark, folder):
-    net = strong_brands(spark, folder)
+    net = brand_network(spark, folder)
     modes = [it.infer_initial_node(net, f).withColumn("force", F.lit(f)) for f in it.HEURISTICS]
     return modes[0].unionByName(modes[1]).unionByName(modes[2])
 
@@ -566,7 +567,7 @@ def max_rooted_branching(spark, folder):
 
 @query
 def brand_rooted_branching(spark, folder):
-    """Branchings of 26-node networks; only weight and validity, which do not depend on ties."""
+    """Branchings of networks of brands; weight and validity do not depend on ties."""
     states = brand_states(spark, folder)
     roots = keep(tr.choose_root_2007(states))
     return rounded(me.validate_branching(tr.max_rooted_branching(states, roots), roots, states))
@@ -579,7 +580,7 @@ def forward_tree(spark, folder):
 
 @query
 def tree_levels(spark, folder):
-    return tr.tree_levels(keep(tr.forward_tree(strong_brands(spark, folder))))
+    return tr.tree_levels(keep(tr.forward_tree(brand_network(spark, folder))))
 
 
 @query
@@ -632,7 +633,7 @@ def topk_polytree(spark, folder):
 @query
 def multiobjective_polytree(spark, folder):
     net = brand_network(spark, folder)
-    return pt.multiobjective_polytree(net, tr.choose_root_greedy(net))
+    return pt.multiobjective_polytree(net, tr.choose_root_greedy(net, gr.pagerank(net)))
 
 
 @query
@@ -688,7 +689,7 @@ def polytree_dominant_path(spark, folder):
 
 @query
 def extract_structure(spark, folder):
-    net = strong_brands(spark, folder)
+    net = brand_network(spark, folder)
     return rounded(it.structure_summary(net, it.extract_structure(net)))
 
 
@@ -697,23 +698,23 @@ def extract_structure(spark, folder):
 
 @query
 def is_dag(spark, folder):
-    return gr.is_dag(strong_brands(spark, folder))
+    return gr.is_dag(brand_network(spark, folder))
 
 
 @query
 def reachable_all(spark, folder):
-    net = strong_brands(spark, folder)
+    net = brand_network(spark, folder)
     return gr.reachable_all(net, tr.as_nodes(tr.choose_root_forward(net)))
 
 
 @query
 def weak_components(spark, folder):
-    return gr.weak_components(strong_brands(spark, folder))
+    return gr.weak_components(brand_network(spark, folder))
 
 
 @query
 def graph_summary(spark, folder):
-    return rounded(gr.graph_summary(strong_brands(spark, folder)))
+    return rounded(gr.graph_summary(brand_network(spark, folder)))
 
 
 @query
@@ -728,19 +729,19 @@ def betweenness(spark, folder):
 
 @query
 def validate_observed(spark, folder):
-    return rounded(me.validate_observed(strong_brands(spark, folder)))
+    return rounded(me.validate_observed(brand_network(spark, folder)))
 
 
 @query
 def validate_branching(spark, folder):
-    net = brand_network(spark, folder)
-    roots = keep(tr.choose_root_forward(net))
-    return rounded(me.validate_branching(tr.forward_tree(net, roots), roots, net))
+    states = segment_states(spark, folder)
+    roots = keep(tr.choose_root_2007(states))
+    return rounded(me.validate_branching(tr.max_rooted_branching(states, roots), roots, states))
 
 
 @query
 def validate_forward(spark, folder):
-    net = strong_brands(spark, folder)
+    net = brand_network(spark, folder)
     roots = keep(tr.choose_root_forward(net))
     return rounded(me.validate_forward(tr.forward_tree(net, roots), roots, net))
 
@@ -790,7 +791,7 @@ def tree_center(spark, folder):
 
 @query
 def graph_center(spark, folder):
-    return me.graph_center(strong_brands(spark, folder))
+    return me.graph_center(brand_network(spark, folder))
 
 
 def _comparison(spark, folder) -> DataFrame:

@@ -15,10 +15,11 @@ from seqnet.plans.ordering import CHUNK, HOT_ROWS, neighbours, with_chunks
 
 CASE = ["graph_id", "case_id"]
 SOURCE, SINK = "SOURCE", "SINK"
+EVENT_ORDER = ["ord", "tie", "item"]
 
 
 def event_order() -> list[Column]:
-    return [F.col("ord"), F.col("tie"), F.col("item")]
+    return [F.col(name) for name in EVENT_ORDER]
 
 
 def _label(df: DataFrame, name: str, as_text: bool) -> Column:
@@ -71,7 +72,7 @@ def event_table(
 
 def ordered(events: DataFrame, hot_rows: int = HOT_ROWS, position: bool = True) -> DataFrame:
     """Events with ``prev``, ``next`` and ``pos`` inside their case."""
-    return neighbours(with_chunks(events, CASE, "ord", hot_rows), CASE, event_order(), "item", position)
+    return neighbours(with_chunks(events, CASE, EVENT_ORDER, hot_rows), CASE, event_order(), "item", position)
 
 
 def order_events(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -147,11 +147,12 @@ def graph_summary(edges: DataFrame) -> DataFrame:
 DAMPING, RANK_TOLERANCE, RANK_ROUNDS = 0.85, 1e-6, 100
 
 
-def pagerank(edges: DataFrame) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = RANK_ROUNDS) -> DataFrame:
     """Weighted PageRank divided by its largest value in the graph.
 
     Starts uniform, spreads the rank of nodes without out edges evenly, and stops a
-    graph when its total change falls below ``nodes * 1e-6``.
+    graph when its total change falls below ``nodes * 1e-6``.  A graph that has not come to rest
+    after ``rounds`` gets its nodes' degrees instead of ranks, as the method defines.
     """
     nodes = node_strength(edges).select("graph_id", "node", "out_weight")
     sizes = cut(nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")))
@@ -166,7 +167,7 @@ def pagerank(edges: DataFrame) -> DataFrame:
         .select("graph_id", "src", "dst", (F.col("weight") / F.col("out_weight")).alias("share"))
     )
     n = F.col("n")
-    for _ in range(RANK_ROUNDS):
+    for _ in range(rounds):
         change = F.sum(F.abs(F.col("rank") - F.col("before")))
         graphs = state.df.groupBy("graph_id").agg(
             F.sum(F.when(F.col("stuck"), F.col("rank")).otherwise(0.0)).alias("_lost"),
@@ -196,12 +197,22 @@ def pagerank(edges: DataFrame) -> DataFrame:
         )
         if not state["open"]:
             break
-    top = state.df.groupBy("graph_id").agg(F.max("rank").alias("_top"))
-    return state.df.join(top, "graph_id").select("graph_id", "node", (F.col("rank") / F.col("_top")).alias("centrality"))
+    if "done" in state.df.columns and state["open"]:
+        return _centrality_of(_ranks_or_degrees(state.df, edges))
+    return _centrality_of(state.df)
 
 
-#: Fixed value: graphs with more edges get betweenness 0 throughout.
-BETWEENNESS_EDGES = 2000
+def _ranks_or_degrees(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ranks, but degrees for the graphs that have not come to rest; both are scaled afterwards."""
+    degrees = node_strength(edges).select("graph_id", "node", (F.col("in_degree") + F.col("out_degree")).cast("double").alias("_degree"))
+    resting = ranks.groupBy("graph_id").agg(F.every("done").alias("_resting"))
+    both = ranks.join(resting, "graph_id").join(degrees, ["graph_id", "node"])
+    return both.select("graph_id", "node", F.when(F.col("_resting"), F.col("rank")).otherwise(F.col("_degree")).alias("rank"))
+
+
+def _centrality_of(ranks: DataFrame) -> DataFrame:
+    top = ranks.groupBy("graph_id").agg(F.max("rank").alias("_top"))
+    return ranks.join(top, "graph_id").select("graph_id", "node", (F.col("rank") / F.col("_top")).alias("centrality"))
 
 
 def distances(edges: DataFrame, length: str = "weight") -> Stage:
@@ -222,15 +233,17 @@ def distances(edges: DataFrame, length: str = "weight") -> Stage:
             return state
 
 
-def betweenness(edges: DataFrame, max_edges: int = BETWEENNESS_EDGES) -> DataFrame:
-    """Normalized weighted shortest-path betweenness; 0 in graphs with more than ``max_edges`` edges.
+def betweenness(edges: DataFrame, max_edges: int | None = None) -> DataFrame:
+    """Normalized weighted shortest-path betweenness.
 
-    Works from every origin at once: distances, then the number of shortest paths, then
+    A caller who gives ``max_edges`` gets 0 throughout graphs with more edges.  Works from every origin at once: distances, then the number of shortest paths, then
     the share of paths that pass through each node, each along the tight edges.
     """
     sizes = nodes_of(edges).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
-    counted = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_e")).filter(F.col("_e") <= max_edges)
-    small = edges.join(counted.drop("_e"), "graph_id", "left_semi")
+    small = edges
+    if max_edges is not None:
+        counted = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_e")).filter(F.col("_e") <= max_edges)
+        small = edges.join(counted.drop("_e"), "graph_id", "left_semi")
     dist = distances(small).df.drop("fresh")
     arcs = small.filter("src <> dst").groupBy(*PAIR).agg(F.min("weight").alias("_len"))
     near = dist.withColumnsRenamed({"node": "src", "dist": "_ds"})

@@ -51,7 +51,7 @@ def prepare_signals(
     rows = df.select(
         (F.col(graph) if graph else F.lit("all")).alias("graph_id"), who.alias("entity"), raw.alias("time"), _signal(df, signal).alias("signal"), order.alias("_order")
     ).dropna(subset=["entity", "signal", "_order"])
-    chunked = with_chunks(rows, ENTITY, "_order", hot_rows)
+    chunked = with_chunks(rows, ENTITY, ["_order", "signal"], hot_rows)
     placed = neighbours(chunked, ENTITY, [F.col("_order"), F.col("signal")], "signal").withColumn("event_index", F.col("pos"))
     if kind == "text":
         number = F.trim(F.col("time")).try_cast("double")
@@ -166,8 +166,8 @@ def influence_network(signals: DataFrame, latency_seconds: float = LATENCY_SECON
     return influence_edges(smooth_and_filter(temporal_influence(signals, latency_seconds), epsilon, **filters))
 
 
-def influence_matrix(edges: DataFrame) -> DataFrame:
-    return adjacency_matrix(edges.select("graph_id", "src", "dst", "weight"))
+def influence_matrix(edges: DataFrame, labels: list[str]) -> DataFrame:
+    return adjacency_matrix(edges.select("graph_id", "src", "dst", "weight"), labels)
 
 
 def influence_metrics(signals: DataFrame, latency_seconds: float = LATENCY_SECONDS, epsilon: float = EPSILON, **filters) -> DataFrame:

@@ -27,13 +27,17 @@ MAX_DEPTH = 10
 
 
 def infer_initial_node(edges: DataFrame, force: str = "auto", provided: DataFrame | None = None) -> DataFrame:
-    """``graph_id, root, mode`` with a null root where no initial node can be named."""
+    """``graph_id, root, mode`` with a null root where no initial node can be named.
+
+    Graphs without a row in ``provided`` have theirs inferred.
+    """
     if provided is not None:
         named = provided.select("graph_id", F.col("root").alias("node"))
         known = named.join(nodes_of(edges), ["graph_id", "node"], "left_anti")
         if not known.isEmpty():
             raise ValueError("a given initial node is not in its network")
-        return provided.select("graph_id", "root", F.lit("provided").alias("mode"))
+        given = provided.select("graph_id", "root", F.lit("provided").alias("mode"))
+        return given.unionByName(infer_initial_node(edges, force).join(given, "graph_id", "left_anti"))
     nodes = node_strength(edges).filter("out_degree > 0")
     free = F.col("in_degree") == 0
     rank = F.struct("out_weight", "node")
@@ -271,7 +275,10 @@ def extract_structure(
     if roots["rooted"] < roots.rows:
         rest = base.df.join(roots.df.filter("root is null"), "graph_id", "left_semi")
         parts.append(forum_polytree(rest, max_depth, min_weight, max_edges).withColumn("heuristic", F.lit("back_and_forward")))
-    return reduce(DataFrame.unionByName, parts)
+    if not parts:
+        return base.df.limit(0).withColumn("heuristic", F.lit(""))
+    columns = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
 
 
 def structure_summary(edges: DataFrame, selected: DataFrame) -> DataFrame:

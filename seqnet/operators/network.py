@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqnet.operators.events import CASE, SINK, SOURCE, ordered
-from seqnet.plans.ordering import HOT_ROWS, neighbours, with_chunks
+from seqnet.operators.events import CASE, EVENT_ORDER, SINK, SOURCE, ordered
+from seqnet.plans.ordering import CHUNK, HOT_ROWS, neighbours, with_chunks
 
 PAIR = ["graph_id", "src", "dst"]
 # Kinds of transition.
@@ -35,9 +35,9 @@ def state_network(
     events: DataFrame, source: str = SOURCE, sink: str = SINK, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """The observed network plus an edge into every first item and out of every last item."""
-    chunked = with_chunks(events, CASE, "ord", hot_rows)
+    chunked = with_chunks(events, CASE, EVENT_ORDER, hot_rows)
     rows = ordered(chunked, hot_rows, position=False)
-    if rows.columns == [*events.columns, "prev", "next"]:
+    if CHUNK not in rows.columns:
         # A case counts when it holds two different items.
         case = Window.partitionBy(*CASE)
         rows = rows.withColumn("_ok", F.min("item").over(case) < F.max("item").over(case))
@@ -192,7 +192,7 @@ def relative_weight(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each edge's share of its origin's weight in percent, and its rank within the origin."""
     positive = edges.filter("weight > 0").select(*PAIR, "weight", (-F.col("weight")).alias("_order"))
     keys = ["graph_id", "src"]
-    prepared = with_chunks(positive, keys, "_order", hot_rows)
+    prepared = with_chunks(positive, keys, ["_order", "dst"], hot_rows)
     ranked = neighbours(prepared, keys, [F.col("_order"), F.col("dst")], "dst")
     totals = positive.groupBy(*keys).agg(F.sum("weight").alias("_total"))
     return ranked.join(totals, keys).select(
@@ -221,34 +221,28 @@ def network_metrics(edges: DataFrame) -> DataFrame:
     )
 
 
-#: A wide matrix has one column per destination; larger vocabularies stay an edge table.
-MATRIX_COLUMNS = 10_000
+def adjacency_matrix(edges: DataFrame, labels: list[str]) -> DataFrame:
+    """One row per origin and one column per label the caller names, 0 where there is no edge.
 
-
-def adjacency_matrix(edges: DataFrame, max_columns: int = MATRIX_COLUMNS) -> DataFrame:
-    """One row per origin and one column per node, 0 where there is no edge.
-
-    The sparse long form of the same matrix is the edge table itself.
+    The long form of the whole matrix, for any number of nodes, is the edge table itself.
     """
-    names = [row["node"] for row in nodes_of(edges).select("node").distinct().orderBy("node").limit(max_columns + 1).collect()]
-    if len(names) > max_columns:
-        raise ValueError(f"more than {max_columns} items: keep the matrix in long form, as edges")
     rows = nodes_of(edges).withColumnRenamed("node", "src").join(observed_edges(edges), ["graph_id", "src"], "left")
-    return rows.groupBy("graph_id", "src").pivot("dst", names).agg(F.sum("weight")).na.fill(0.0)
+    return rows.groupBy("graph_id", "src").pivot("dst", labels).agg(F.sum("weight")).na.fill(0.0)
 
 
-#: Fixed value: largest network whose matrix is written out cell by cell.
-MATRIX_NODES = 10
+def transition_matrix(edges: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """The matrix in long form, for graphs of any size.
 
-
-def transition_matrix(edges: DataFrame, max_nodes: int = MATRIX_NODES) -> DataFrame:
-    """All cells of those graphs that have at most ``max_nodes`` nodes; other graphs have none."""
-    nodes = nodes_of(edges)
-    small = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= max_nodes)
-    kept = nodes.join(small.drop("_n"), "graph_id", "left_semi")
-    # At most max_nodes squared rows per graph, by the filter above.
-    cells = kept.withColumnRenamed("node", "src").join(kept.withColumnRenamed("node", "dst"), "graph_id")
-    return cells.join(observed_edges(edges), PAIR, "left").select(*PAIR, F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    Without ``labels`` its cells that are not 0; with them, all cells between the nodes of each
+    graph that the caller names, zeros included.
+    """
+    cells = observed_edges(edges)
+    if labels is None:
+        return cells
+    kept = nodes_of(edges).filter(F.col("node").isin(labels)).withColumnRenamed("node", "src")
+    rows = kept.withColumn("dst", F.explode(F.array(*[F.lit(label) for label in labels])))
+    rows = rows.join(kept.withColumnRenamed("src", "dst"), ["graph_id", "dst"], "left_semi")
+    return rows.join(cells, PAIR, "left").select(*PAIR, F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 def matrix_to_edges(matrix: DataFrame, origin: str, graph: str | None = None) -> DataFrame:

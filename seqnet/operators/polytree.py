@@ -13,6 +13,8 @@ from seqnet.plans.lineage import cut
 
 # Default parameters of the exploratory poly-trees.
 TOP_K, MAX_DEPTH, MAX_BRANCHING, MIN_SCORE, PRESERVE_TARGET = 2, 5, 3, 0.0, 0.7
+# Limits of the reasons given for an edge.
+HEAVY, LIKELY, COVERING, CENTRAL, REPEATED = 0.7, 0.5, 0.05, 0.65, 0.35
 ALPHA, BETA, GAMMA, DELTA, EPSILON, ZETA = 0.35, 0.25, 0.15, 0.15, 0.05, 0.05
 
 
@@ -93,11 +95,11 @@ def multiobjective_polytree(
         cp = F.least(F.lit(1.0), F.lit(level / max(1, max_depth)) + F.col("_from") / F.lit(max(1, max_branching)))
         score = alpha * nw + beta * tp + gamma * cg + delta * F.col("centrality") - epsilon * rp - zeta * cp
         reason = (
-            F.when((nw >= 0.7) & (tp >= 0.5), "heavy and locally likely")
-            .when(cg >= 0.05, "good global coverage")
-            .when(F.col("centrality") >= 0.65, "central target")
-            .when((rp > 0) & (nw >= 0.35), "repeated target, kept for its weight")
-            .otherwise("balance of weight, coverage and centrality")
+            F.when((nw >= HEAVY) & (tp >= LIKELY), "heavy")
+            .when(cg >= COVERING, "covering")
+            .when(F.col("centrality") >= CENTRAL, "central")
+            .when((rp > 0) & (nw >= REPEATED), "repeated")
+            .otherwise("balanced")
         )
         order = [F.desc("score"), F.desc("weight"), F.col("dst"), F.col("src"), F.col("path")]
         rated = ways.withColumns({"score": score, "reason": reason}).filter(F.col("score") >= min_score)
@@ -120,7 +122,7 @@ def multiobjective_polytree(
         chosen = cut(rows if chosen is None else chosen.df.unionByName(rows))
         front = cut(step.df.select("graph_id", F.col("dst").alias("src"), "path"))
     if chosen is None:
-        raise ValueError("no edge reached the minimum score")
+        return base.df.limit(0).withColumns({"level": F.lit(0).cast("long"), "parent_path": F.lit(""), "score": F.lit(0.0), "reason": F.lit("")})
     return chosen.df.drop("new")
 
 

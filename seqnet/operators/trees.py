@@ -60,11 +60,16 @@ def choose_root_forward(edges: DataFrame) -> DataFrame:
     return node_strength(edges).groupBy("graph_id").agg(F.min_by("node", rank).alias("root"))
 
 
-def choose_root_greedy(edges: DataFrame) -> DataFrame:
-    """START if present, else the node with the largest out weight."""
+def choose_root_greedy(edges: DataFrame, centrality: DataFrame | None = None) -> DataFrame:
+    """START if present, else the node with the largest out weight.
+
+    Ties go by ``centrality`` (``graph_id, node, centrality``) where it is given, then by degree.
+    """
     group = F.when(F.upper("node") == START_NAMES[1], 0).otherwise(1)
-    rank = F.struct(group, -F.col("out_weight"), -F.col("out_degree"), F.col("node"))
-    return node_strength(edges).groupBy("graph_id").agg(F.min_by("node", rank).alias("root"))
+    nodes = node_strength(edges)
+    nodes = nodes.withColumn("centrality", F.lit(0.0)) if centrality is None else nodes.join(centrality, ["graph_id", "node"], "left")
+    rank = F.struct(group, -F.col("out_weight"), -F.coalesce("centrality", F.lit(0.0)), -F.col("out_degree"), F.col("node"))
+    return nodes.groupBy("graph_id").agg(F.min_by("node", rank).alias("root"))
 
 
 def as_nodes(roots: DataFrame) -> DataFrame:
@@ -359,7 +364,7 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
             F.inline(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))),
         )
     )
-    turned = with_chunks(ways.df.withColumn("_order", F.col("b")), ["graph_id", "a"], "_order")
+    turned = with_chunks(ways.df.withColumn("_order", F.col("b")), ["graph_id", "a"], ["_order"])
     turned = neighbours(turned, ["graph_id", "a"], [F.col("b")], "b", position=False)
     first = ways.df.groupBy("graph_id", "a").agg(F.min("b").alias("_first"))
     # The arc that enters ``a`` from ``b`` goes on to the neighbour of ``a`` after ``b``.

@@ -1,8 +1,8 @@
 """Ordered access inside groups, safe for groups too large for one task.
 
 A window over ``(graph, case)`` sorts each case in one task.  Cases with more than
-``HOT_ROWS`` rows are first divided into consecutive chunks along the order
-column; the window then runs per chunk and one small row per chunk carries the
+``HOT_ROWS`` rows are first divided into consecutive chunks along their full
+order; the window then runs per chunk and one small row per chunk carries the
 last item, the first item and the row count across the chunk borders.
 """
 
@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqnet.plans.lineage import cut, write_table
+
 #: A group larger than this is divided before it is sorted.
 HOT_ROWS = 2_000_000
 
@@ -30,43 +31,30 @@ def as_number(df: DataFrame, name: str) -> Column:
         return F.unix_micros(F.col(name)).cast("double")
     if kind == "date":
         return F.unix_date(F.col(name)).cast("double")
-    if kind == "string":
-        head = F.rpad(F.hex(F.encode(F.substring(F.col(name), 1, 6), "UTF-8")), 12, "0")
-        return F.conv(F.substring(head, 1, 12), 16, 10).cast("double")
     return F.col(name).cast("double")
 
 
-def with_chunks(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``_chunk`` when, and only when, some group holds more than ``hot_rows`` rows.
 
-    The chunk of a row depends on nothing but the row, so any branch of a plan that
-    recomputes it gets the same value.
+    Rows of hot groups are range-partitioned by group and full order, so every group gets cut
+    points of its own; rows that tie in everything are told apart by a random number.  The
+    chunked rows are written once, so all later steps see the same chunks.  ``df`` is read
+    once to count its groups: give a stored table where computing it is dear.
     """
     if CHUNK in df.columns:
         return df
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    seen = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
-    if not seen["groups"]:
+    hot = cut(sizes, _hot_rows=F.sum("_n"))
+    if not hot.rows:
         return df
-    # Every chunk of a hot group holds at most its share of all hot rows.
-    pieces = 2 * math.ceil(seen["rows"] / hot_rows)
-    hot = sizes.select(*keys, F.lit(True).alias("_hot"))
-    if seen["groups"] <= 100_000:
-        hot = F.broadcast(hot)
-    matched = [F.col(f"e.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    marked = (
-        df.withColumn("_along", as_number(df, order)).alias("e").join(hot.alias("h"), matched, "left").select("e.*", "h._hot")
-    )
-    marks = marked.filter("_hot").select("_along").approxQuantile(
-        "_along", [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)
-    )
-    splits = [-math.inf, *sorted(set(marks)), math.inf]
-    cutter = Bucketizer(splits=splits, inputCol="_along", outputCol=CHUNK, handleInvalid="keep")
-    return (
-        cutter.transform(marked)
-        .withColumn(CHUNK, F.when(F.col("_hot"), F.col(CHUNK).cast("int")).otherwise(F.lit(0)))
-        .drop("_along", "_hot")
-    )
+    # No chunk holds much more than half of the limit.
+    pieces = 2 * math.ceil(hot["_hot_rows"] / hot_rows)
+    groups = hot.small().select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
+    rows = df.join(groups, same, "left_semi").repartitionByRange(pieces, *keys, *order, F.rand(7))
+    placed = write_table(rows.withColumn(CHUNK, F.spark_partition_id() + 1))
+    return df.join(groups, same, "left_anti").withColumn(CHUNK, F.lit(0)).unionByName(placed)
 
 
 def neighbours(

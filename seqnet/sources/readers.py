@@ -37,9 +37,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """Per column: share of nulls, of numbers and of dates, distinct estimate and a sample value.
+    """Per column: share of nulls, of numbers and of dates, distinct count and a sample value.
 
-    One pass over the table, then one row per column.
+    The shares take one pass with one row per column as its result; the distinct values are
+    counted exactly, value by value, so no task holds a set of them.
     """
     figures = []
     for name in df.columns:
@@ -49,13 +50,16 @@ def profile_columns(df: DataFrame) -> DataFrame:
                 F.avg(text.isNull().cast("double")).alias("null_ratio"),
                 F.avg(text.try_cast("double").isNotNull().cast("double")).alias("number_ratio"),
                 F.avg(text.try_cast("timestamp_ntz").isNotNull().cast("double")).alias("date_ratio"),
-                F.approx_count_distinct(text).alias("distinct_estimate"),
                 F.min(text).alias("sample"),
             ).alias(name)
         )
     wide = df.agg(*figures)
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("f")) for n in df.columns]))
-    return wide.select(rows.alias("r")).select("r.column", "r.f.*")
+    shares = wide.select(rows.alias("r")).select("r.column", "r.f.*")
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), clean_text(F.col(f"`{n}`").cast("string")).alias("v")) for n in df.columns])))
+    values = cells.filter("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
+    return shares.join(counts, "column", "left").na.fill(0, ["distinct_count"])
 
 
 def parse_weighted_sequences(lines: DataFrame, counted: bool = False, skip_header: bool = True) -> DataFrame:
@@ -63,14 +67,19 @@ def parse_weighted_sequences(lines: DataFrame, counted: bool = False, skip_heade
 
     Items are separated by commas or, without commas, by white space; one unseparated
     word is a sequence of characters.  With ``counted`` a last comma field that is a
-    whole number counts how often the sequence occurred and is kept as its weight.
+    whole number counts how often the sequence occurred and is kept as its weight.  A first
+    line (least ``seq_id`` of a graph, or of each ``file`` where there is that column) that
+    holds header words only is skipped; later lines are data whatever they hold.
     """
     line = F.regexp_replace("value", r"^\s+|\s+$", "")
-    rows = lines.select("graph_id", "seq_id", line.alias("line")).filter("line <> ''")
+    keys = ["graph_id", *(["file"] if "file" in lines.columns else [])]
+    rows = lines.select(*keys, "seq_id", line.alias("line")).filter("line <> ''")
     if skip_header:
-        words = F.transform(F.split(F.lower("line"), ","), lambda w: F.trim(w))
+        words = F.transform(F.split(F.lower("_head"), ","), lambda w: F.trim(w))
         header = F.forall(words, lambda w: w.isin(*COUNT_HEADERS, *SEQUENCE_HEADERS))
-        rows = rows.filter(~header)
+        first = rows.groupBy(*keys).agg(F.min("seq_id").alias("seq_id"), F.min_by("line", "seq_id").alias("_head"))
+        # One row per file at most.
+        rows = rows.join(first.filter(header).drop("_head"), [*keys, "seq_id"], "left_anti")
     count = F.regexp_extract("line", r",\s*([+-]?[0-9]+)$", 1) if counted else F.lit("")
     body = F.when(count != "", F.regexp_replace("line", r",\s*[+-]?[0-9]+$", "")).otherwise(F.col("line"))
     rows = rows.select("graph_id", "seq_id", body.alias("body"), F.coalesce(count.try_cast("long"), F.lit(1)).alias("count"))
@@ -84,9 +93,11 @@ def parse_weighted_sequences(lines: DataFrame, counted: bool = False, skip_heade
 
 
 def numbered_lines(spark: SparkSession, path: str, graph_id: str = "all") -> DataFrame:
-    """Text lines with an id that follows file order within each file split."""
+    """Text lines with their file and an id that sorts in file order: file, split, row of the split."""
     lines = spark.read.text(path)
-    return lines.select(F.lit(graph_id).alias("graph_id"), F.monotonically_increasing_id().alias("seq_id"), "value")
+    place = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    order = F.concat_ws(" ", "_metadata.file_path", *[F.lpad(p.cast("string"), 20, "0") for p in place])
+    return lines.select(F.lit(graph_id).alias("graph_id"), F.col("_metadata.file_path").alias("file"), order.alias("seq_id"), "value")
 
 
 def read_weighted_sequences(spark: SparkSession, path: str, counted: bool = True, graph_id: str = "all") -> DataFrame:
@@ -96,18 +107,20 @@ def read_weighted_sequences(spark: SparkSession, path: str, counted: bool = True
 def parse_numeric_sequences(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Digit-only lines as sequences, and the other lines with the reason.
 
-    The first line (least ``seq_id``) of a graph is skipped when it is a lone number equal
-    to the count of the other lines, or when it holds a word that is no number.
+    The first line (least ``seq_id``) of a graph, or of each ``file`` where there is that
+    column, is skipped when it is a lone number equal to the count of the other lines, or
+    when it holds a word that is no number.
     """
+    keys = ["graph_id", *(["file"] if "file" in lines.columns else [])]
     line = F.regexp_replace("value", r"^\s+|\s+$", "")
-    rows = lines.select("graph_id", "seq_id", line.alias("line")).filter("line <> ''")
-    first = rows.groupBy("graph_id").agg(
+    rows = lines.select(*keys, "seq_id", line.alias("line")).filter("line <> ''")
+    first = rows.groupBy(*keys).agg(
         F.min("seq_id").alias("seq_id"), F.min_by("line", "seq_id").alias("_head"), F.count(F.lit(1)).alias("_lines")
     )
     lone = F.col("_head").rlike("^[0-9]+$") & (F.col("_head").try_cast("long") == F.col("_lines") - 1)
-    header = first.filter(lone | ~F.col("_head").rlike(r"^[0-9]+(\s+[0-9]+)*$")).select("graph_id", "seq_id")
-    # One row per graph at most.
-    body = rows.join(header, ["graph_id", "seq_id"], "left_anti")
+    header = first.filter(lone | ~F.col("_head").rlike(r"^[0-9]+(\s+[0-9]+)*$")).select(*keys, "seq_id")
+    # One row per file at most.
+    body = rows.join(header, [*keys, "seq_id"], "left_anti")
     good = F.col("line").rlike(r"^[0-9]+(\s+[0-9]+)*$")
     items = F.split("line", r"\s+")
     sequences = body.filter(good).select("graph_id", "seq_id", items.alias("items"), F.lit(1).cast("long").alias("weight"))
