@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +24,74 @@ def variation_label(column: Column | str) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value), label)
 
 
-def quantile_cuts(df: DataFrame, column: str) -> list[float] | None:
-    """Exact tertile cut points, or None when two edges of the three bins collide.
+#: Bins of one histogram pass.
+BINS = 512
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, list[float] | None]:
+    """Exact quantiles of several columns, interpolated between neighbouring ranks; None without values.
 
-    ``percentile`` keeps one counter per distinct value and combines them before
-    the shuffle, so its state grows with distinct values, not with rows.
+    The first pass counts and finds the range; each further one narrows every wanted rank to
+    one of ``BINS`` parts of its bracket, all columns together, until a bracket holds a single
+    value.  No task and no driver holds more than the bins.
     """
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()])
+    rows = df.select(F.inline(cells)).filter("v is not null and not isnan(v)")
+    ranges = {r["name"]: r for r in rows.groupBy("name").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    found: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, int], tuple[float, float, int]] = {}
+    for name, r in ranges.items():
+        for share in shares:
+            at = (r["n"] - 1) * share
+            open_ |= {(name, rank): (r["lo"], r["hi"], 0) for rank in (math.floor(at), math.ceil(at))}
+    while open_:
+        brackets = sorted({(name, lo, hi) for (name, _), (lo, hi, _) in open_.items()})
+        # At most two brackets for each wanted quantile.
+        sides = F.broadcast(df.sparkSession.createDataFrame(brackets, "name string, lo double, hi double"))
+        inside = rows.join(sides, "name").filter("v >= lo and v <= hi")
+        place = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1).cast("long"))
+        inside = inside.withColumn("bin", F.when(F.col("hi") > F.col("lo"), place).otherwise(F.lit(0).cast("long")))
+        bins = inside.groupBy("name", "lo", "hi", "bin").agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
+        by: dict[tuple, list] = {}
+        for r in sorted(bins, key=lambda r: r["bin"]):
+            by.setdefault((r["name"], r["lo"], r["hi"]), []).append(r)
+        narrowed = {}
+        for (name, rank), (lo, hi, before) in open_.items():
+            for r in by[name, lo, hi]:
+                if rank < before + r["n"]:
+                    break
+                before += r["n"]
+            if r["least"] == r["most"] or rank == before:
+                found[name, rank] = r["least"]
+            elif rank == before + r["n"] - 1:
+                found[name, rank] = r["most"]
+            else:
+                narrowed[name, rank] = (r["least"], r["most"], before)
+        open_ = narrowed
+    out: dict[str, list[float] | None] = {}
+    for name in columns:
+        out[name] = None
+        if name in ranges:
+            places = [(ranges[name]["n"] - 1) * share for share in shares]
+            ends = [(at, math.floor(at), math.ceil(at)) for at in places]
+            out[name] = [
+                found[name, a] if found[name, a] == found[name, z] else (z - at) * found[name, a] + (at - a) * found[name, z] for at, a, z in ends
+            ]
+    return out
+
+
+TERTILES = [0.0, 1 / 3, 2 / 3, 1.0]
+
+
+def tertile_cuts(edges: list[float] | None) -> list[float] | None:
+    """The two inner edges of three bins, or None when two edges collide."""
+    return [edges[1], edges[2]] if edges and len(set(edges)) == 4 else None
+
+
+def quantile_cuts(df: DataFrame, column: str) -> list[float] | None:
+    """Exact tertile cut points, or None when two edges of the three bins collide."""
     value = F.col(column).try_cast("double") if df.schema[column].dataType.typeName() == "string" else F.col(column).cast("double")
-    row = df.select(value.alias("v")).filter("not isnan(v)").agg(
-        F.percentile("v", F.array(F.lit(0.0), F.lit(1 / 3), F.lit(2 / 3), F.lit(1.0))).alias("p")
-    ).first()
-    edges = row["p"]
-    if not edges or len(set(edges)) < 4:
-        return None
-    return [edges[1], edges[2]]
+    return tertile_cuts(exact_quantiles(df, {column: value}, TERTILES)[column])
 
 
 def quantile_label(column: Column | str, cuts: list[float] | None) -> Column:

@@ -224,7 +224,8 @@ def build_events(
             *[F.avg(F.trim(F.col(p)).try_cast("double").isNotNull().cast("double")).alias(p) for p in texts]
         ).first().asDict()
     rules: dict[str, str] = {}
-    labels: list[Column] = []
+    labels: list[Column | str] = []
+    binned: dict[str, Column] = {}
     numeric_kinds = ("byte", "short", "integer", "long", "float", "double", "decimal")
     for part in parts:
         kind = df.schema[part].dataType.typeName()
@@ -239,12 +240,19 @@ def build_events(
             labels.append(F.coalesce(discretize.variation_label(number), F.lit("UNKNOWN")))
         elif mode in ("quantile", "quantiles"):
             rules[part] = "quantiles_low_medium_high"
-            label = discretize.quantile_label(number, discretize.quantile_cuts(df, part))
-            labels.append(F.coalesce(F.concat(F.lit(f"{part}_"), label), F.lit("UNKNOWN")))
+            binned[part] = number
+            labels.append(part)
         else:
             rules[part] = "ignored_numeric" if mode in ("ignore", "ignored") else "ignored_numeric_without_discretization"
     if not labels:
         raise ValueError("no event column is left: choose text columns or discretize numeric ones")
+    edges = discretize.exact_quantiles(df, binned, discretize.TERTILES) if binned else {}
+
+    def binned_label(part: str) -> Column:
+        label = discretize.quantile_label(binned[part], discretize.tertile_cuts(edges[part]))
+        return F.coalesce(F.concat(F.lit(f"{part}_"), label), F.lit("UNKNOWN"))
+
+    labels = [binned_label(label) if isinstance(label, str) else label for label in labels]
     when = read_order(df, order)
     case_id = _label(df, case, False) if case_window == "none" else discretize.window_case_id(when, case_window)
     out = df.select(

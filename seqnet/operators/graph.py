@@ -42,7 +42,7 @@ def hops(edges: DataFrame, starts: DataFrame, directed: bool = True) -> Stage:
                 "graph_id", F.col("dst").alias("node"), F.lit(step + 1).cast("long").alias("level")
             )
             table = table.unionByName(reached).groupBy("graph_id", "node").agg(F.min("level").alias("level"))
-        before, state = state.rows, cut(table, arcs.tiny, last=F.max("level"))
+        before, state = state.rows, cut(table, arcs.tiny, replaces=state, last=F.max("level"))
         depth += steps
         if state.rows == before or (state["last"] or 0) < depth:
             return state
@@ -193,6 +193,7 @@ def pagerank(edges: DataFrame, rounds: int = RANK_ROUNDS) -> DataFrame:
                 F.col("_still").alias("done"),
             ),
             share.tiny,
+            replaces=state,
             open=F.count_if(~F.col("done")),
         )
         if not state["open"]:
@@ -228,7 +229,7 @@ def distances(edges: DataFrame, length: str = "weight") -> Stage:
         known = state.df.select("graph_id", "origin", "node", "dist", F.col("dist").alias("_old"))
         best = known.unionByName(longer).groupBy("graph_id", "origin", "node").agg(F.min("dist").alias("dist"), F.max("_old").alias("_old"))
         fresh = F.col("_old").isNull() | (F.col("dist") < F.col("_old"))
-        state = cut(best.select("graph_id", "origin", "node", "dist", fresh.alias("fresh")), fresh=F.count_if(F.col("fresh")))
+        state = cut(best.select("graph_id", "origin", "node", "dist", fresh.alias("fresh")), replaces=state, fresh=F.count_if(F.col("fresh")))
         if not state["fresh"]:
             return state
 
@@ -259,7 +260,7 @@ def betweenness(edges: DataFrame, max_edges: int | None = None) -> DataFrame:
         got = tight.df.join(paths.df.withColumnRenamed("node", "src"), [*key, "src"]).groupBy(*key, F.col("dst").alias("node")).agg(F.sum("paths").alias("_got"))
         new = F.coalesce("_got", (F.col("origin") == F.col("node")).cast("double"))
         table = paths.df.join(got, [*key, "node"], "left").select(*key, "node", new.alias("paths"), (new != F.col("paths")).alias("_moved"))
-        step = cut(table, moved=F.count_if(F.col("_moved")))
+        step = cut(table, replaces=paths, moved=F.count_if(F.col("_moved")))
         paths = step
         if not step["moved"]:
             break
@@ -277,7 +278,7 @@ def betweenness(edges: DataFrame, max_edges: int | None = None) -> DataFrame:
         new = F.coalesce("_got", F.lit(0.0))
         moved = F.abs(new - F.col("through")) > 1e-12 * (1 + F.abs(new))
         table = through.df.join(got, [*key, "node"], "left").select(*key, "node", new.alias("through"), moved.alias("_moved"))
-        through = cut(table, moved=F.count_if(F.col("_moved")))
+        through = cut(table, replaces=through, moved=F.count_if(F.col("_moved")))
         if not through["moved"]:
             break
     sums = through.df.filter("origin <> node").groupBy("graph_id", "node").agg(F.sum("through").alias("_sum"))

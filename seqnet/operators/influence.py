@@ -90,8 +90,9 @@ def latency_pairs(
 
     An equi-join on entity and latency bucket, the earlier side in its own and the next
     bucket.  Equal (entity, time, signal) rows are counted first and pairs carry the
-    product of their counts.  Buckets with very many events are divided: each piece
-    joins a part of the earlier side with the whole later side.
+    product of their counts.  Buckets with very many events are divided in time, both sides:
+    a piece joins one short stretch of the earlier side with one of the later side within
+    reach, so the rows of a task do not grow with the bucket.
     """
     width = max(1, int(latency_seconds * MICROS))
     counted = signals.groupBy(*ENTITY, "t", "signal").agg(F.count(F.lit(1)).alias("n"))
@@ -101,11 +102,19 @@ def latency_pairs(
     late = counted.select(*keys, F.col("t").alias("t1"), F.col("signal").alias("to_signal"), F.col("n").alias("n1"))
     full = cut(early.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_bucket_rows))
     if full.rows:
-        parts = full.small().select(*keys, F.ceil(F.col("_n") / hot_bucket_rows).cast("int").alias("_parts"))
-        one = F.coalesce("_parts", F.lit(1))
-        early = early.join(parts, keys, "left").withColumn("_part", F.pmod(F.xxhash64("t0", "from_signal"), one).cast("int")).drop("_parts")
-        late = late.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
-        keys = [*keys, "_part"]
+        parts = full.small().select(*keys, F.ceil(F.col("_n") / hot_bucket_rows).alias("_parts"))
+        parts = parts.withColumn("_step", F.ceil(F.lit(width) / F.col("_parts")))
+
+        def stretch(time: str) -> Column:
+            return F.when(F.col("_step").isNotNull(), F.floor(F.col(time) / F.col("_step"))).otherwise(F.lit(0).cast("long"))
+
+        # Within ``width`` lie at most ``_parts`` further stretches; other buckets keep one piece.
+        reach = F.coalesce("_parts", F.lit(0).cast("long"))
+        early = early.join(parts, keys, "left").withColumn("_early", stretch("t0"))
+        early = early.withColumn("_late", F.explode(F.sequence(F.col("_early"), F.col("_early") + reach))).drop("_parts", "_step")
+        late = late.join(parts, keys, "left").withColumn("_late", stretch("t1"))
+        late = late.withColumn("_early", F.explode(F.sequence(F.col("_late") - reach, F.col("_late")))).drop("_parts", "_step")
+        keys = [*keys, "_early", "_late"]
     gap = F.col("t1") - F.col("t0")
     pairs = early.join(late, keys).filter((gap > 0) & (gap <= width))
     return pairs.select("graph_id", "entity", "from_signal", "to_signal", gap.alias("dt"), (F.col("n0") * F.col("n1")).alias("n"))

@@ -47,8 +47,9 @@ CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 class Stage:
     """A written DataFrame together with figures measured while it was written."""
 
-    def __init__(self, df: DataFrame, columns: int, figures: dict):
+    def __init__(self, df: DataFrame, columns: int, figures: dict, path: str = ""):
         self.figures = figures
+        self.path = path
         self.rows = figures["_rows"]
         self.bytes = (figures["_text"] or 0) + 16 * columns * self.rows
         self.tiny = self.bytes <= ONE_PARTITION_BYTES
@@ -69,28 +70,26 @@ class Stage:
 
 
 def _text_bytes(df: DataFrame):
+    """Bytes of text, binary and nested values; nested ones count as they read when printed."""
     total = F.lit(0).cast("long")
     for field in df.schema.fields:
         kind = field.dataType.typeName()
-        if kind == "string":
+        if kind in ("string", "binary"):
             total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
-        elif kind == "struct":
-            for inner in field.dataType.fields:
-                if inner.dataType.typeName() == "string":
-                    total = total + F.coalesce(F.octet_length(f"{field.name}.{inner.name}"), F.lit(0))
-        elif kind == "array":
-            total = total + F.coalesce(F.size(field.name), F.lit(0)) * 64
+        elif kind in ("struct", "array", "map"):
+            total = total + F.coalesce(F.octet_length(F.col(field.name).cast("string")), F.lit(0))
     return F.sum(total)
 
 
-def cut(df: DataFrame, tiny: bool = False, **figures) -> Stage:
+def cut(df: DataFrame, tiny: bool = False, replaces: Stage | None = None, **figures) -> Stage:
     """Write ``df`` as a table into the checkpoint folder in one job and measure it on the way.
 
     Reading the table back gives a plan with no history at all: a lost executor costs a
     re-read, and neither constraints nor orderings pile up over the rounds of a loop.
     ``tiny`` marks results that are bounded by inputs measured as tiny; they are written
     as one file.  ``figures`` are extra aggregate columns observed in the same job, so a
-    loop learns whether anything changed without a second action.
+    loop learns whether anything changed without a second action.  ``replaces`` names the
+    table of the round before, which nothing reads once this one is written: it is removed.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/seqnet-{uuid.uuid4().hex}"
@@ -108,7 +107,9 @@ def cut(df: DataFrame, tiny: bool = False, **figures) -> Stage:
         watched.write.options(**WRITE_OPTIONS).parquet(path)
     finally:
         spark.conf.set(CONSTRAINTS, before)
-    return Stage(spark.read.schema(df.schema).parquet(path), len(df.schema.fields), seen.get)
+    if replaces is not None:
+        remove(spark, replaces.path)
+    return Stage(spark.read.schema(df.schema).parquet(path), len(df.schema.fields), seen.get, path)
 
 
 def keep(df: DataFrame) -> DataFrame:
