@@ -19,6 +19,9 @@ from seqnet.llm.simhash import drop_near_duplicates
 from seqnet.llm.toxicity import drop_toxic
 from seqnet.plans.lineage import write_table
 
+#: Texts of similarity 0.8 differ in 9 or 10 of 64 bits on average.
+NEAR_BITS = 10
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; learnt from the labels of the folder."""
@@ -33,9 +36,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, at most 4 of 64 bits apart."""
+    """One document of each group of near copies: similarity of 0.8 or more on shingles of five words.
+
+    Fingerprints at most ``NEAR_BITS`` bits apart are compared exactly.
+    """
     on_workers(spark)
-    return drop_near_duplicates(docs, width=5)
+    return drop_near_duplicates(docs, width=5, max_distance=NEAR_BITS, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ SUB_BITS = 8
 PROBE_COST, VERIFY_COST = 1.0, 0.01
 #: Fingerprints on which partition numbers are compared; affects cost only, not results.
 PLAN_SAMPLE = 2000
+#: Most partitions that are considered.
+MOST_PARTS = 8
 POPCOUNT = np.array([bin(i).count("1") for i in range(1 << SUB_BITS)], dtype=np.uint8)
 
 
@@ -47,26 +49,32 @@ def bits_of(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def fingerprint(raw: bytes, width: int) -> int:
-    """SimHash of a UTF-8 text as a signed 64-bit integer; zero without words.
+def shingle_hashes(raw: bytes, width: int) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles of a UTF-8 text, some at a time; none without words.
 
     Lower-cases A-Z only; words end at blanks, tabs, line ends and form feeds.
     """
     words = raw.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     width = min(width, len(words))
     firsts, lasts = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    hash64, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    hash64 = xxhash.xxh64_intdigest
     for at in range(0, len(firsts), BLOCK):
         spans = zip(firsts[at : at + BLOCK], lasts[at : at + BLOCK], strict=True)
-        hashes = np.array([hash64(joined[a:z], 42) for a, z in spans], dtype=np.uint64)
-        ones += bits_of(hashes).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(firsts), bitorder="little").view(np.int64)[0])
+        yield np.array([hash64(joined[a:z], 42) for a, z in spans], dtype=np.uint64)
+
+
+def fingerprint(raw: bytes, width: int) -> int:
+    """SimHash of a UTF-8 text as a signed 64-bit integer; zero without words."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(raw, width):
+        ones, n = ones + bits_of(hashes).sum(axis=0, dtype=np.int64), n + len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
@@ -193,7 +201,7 @@ def make_plan(classes: DataFrame, max_distance: int) -> Plan:
     thousand sums.  Only the comparison of plans uses ``PLAN_SAMPLE`` fingerprints.
     """
     correlation = bit_correlation(classes)
-    plans = [Plan(correlated_groups(correlation, parts), max_distance) for parts in range(max(1, min(2, max_distance + 1)), max_distance + 2)]
+    plans = [Plan(correlated_groups(correlation, parts), max_distance) for parts in range(min(2, max_distance + 1), min(MOST_PARTS, max_distance + 1) + 1)]
     places = [(p, g, b, block) for p, plan in enumerate(plans) for g, blocks in enumerate(plan.blocks) for b, block in enumerate(blocks)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,18 +272,64 @@ def links(classes: DataFrame, max_distance: int = 4) -> DataFrame:
     return probes.join(index, (probes["key"] == index["key"]) & close).select(F.col("query").alias("src"), F.col("fp").alias("dst"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, max_distance: int = 4) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """``fp, shingles``: fingerprint and sorted different shingle hashes (32 bits of each) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, sets = [], []
+            for raw in batch.column(0).to_pylist():
+                hashes = [np.unique((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)) for h in shingle_hashes(raw, width)]
+                marks.append(fingerprint(raw, width))
+                sets.append(np.unique(np.concatenate(hashes or [np.zeros(0, np.uint32)])).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    return docs.select(raw_text(text).alias("raw")).mapInArrow(run, "fp bigint, shingles binary")
+
+
+def similar(found: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, similarity: float) -> DataFrame:
+    """Those links whose shingle sets have at least this Jaccard similarity, compared exactly.
+
+    Only texts that stand for a linked fingerprint are read again, one for each.
+    """
+    pairs = write_table(found.distinct())
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    heads = write_table(classes.join(ends, "fp").select(F.col("first").alias("_head")).filter("_head is not null"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
+    texts = texts.join(heads, texts["_id"] == heads["_head"], "left_semi")
+    sets = write_table(shingle_sets(texts, "_id", "text", width).groupBy("fp").agg(F.min("shingles").alias("shingles")))
+    left = sets.withColumnsRenamed({"fp": "src", "shingles": "_left"})
+    right = sets.withColumnsRenamed({"fp": "dst", "shingles": "_right"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(common >= similarity * (len(a) + len(b) - common))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["src", "dst"])
+
+    both = pairs.join(left, "src").join(right, "dst").select("src", "dst", "_left", "_right")
+    return both.mapInArrow(run, "src bigint, dst bigint")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, max_distance: int = 4, similarity: float | None = None
+) -> DataFrame:
     """``doc_id, fingerprint, component_id, kept`` of each row.
 
     ``component_id`` is the least id reachable over links, the row's own included; ``kept``
-    marks the one document of each group that stays.  Null and empty texts have fingerprint
-    zero and link like any other.  Rows that repeat an id are one document.  A null id is
+    marks the one document of each group that stays.  With ``similarity``, two fingerprints that
+    differ link only when their texts' shingle sets have at least this Jaccard similarity too.
+    Null and empty texts have fingerprint zero and link like any other.  Rows that repeat an id are one document.  A null id is
     never a component's id unless no other id is in it; such rows count as kept.  An empty
     table gives an empty result; other columns are ignored.
     """
     marks = write_table(fingerprints(docs, id_col, text, width))
     classes = write_table(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = write_table(links(classes, max_distance))
+    found = links(classes, max_distance)
+    found = write_table(found if similarity is None else similar(found, classes, docs, id_col, text, width, similarity))
     labels = component_labels(found.select(F.lit(0).alias("graph_id"), "src", "dst"))
     linked = write_table(labels.select(F.col("node").alias("fp"), "component").join(classes, "fp"))
     least = linked.groupBy("component").agg(F.min("first").alias("least"))

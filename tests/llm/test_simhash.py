@@ -31,6 +31,47 @@ def plain_groups(marks, distance):
     return lead
 
 
+def similar_groups(texts, width=5, distance=10, similarity=0.8):
+    """Least id reachable over equal fingerprints, and close ones whose shingle sets are similar, by all pairs."""
+    marks = {i: plain_mark(t, width) for i, t in texts.items()}
+    sets = {}
+    for i, t in texts.items():
+        words = (t or "").encode().lower().split()
+        sets[i] = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+    lead = {i: i for i in texts}
+    near = []
+    for i in texts:
+        for j in texts:
+            apart = (marks[i] ^ marks[j]).bit_count()
+            if i < j and (apart == 0 or apart <= distance and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])):
+                near.append((i, j))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            if lead[i] != lead[j]:
+                lead[i] = lead[j] = min(lead[i], lead[j])
+                changed = True
+    return lead
+
+
+@pytest.mark.parametrize("distance", [6, 10])
+def test_similarity_decides_among_close_fingerprints(spark, documents, distance):
+    """Copies with more and more words changed: those of similarity 0.8 within the distance are one group."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 40):
+        words = list(base)
+        for k in rng.choice(200, i // 2, replace=False):
+            words[k] = f"other{i}x{k}"
+        texts[i] = " ".join(words)
+    texts |= {100 + i: " ".join(f"u{i}v{k}" for k in range(150)) for i in range(10)}
+    found = simhash.near_duplicates(documents(list(texts.items())), width=5, max_distance=distance, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == similar_groups(texts, 5, distance)
+    assert {0, 1, 2, 3} <= {r["doc_id"] for r in found if r["component_id"] == 0}
+
+
 def test_query_equals_all_pairs(spark):
     rows = spark.read.parquet(f"{TABLES}/documents.parquet").collect()
     marks = [(r["doc_id"], plain_mark(r["text"], 4)) for r in rows]
