@@ -36,7 +36,8 @@ from seqnet.operators import metrics as me
 from seqnet.operators import network as nw
 from seqnet.operators import polytree as pt
 from seqnet.operators import trees as tr
-from seqnet.plans.lineage import cut, keep
+from seqnet.plans import analysis
+from seqnet.plans.lineage import keep
 from seqnet.sources import readers as rd
 from seqnet.sources.writers import write_tables
 
@@ -794,27 +795,14 @@ def graph_center(spark, folder):
     return me.graph_center(brand_network(spark, folder))
 
 
-def _comparison(spark, folder) -> DataFrame:
-    states, net = segment_states(spark, folder), segment_network(spark, folder)
-    state_roots = keep(tr.choose_root_2007(states))
-    roots = keep(tr.choose_root_forward(net))
-    starts = keep(tr.start_edges(net))
-    rows = [
-        me.method_row(me.METHODS[0], states, tr.max_rooted_branching(states, state_roots), state_roots.select("graph_id", F.col("root").alias("anchor"))),
-        me.method_row(me.METHODS[1], net, tr.forward_tree(net, roots), roots.select("graph_id", F.col("root").alias("anchor"))),
-        me.method_row(me.METHODS[2], net, tr.back_forward_polytree(net), starts.select("graph_id", F.concat_ws(" -> ", "src", "dst").alias("anchor"))),
-    ]
-    return cut(me.compare_methods(rows)).df
-
-
 @query
 def compare_methods(spark, folder):
-    return rounded(_comparison(spark, folder))
+    return rounded(analysis.analyse_sequences(segment_events(spark, folder)).comparison)
 
 
 @query
 def rank_methods(spark, folder):
-    return rounded(me.rank_methods(_comparison(spark, folder)))
+    return rounded(analysis.analyse_sequences(segment_events(spark, folder)).ranking)
 
 
 @query
