@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqnet.plans.lineage import shared_folder, write_table
+from seqnet.plans.lineage import cut, shared_folder, write_table
 
 MAGIC = b"WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
@@ -241,7 +241,8 @@ def late_digests(spark: SparkSession, path: str, late: DataFrame, base: DataFram
     ends = late.withColumn("end", F.col("body") + F.col("size"))
     spans = base.withColumn("stop", F.coalesce(F.lead("base").over(_by_file()), F.lit(1 << 62)))
     reach = ends.join(spans, "file").filter("base < end and stop > body").select("file", "block", "at", "body", "end", "base")
-    parts = rows.join(reach, ["file", "block"]).withColumn("place", F.col("place") + F.col("base"))
+    # Sent to the readers of the splits while its measured size allows, so that they pass on nothing but these payloads.
+    parts = rows.join(cut(reach).small(), ["file", "block"]).withColumn("place", F.col("place") + F.col("base"))
     parts = parts.filter(F.expr(f"place < end and place + octet_length(raw) + {len(BREAK)} > body"))
 
     def join_up(key: tuple, table: pa.Table) -> pa.Table:
