@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqnet.operators.graph import arcs_of, component_labels, graph_summary, is_dag, reachable_all
 from seqnet.operators.network import network_metrics, node_strength, nodes_of
-from seqnet.operators.trees import as_nodes
+from seqnet.operators.trees import ancestors, as_nodes, orient
 from seqnet.plans.lineage import cut
 
 
@@ -160,20 +160,31 @@ def condensation_metrics(edges: DataFrame, tree: DataFrame, reachable: DataFrame
 
 
 def tree_center(tree: DataFrame) -> DataFrame:
-    """Center of an undirected tree by removing leaves layer by layer; the lesser name of two."""
-    links = cut(arcs_of(tree, directed=False))
-    last = nodes_of(tree).groupBy("graph_id").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("_n"))
-    parts = [last.filter("_n <= 2").select("graph_id", "center")]
-    while links.rows:
-        # A graph is done when one node or one edge is left.
-        degree = links.df.groupBy("graph_id", "src").agg(F.count(F.lit(1)).alias("_d"))
-        inner = degree.filter(F.col("_d") > 1).select("graph_id", "src")
-        left = inner.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_i"), F.min("src").alias("_one"))
-        next_links = links.df.join(inner, ["graph_id", "src"], "left_semi").join(inner.withColumnRenamed("src", "dst"), ["graph_id", "dst"], "left_semi")
-        done = cut(left.filter("_i <= 2").select("graph_id", F.col("_one").alias("center")))
-        parts.append(done.df)
-        links = cut(next_links.select("graph_id", "src", "dst").join(done.small(links).select("graph_id"), "graph_id", "left_anti"))
-    return reduce(DataFrame.unionByName, parts)
+    """Center of an undirected tree; the lesser name of two.
+
+    The farthest node from any node is one end of a longest path, the farthest from that the
+    other; the center is the node nearest to the farther of the two ends.  Each of the three
+    sweeps takes rounds that grow with the logarithm of the depth.
+    """
+    links = arcs_of(tree.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+    links = cut(links.withColumn("weight", F.lit(1.0)))
+    if not links.rows:
+        return nodes_of(tree).groupBy("graph_id").agg(F.min("node").alias("center"))
+
+    def levels(starts: DataFrame) -> DataFrame:
+        reached = ancestors(cut(orient(links.df, starts))).df.select("graph_id", "node", "level")
+        return reached.unionByName(starts.select("graph_id", "node", F.lit(0).cast("long").alias("level")))
+
+    def farthest(found: DataFrame) -> DataFrame:
+        return cut(found.groupBy("graph_id").agg(F.max_by("node", F.struct("level", "node")).alias("node"))).df
+
+    one = farthest(levels(nodes_of(links.df).groupBy("graph_id").agg(F.min("node").alias("node"))))
+    from_one = cut(levels(one)).df
+    from_other = levels(farthest(from_one)).withColumnRenamed("level", "_other")
+    reach = F.struct(F.greatest("level", "_other"), F.col("node"))
+    centers = from_one.join(from_other, ["graph_id", "node"]).groupBy("graph_id").agg(F.min_by("node", reach).alias("center"))
+    alone = nodes_of(tree).join(centers, "graph_id", "left_anti").groupBy("graph_id").agg(F.min("node").alias("center"))
+    return centers.unionByName(alone)
 
 
 def graph_center(edges: DataFrame) -> DataFrame:
