@@ -71,4 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op6_source_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": licenses.oracle(),
+    "op6_source_mixing": mixing.oracle(),
+    "op9_line_dedup": linededup.oracle(),
+    "op10_warc": warc.oracle(),
+}

@@ -320,3 +320,21 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return joined.select(*docs.columns, name).mapInArrow(run, docs.schema)
+
+
+def oracle(min_chars: int = 20, min_docs: int = 3) -> str:
+    """The digests of ``line_report``, by grouping the keys themselves."""
+    blanks = " || ".join(f"chr({b})" for b in BLANK)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+        WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        lines AS (SELECT row_id, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM texts),
+        keyed AS (SELECT *, translate(trim(line, {blanks}), '{letters}', '{letters.lower()}') AS key FROM lines),
+        shared AS (
+            SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= {min_chars} GROUP BY key HAVING count(DISTINCT doc_id) >= {min_docs}
+        ),
+        marked AS (SELECT keyed.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM keyed LEFT JOIN shared USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY row_id, doc_id
+    """

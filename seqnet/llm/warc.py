@@ -292,3 +292,19 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     path = archive_path(spark)
     write(pages, path, least)
     return digests(records(spark, path), pages.schema["page_id"].dataType.simpleString())
+
+
+def oracle() -> str:
+    """What a round trip of the pages must report; base 32 is spelt out by groups of 40 bits."""
+    return """
+        WITH marked AS (
+            SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, sha1(coalesce(html, '')) AS mark FROM pages
+        ),
+        parts AS (SELECT *, [CAST('0x' || mark[10 * i + 1:10 * i + 10] AS BIGINT) FOR i IN range(4)] AS words FROM marked)
+        SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+            array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((words[i // 8 + 1] >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) + 1 AS BIGINT), 1) FOR i IN range(32)], '')
+                AS payload_digest,
+            CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first < page_id THEN first END AS refers_to
+        FROM parts
+    """
