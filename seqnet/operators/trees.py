@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqnet.operators.graph import reachable_subgraph
 from seqnet.operators.network import PAIR, node_strength, observed_edges
-from seqnet.plans.lineage import Stage, cut
+from seqnet.plans.lineage import Stage, beside, cut
 from seqnet.plans.ordering import neighbours, with_chunks
 
 # Names that mark a start node, and the directions of poly-tree edges.
@@ -93,7 +93,7 @@ def ancestors(tree: DataFrame | Stage, paths: bool = False) -> Stage:
     while True:
         for _ in range(3 if tiny else 1):
             ahead = table.select("graph_id", F.col("node").alias("top"), *[F.col(c).alias(f"_{c}") for c in table.columns[2:]])
-            joined = table.join(ahead, ["graph_id", "top"], "left")
+            joined = table.join(beside(ahead, tiny), ["graph_id", "top"], "left")
             new = [
                 F.coalesce("_top", "top").alias("top"),
                 (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"),
@@ -176,13 +176,13 @@ def cycle_members(pointers: DataFrame, size: Stage) -> DataFrame:
         for _ in range(steps):
             ahead = table.select("graph_id", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
             # Rows that point at a node without a pointer of its own are on no cycle.
-            table = table.join(ahead, ["graph_id", "to"]).select(
+            table = table.join(beside(ahead, size.tiny), ["graph_id", "to"]).select(
                 "graph_id", "node", F.col("_to").alias("to"), F.least("low", "_low").alias("low")
             )
         state = cut(table, size.tiny)
         table, rows, reach = state.df, state.rows, reach * 2**steps
     on_cycle = table.select("graph_id", F.col("to").alias("node")).distinct()
-    return table.join(on_cycle, ["graph_id", "node"], "left_semi").select("graph_id", "node", F.col("low").alias("rep"))
+    return table.join(beside(on_cycle, size.tiny), ["graph_id", "node"], "left_semi").select("graph_id", "node", F.col("low").alias("rep"))
 
 
 def max_rooted_branching(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -194,7 +194,7 @@ def max_rooted_branching(edges: DataFrame, roots: DataFrame | None = None) -> Da
     """
     base = cut(simple_edges(edges))
     roots = cut(choose_root_2007(base.df).select("graph_id", "root") if roots is None else roots.select("graph_id", "root"))
-    usable = reachable_subgraph(base.df, as_nodes(roots.df)).join(roots.small(), "graph_id").filter("dst <> root")
+    usable = reachable_subgraph(base.df, as_nodes(roots.df)).join(roots.small(base), "graph_id").filter("dst <> root")
     arcs = cut(
         usable.select(
             "graph_id", F.col("src").alias("s"), F.col("dst").alias("d"), F.col("weight").alias("w"), "src", "dst", "weight", F.array("dst").alias("path")
@@ -206,7 +206,7 @@ def max_rooted_branching(edges: DataFrame, roots: DataFrame | None = None) -> Da
     while True:
         best = cut(arcs.df.groupBy("graph_id", "d").agg(F.min(pick).alias("b")), tiny)
         members = cycle_members(best.df.select("graph_id", F.col("d").alias("node"), F.col("b.s").alias("to")), best)
-        member = cut(members.join(best.df.withColumnRenamed("d", "node"), ["graph_id", "node"]), tiny)
+        member = cut(members.join(best.small(best).withColumnRenamed("d", "node"), ["graph_id", "node"]), tiny)
         if not member.rows:
             break
         rounds.append(member)
@@ -267,7 +267,7 @@ def forward_tree(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     roots = choose_root_forward(base.df) if roots is None else roots
     tops = cut(roots.select("graph_id", F.col("root").alias("top")))
     arcs = cut(
-        base.df.join(tops.small(), "graph_id").filter("dst <> top").select("graph_id", F.col("src").alias("node"), "dst", edge_key().alias("edge"))
+        base.df.join(tops.small(base), "graph_id").filter("dst <> top").select("graph_id", F.col("src").alias("node"), "dst", edge_key().alias("edge"))
     )
     none = F.array().cast(f"array<{arcs.df.schema['edge'].dataType.simpleString()}>")
     state = cut(tops.df.select("graph_id", F.col("top").alias("node"), none.alias("label"), F.lit(True).alias("fresh")))
@@ -277,9 +277,9 @@ def forward_tree(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         for _ in range(2 if arcs.tiny else 1):
             moving = table.filter("fresh").drop("fresh")
             longer = F.concat(F.filter("label", lambda e: e > F.col("edge")), F.array("edge"))
-            found = arcs.df.join(moving, ["graph_id", "node"]).groupBy("graph_id", F.col("dst").alias("node")).agg(F.min(longer).alias("_new"))
+            found = arcs.df.join(beside(moving, arcs.tiny), ["graph_id", "node"]).groupBy("graph_id", F.col("dst").alias("node")).agg(F.min(longer).alias("_new"))
             better = F.col("_new").isNotNull() & (F.col("label").isNull() | (F.col("_new") < F.col("label")))
-            merged = table.drop("fresh").join(found, ["graph_id", "node"], "full")
+            merged = table.drop("fresh").join(beside(found, arcs.tiny), ["graph_id", "node"], "full")
             table = merged.select(
                 "graph_id", "node", F.when(better, F.col("_new")).otherwise(F.col("label")).alias("label"), better.alias("fresh")
             )
@@ -330,7 +330,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
             table = hook
             for _ in range(3 if tiny else 2):
                 ahead = table.select("graph_id", F.col("c").alias("to"), F.col("to").alias("_to"))
-                table = table.join(ahead, ["graph_id", "to"]).select("graph_id", "c", F.col("_to").alias("to"), (F.col("_to") != F.col("to")).alias("moved"))
+                table = table.join(beside(ahead, tiny), ["graph_id", "to"]).select("graph_id", "c", F.col("_to").alias("to"), (F.col("_to") != F.col("to")).alias("moved"))
             labels = cut(table, tiny, moved=F.count_if(F.col("moved")))
             if not labels["moved"]:
                 break
@@ -368,7 +368,7 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
     turned = neighbours(turned, ["graph_id", "a"], [F.col("b")], "b", position=False)
     first = ways.df.groupBy("graph_id", "a").agg(F.min("b").alias("_first"))
     # The arc that enters ``a`` from ``b`` goes on to the neighbour of ``a`` after ``b``.
-    tour = turned.join(first, ["graph_id", "a"]).select(
+    tour = turned.join(beside(first, ways.tiny), ["graph_id", "a"]).select(
         "graph_id", "weight", F.col("b").alias("a"), F.col("a").alias("b"), F.col("a").alias("na"), F.coalesce("next", "_first").alias("nb")
     )
     begin = starts.select("graph_id", F.col("node").alias("a")).join(first, ["graph_id", "a"])
@@ -384,7 +384,7 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
         table = state.df
         for _ in range(steps):
             ahead = table.select("graph_id", F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("_na"), F.col("nb").alias("_nb"), F.col("left").alias("_left"))
-            table = table.join(ahead, ["graph_id", "na", "nb"], "left").select(
+            table = table.join(beside(ahead, tiny), ["graph_id", "na", "nb"], "left").select(
                 "graph_id", "weight", "a", "b", F.col("_na").alias("na"), F.col("_nb").alias("nb"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")
             )
         state = cut(table, tiny, open=F.count_if(F.col("na").isNotNull()))

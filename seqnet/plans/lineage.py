@@ -69,6 +69,11 @@ class Stage:
         return F.broadcast(self.df) if self.bytes <= BROADCAST_BYTES else self.df
 
 
+def beside(df: DataFrame, tiny: bool) -> DataFrame:
+    """The side of a join between tables of one partition each, joined in place without a broadcast job."""
+    return df.hint("shuffle_hash") if tiny else df
+
+
 def _text_bytes(df: DataFrame):
     """Bytes of text, binary and nested values; nested ones count as they read when printed."""
     total = F.lit(0).cast("long")
