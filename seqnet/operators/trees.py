@@ -91,7 +91,7 @@ def ancestors(tree: DataFrame | Stage, paths: bool = False) -> Stage:
     saved = tree if isinstance(tree, Stage) else cut(tree.select("graph_id", "src", "dst", *(["weight"] if paths else [])))
     tiny, table, total = saved.tiny, saved.df.select("graph_id", *start), saved.rows
     while True:
-        for _ in range(3 if tiny else 1):
+        for _ in range(2 if tiny else 1):
             ahead = table.select("graph_id", F.col("node").alias("top"), *[F.col(c).alias(f"_{c}") for c in table.columns[2:]])
             joined = table.join(beside(ahead, tiny), ["graph_id", "top"], "left")
             new = [
@@ -171,7 +171,7 @@ def cycle_members(pointers: DataFrame, size: Stage) -> DataFrame:
     ``size`` is the measured table the pointers come from.
     """
     table, rows, reach = pointers.select("graph_id", "node", "to", F.col("node").alias("low")), size.rows, 1
-    steps = 4 if size.tiny else 1
+    steps = 2 if size.tiny else 1
     while rows and reach < rows:
         for _ in range(steps):
             ahead = table.select("graph_id", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
@@ -328,7 +328,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         hook = hook.select("graph_id", "c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"))
         while True:
             table = hook
-            for _ in range(3 if tiny else 2):
+            for _ in range(2):
                 ahead = table.select("graph_id", F.col("c").alias("to"), F.col("to").alias("_to"))
                 table = table.join(beside(ahead, tiny), ["graph_id", "to"]).select("graph_id", "c", F.col("_to").alias("to"), (F.col("_to") != F.col("to")).alias("moved"))
             labels = cut(table, tiny, moved=F.count_if(F.col("moved")))
@@ -379,7 +379,7 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
     state = cut(
         tour.select("graph_id", "weight", "a", "b", F.when(~closed, F.col("na")).alias("na"), F.when(~closed, F.col("nb")).alias("nb"), F.when(closed, 0).otherwise(1).cast("long").alias("left"))
     )
-    reach, steps, tiny = 1, 4 if state.tiny else 1, state.tiny
+    reach, steps, tiny = 1, 2 if state.tiny else 1, state.tiny
     while True:
         table = state.df
         for _ in range(steps):
