@@ -33,8 +33,11 @@ def words_in(text: str) -> Column:
 def topic_of(text: str, words: Column) -> Column:
     """The kind of text: ``empty``, ``table`` (bars), ``noise`` (marks), ``short`` or ``prose``."""
     plain = F.coalesce(F.col(text), F.lit(""))
-    bars = F.length(plain) - F.length(F.translate(plain, "|", ""))
-    marks = F.length(plain) - F.length(F.translate(plain, MARKS, ""))
+
+    def count(mark: str) -> Column:
+        return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(mark), F.lit("")))
+
+    bars, marks = count("|"), sum((count(m) for m in MARKS[1:]), count(MARKS[0]))
     return (
         F.when(words == 0, "empty").when(bars * 10 >= words, "table").when(marks * 2 >= words, "noise").when(words < 100, "short").otherwise("prose")
     )
