@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Settings with which workers, which Spark keeps for later tasks, give freed memory back at once.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144"}
+#: Rows of a batch that are Python objects at a time.
+SLICE = 500
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package as the driver does."""
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    """Let Python workers of a local session import this package as the driver does, and keep them lean."""
+    settings = spark.sparkContext.environment
+    known = settings.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{known}:{ROOT}".strip(":")
+        settings["PYTHONPATH"] = f"{known}:{ROOT}".strip(":")
+    settings.update(LEAN)
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small pieces, so that long texts are not all turned into objects together."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def fresh(df: DataFrame, name: str) -> str:

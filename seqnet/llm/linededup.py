@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqnet.llm.common import fresh, raw_text
+from seqnet.llm.common import fresh, raw_text, sliced
 from seqnet.plans.lineage import write_table
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -278,7 +278,7 @@ def line_report(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_ch
     joined = with_dropped(rows, dropped, "doc_id", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [clean(raw.as_py(), gone_keys(g.as_py()), min_chars) for raw, g in zip(batch.column(1), batch.column(2), strict=True)]
             parts = [pa.array([f[0].decode() for f in found], pa.string()), *(pa.array([f[i] for f in found], pa.int64()) for i in (1, 2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *parts], names=["doc_id", "text", "n_lines", "n_dropped"])
@@ -305,7 +305,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
     counted_at = docs.columns.index("n_chars") if sized else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = batch.columns[:-1]
             gone = batch.column(batch.num_columns - 1).to_pylist()
             texts = columns[at].to_pylist()

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqnet.llm.common import sliced
 from seqnet.plans.lineage import write_table
 
 LENGTH = 2048
@@ -29,41 +30,45 @@ LENGTH = 2048
 RANK_ROWS = 200_000
 
 
+def place(folder: str | None, file: str) -> str:
+    import public_tokenizers
+
+    return f"{folder}/{file}" if folder else public_tokenizers.path(file)
+
+
+@cache
+def tokenizer(folder: str | None, name: str):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(place(folder, f"{name}.json"))
+    made.encode_special_tokens = True
+    return made
+
+
 @cache
-def encoders(folder: str | None, name: str):
-    """The tokenizer, and a faster encoder with the same vocabulary, splits and ids."""
+def fast_encoder(folder: str | None, name: str):
+    """A faster encoder with the same vocabulary, splits and ids."""
     import base64
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
-
-    def place(file: str) -> str:
-        return f"{folder}/{file}" if folder else public_tokenizers.path(file)
 
-    exact = Tokenizer.from_file(place(f"{name}.json"))
-    exact.encode_special_tokens = True
-    with open(place(f"{name}.tiktoken"), "rb") as lines:
+    with open(place(folder, f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return exact, fast
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_ids(texts: list[str], folder: str | None = None, name: str = "byte_bpe_50k") -> list[list[int]]:
-    """Token ids of whole texts, special tokens as plain text.
+def token_ids(text: str, folder: str | None = None, name: str = "byte_bpe_50k") -> list[int]:
+    """Token ids of a whole text, special tokens as plain text.
 
-    Latin-1 texts go through the faster encoder, which splits them alike; others, whose
+    A Latin-1 text goes through the faster encoder, which splits it alike; another, whose
     letters may depend on a library's Unicode version, through the tokenizer itself.
     """
-    exact, fast = encoders(folder, name)
-    out = []
-    for text in texts:
-        try:
-            text.encode("latin-1")
-            out.append(fast.encode_ordinary(text))
-        except UnicodeEncodeError:
-            out.append(exact.encode(text, add_special_tokens=False).ids)
-    return out
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return tokenizer(folder, name).encode(text, add_special_tokens=False).ids
+    return fast_encoder(folder, name).encode_ordinary(text)
 
 
 def cut_points(total: int, length: int) -> list[int]:
@@ -75,16 +80,14 @@ def pieces(docs: DataFrame, length: int = LENGTH, folder: str | None = None) ->
     """``doc_id, piece, start, length, ids_crc32`` of each document, its ids followed by id 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows, out = [], []
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for row, ids in enumerate(token_ids(texts[at : at + 256], folder), at):
-                    ids = np.array([*ids, 0], "<u4")
-                    starts = cut_points(len(ids), length)
-                    for piece, (a, z) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                        rows.append(row)
-                        out.append((piece, a, z - a, crc32(ids[a:z].tobytes())))
+            for row, text in enumerate(batch.column(1)):
+                ids = np.array([*token_ids(text.as_py(), folder), 0], "<u4")
+                starts = cut_points(len(ids), length)
+                for piece, (a, z) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+                    rows.append(row)
+                    out.append((piece, a, z - a, crc32(ids[a:z].tobytes())))
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             values = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]

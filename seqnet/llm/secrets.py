@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqnet.llm.common import sliced
+
 KINDS = ("assign", "access", "hex", "token")
 BASE_KINDS = KINDS[:3]
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -93,7 +95,7 @@ def secrets(docs: DataFrame, text: str = "text", folder: str | None = None, name
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for text in batch.column(1).to_pylist():
                 spans = find(text, folder, name, ratio)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqnet.llm.common import raw_text, without
+from seqnet.llm.common import raw_text, sliced, without
 from seqnet.operators.graph import component_labels
 from seqnet.plans.lineage import write_table
 
@@ -276,9 +276,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFra
     """``fp, shingles``: fingerprint and sorted different shingle hashes (32 bits of each) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             marks, sets = [], []
-            for raw in batch.column(0).to_pylist():
+            for raw in batch.column(0):
+                raw = raw.as_py()
                 hashes = [np.unique((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)) for h in shingle_hashes(raw, width)]
                 marks.append(fingerprint(raw, width))
                 sets.append(np.unique(np.concatenate(hashes or [np.zeros(0, np.uint32)])).tobytes())

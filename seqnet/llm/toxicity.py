@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqnet.llm.common import sliced
+
 #: At most so many labelled documents of each class, and so many code points in all, are learnt from.
-SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 12_000_000
+SAMPLE_ROWS = 2000
+SAMPLE_CHARS = 8_000_000
 FOLDS = 5
 #: Code points that end a word.
 SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 #: Documents scored at a time.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
 
 @dataclass
@@ -117,36 +119,56 @@ class Model:
         return sigmoid(self.slope * np.concatenate(out) + self.shift)
 
 
+def constant(share: float, settings: Settings) -> Model:
+    """Every text scores this share, at most one half."""
+    share = float(np.clip(share, 0.01, 0.49))
+    return Model(settings, np.zeros(1 << settings.bucket_bits), slope=0.0, shift=float(np.log(share / (1 - share))))
+
+
 def train(texts: list[str], labels: list[int], settings: Settings | None = None) -> Model:
-    """Fit on labelled texts: embeddings and softmax together, by full-batch Adagrad.
+    """Fit embeddings and softmax together, and calibrate the worst window's logit.
 
-    The first rounds use whole documents; later ones the worst window of each toxic document
-    and the ``hard`` worst windows of each clean one.  A fifth of the texts is set aside to
-    calibrate the worst window's logit.  Without both classes, every text scores the share
-    of toxic labels, at most one half.
+    The calibration is learnt on a fifth of the texts from a model of the others; the model
+    itself then learns from all.  Without both classes, every text scores the share of toxic
+    labels, at most one half.
     """
     s = settings or Settings()
-    y, buckets = np.asarray(labels, np.int64), 1 << s.bucket_bits
+    y = np.asarray(labels, np.int64)
     if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.49))
-        return Model(s, np.zeros(buckets), slope=0.0, shift=float(np.log(share / (1 - share))))
-    rng = np.random.default_rng(s.seed)
+        return constant(y.mean() if len(y) else 0.0, s)
     aside = np.arange(len(y)) % FOLDS == FOLDS - 1
-    if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
-        aside[:] = False
+    model = fit_weights(texts, y, s)
+    if model is None:
+        return constant(0.0, s)
+    first = None
+    if len(set(y[aside])) == 2 and len(set(y[~aside])) == 2:
+        first = fit_weights([t for t, out in zip(texts, aside, strict=True) if not out], y[~aside], s)
+    test = np.flatnonzero(aside) if first is not None else np.arange(len(y))
+    first = first or model
+    calibrate(first, first.worst([texts[i] for i in test]), y[test])
+    model.slope, model.shift = first.slope, first.shift
+    return model
+
+
+def fit_weights(texts: list[str], own: np.ndarray, s: Settings) -> Model | None:
+    """Full-batch Adagrad; nothing if the texts with words are all of one class.
+
+    The first rounds use whole documents; later ones the worst window of each toxic document
+    and the ``hard`` worst windows of each clean one.
+    """
+    rng, buckets = np.random.default_rng(s.seed), 1 << s.bucket_bits
     vocabulary: dict[str, int] = {}
     docs = []
-    for text, out in zip(texts, aside, strict=True):
-        if not out:
-            words = code_points(text).tobytes().decode("utf-32-le").split(" ")
-            docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words if w], np.int64))
-    own = y[~aside]
+    for text in texts:
+        words = code_points(text).tobytes().decode("utf-32-le").split(" ")
+        docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words if w], np.int64))
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, own = [docs[i] for i in keep], own[keep]
     if not docs or own.min() == own.max():
-        return train([], [], s)
+        return None
     found = list(grams(code_points(" ".join(vocabulary)), s))
-    flat, holder = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    flat, holder = (np.concatenate([f[i].astype(np.int32) for f in found]) for i in (0, 1))
+    del found
     sizes = np.maximum(np.bincount(holder, minlength=len(vocabulary)), 1)
     lengths = np.fromiter(map(len, docs), np.int64, len(docs))
     tokens = np.concatenate(docs)
@@ -199,10 +221,7 @@ def train(texts: list[str], labels: list[int], settings: Settings | None = None)
         weights -= s.rate * grad_weights / np.sqrt(sums_weights)
         bias -= s.rate * grad_bias / np.sqrt(sums_bias)
 
-    model = Model(s, table @ (weights[:, 1] - weights[:, 0]), float(bias[1] - bias[0]))
-    test = np.flatnonzero(aside) if aside.any() else np.arange(len(y))
-    calibrate(model, model.worst([texts[i] for i in test]), y[test])
-    return model
+    return Model(s, table @ (weights[:, 1] - weights[:, 0]), float(bias[1] - bias[0]))
 
 
 def calibrate(model: Model, logits: np.ndarray, y: np.ndarray) -> None:
@@ -260,7 +279,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` for every row; only the text is looked at.  Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = model.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -285,7 +304,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings | None = N
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             clean = model.score([text or "" for text in batch.column(at).to_pylist()]) < 0.5
             yield batch.filter(pa.array(clean, pa.bool_()))
 

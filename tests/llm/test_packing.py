@@ -58,7 +58,7 @@ def test_encoders_agree(tokenizer):
     """On all Latin-1 characters in several surroundings, special tokens, long runs, and other scripts."""
     texts = [f"{a}{chr(c)}{b}" for c in range(256) for a, b in (("", ""), ("a", "b"), (" ", "1"), ("\n", " x"), ("don", "t 3"))]
     texts += ["<|endoftext|> a <|endoftext|>", "a" * 5000, " " * 3000 + "x", "日本語 ελληνικά ​ ﬁ", "it's we'll I'D", ""]
-    assert packing.token_ids(texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [packing.token_ids(t) for t in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def fewest(sizes, capacity):
