@@ -225,15 +225,21 @@ def fit_weights(texts: list[str], own: np.ndarray, s: Settings) -> Model | None:
 
 
 def calibrate(model: Model, logits: np.ndarray, y: np.ndarray) -> None:
-    """Logistic fit of the label on the worst window's logit: Newton steps on two numbers."""
+    """Logistic fit of the label on the worst window's logit: Newton steps on two numbers.
+
+    Toxic texts are the fewer; they weigh more by the root of the ratio, so that one half
+    lies between equal weights for texts and equal weights for classes.
+    """
     middle, scale = float(np.median(logits)), float(logits.std()) or 1.0
     x = np.stack([(logits - middle) / scale, np.ones(len(logits))], axis=1)
-    goal = np.where(y == 1, 1 - 1 / (2 + (y == 1).sum()), 1 / (2 + (y == 0).sum()))
+    toxic = y == 1
+    weight = np.where(toxic, max(1.0, (~toxic).sum() / max(1, toxic.sum())) ** 0.5, 1.0)
+    goal = np.where(toxic, 1 - 1 / (2 + toxic.sum()), 1 / (2 + (~toxic).sum()))
     beta = np.zeros(2)
     for _ in range(50):
         chance = sigmoid(x @ beta)
-        slope = (x * (chance * (1 - chance))[:, None]).T @ x + 1e-3 * np.eye(2)
-        beta -= np.clip(np.linalg.solve(slope, x.T @ (chance - goal) + 1e-3 * beta), -2.0, 2.0)
+        slope = (x * (weight * chance * (1 - chance))[:, None]).T @ x + 1e-3 * np.eye(2)
+        beta -= np.clip(np.linalg.solve(slope, x.T @ (weight * (chance - goal)) + 1e-3 * beta), -2.0, 2.0)
     steep = float(max(beta[0], 1e-6))
     model.slope, model.shift = steep / scale, float(beta[1] - steep * middle / scale)
 
