@@ -379,7 +379,7 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
     state = cut(
         tour.select("graph_id", "weight", "a", "b", F.when(~closed, F.col("na")).alias("na"), F.when(~closed, F.col("nb")).alias("nb"), F.when(closed, 0).otherwise(1).cast("long").alias("left"))
     )
-    reach, steps, tiny = 1, 2 if state.tiny else 1, state.tiny
+    before, steps, tiny = None, 2 if state.tiny else 1, state.tiny
     while True:
         table = state.df
         for _ in range(steps):
@@ -388,9 +388,10 @@ def orient(forest: DataFrame, starts: DataFrame) -> DataFrame:
                 "graph_id", "weight", "a", "b", F.col("_na").alias("na"), F.col("_nb").alias("nb"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")
             )
         state = cut(table, tiny, open=F.count_if(F.col("na").isNotNull()))
-        reach *= 2**steps
-        if not state["open"] or reach >= state["open"]:
+        # Distances to the end have no gaps: a round that ends no arc leaves only those that never end.
+        if state["open"] in (0, before):
             break
+        before = state["open"]
     # Arcs of other components never end and are left out.
     low, high = F.least("a", "b"), F.greatest("a", "b")
     return (

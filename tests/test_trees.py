@@ -126,6 +126,14 @@ def test_multiobjective(spark):
         assert got.get(g, set()) == set(want), g
 
 
+def test_tours_of_every_length(spark):
+    """Chains of all lengths around the steps of a round, each alone: levels count from the start."""
+    for n in (2, 5, 9, 17):
+        chain = fx.edges(spark, [("g", f"n{i:02d}", f"n{i + 1:02d}", 100 - i) for i in range(n)])
+        got = {r.dst: r.level for r in tr.back_forward_polytree(chain).collect()}
+        assert got == {f"n{i + 1:02d}": i and i + 1 for i in range(n)}, n
+
+
 def test_cycles_components_and_center(spark):
     rows = [("dag", "a", "b", 1), ("dag", "b", "c", 1), ("dag", "a", "c", 1), ("ring", "a", "b", 1), ("ring", "b", "a", 1), ("loop", "a", "a", 1), ("loop", "a", "b", 1), ("two", "a", "b", 1), ("two", "c", "d", 2)]
     edges = fx.edges(spark, rows)
