@@ -260,15 +260,21 @@ def probe_rows(classes: DataFrame, plan: Plan) -> DataFrame:
     return classes.select("fp").mapInPandas(run, "key bigint, query bigint")
 
 
-def links(classes: DataFrame, max_distance: int = 4) -> DataFrame:
+def links(classes: DataFrame, max_distance: int = 4, groups: DataFrame | None = None) -> DataFrame:
     """``src, dst``: each two different fingerprints (``src > dst``) that differ in few bits.
 
     A pair may come more than once.  Every fingerprint queries all others, so both ends find
-    a link and only the larger one reports it.
+    a link and only the larger one reports it.  ``groups`` (``fp, component``) may name what is
+    connected already; links inside a component are then left out.
     """
     plan = make_plan(classes, max_distance)
     probes, index = probe_rows(classes, plan), index_rows(classes, plan)
     close = (F.col("fp") < F.col("query")) & (F.bit_count(F.col("query").bitwiseXOR(F.col("fp"))) <= max_distance)
+    if groups is not None:
+        own, other = groups.withColumnsRenamed({"fp": "_q", "component": "_qc"}), groups.withColumnsRenamed({"fp": "_x", "component": "_xc"})
+        probes = probes.join(own, probes["query"] == own["_q"], "left")
+        index = index.join(other, index["fp"] == other["_x"], "left")
+        close = close & ~F.coalesce(F.col("_qc") == F.col("_xc"), F.lit(False))
     return probes.join(index, (probes["key"] == index["key"]) & close).select(F.col("query").alias("src"), F.col("fp").alias("dst"))
 
 
@@ -294,7 +300,7 @@ def similar(found: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     Only texts that stand for a linked fingerprint are read again, one for each.
     """
     pairs = write_table(found.distinct())
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    ends = pairs.select(F.col("src").alias("fp")).distinct().union(pairs.select("dst").distinct()).distinct()
     heads = write_table(classes.join(ends, "fp").select(F.col("first").alias("_head")).filter("_head is not null"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
     texts = texts.join(heads, texts["_id"] == heads["_head"], "left_semi")
@@ -315,6 +321,22 @@ def similar(found: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     return both.mapInArrow(run, "src bigint, dst bigint")
 
 
+def similar_links(classes: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, max_distance: int, similarity: float) -> DataFrame:
+    """Verified links that connect whatever all verified links connect.
+
+    Goes by growing radius; what a smaller one has connected is not compared again, so a large
+    group of copies does not make all its pairs at the largest radius.
+    """
+    found, groups = None, None
+    for radius in sorted({(max_distance + 1) // 2, *range(max_distance, max_distance // 2, -2)}):
+        more = write_table(similar(links(classes, radius, groups), classes, docs, id_col, text, width, similarity))
+        found = more if found is None else found.unionByName(more)
+        if radius < max_distance:
+            labels = component_labels(found.select(F.lit(0).alias("graph_id"), "src", "dst"))
+            groups = write_table(labels.select(F.col("node").alias("fp"), "component"))
+    return write_table(found)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, max_distance: int = 4, similarity: float | None = None
 ) -> DataFrame:
@@ -329,8 +351,10 @@ def near_duplicates(
     """
     marks = write_table(fingerprints(docs, id_col, text, width))
     classes = write_table(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = links(classes, max_distance)
-    found = write_table(found if similarity is None else similar(found, classes, docs, id_col, text, width, similarity))
+    if similarity is None:
+        found = write_table(links(classes, max_distance))
+    else:
+        found = similar_links(classes, docs, id_col, text, width, max_distance, similarity)
     labels = component_labels(found.select(F.lit(0).alias("graph_id"), "src", "dst"))
     linked = write_table(labels.select(F.col("node").alias("fp"), "component").join(classes, "fp"))
     least = linked.groupBy("component").agg(F.min("first").alias("least"))

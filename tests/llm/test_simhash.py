@@ -31,7 +31,7 @@ def plain_groups(marks, distance):
     return lead
 
 
-def similar_groups(texts, width=5, distance=10, similarity=0.8):
+def similar_groups(texts, width=5, distance=8, similarity=0.8):
     """Least id reachable over equal fingerprints, and close ones whose shingle sets are similar, by all pairs."""
     marks = {i: plain_mark(t, width) for i, t in texts.items()}
     sets = {}
@@ -55,7 +55,7 @@ def similar_groups(texts, width=5, distance=10, similarity=0.8):
     return lead
 
 
-@pytest.mark.parametrize("distance", [6, 10])
+@pytest.mark.parametrize("distance", [4, 8])
 def test_similarity_decides_among_close_fingerprints(spark, documents, distance):
     """Copies with more and more words changed: those of similarity 0.8 within the distance are one group."""
     rng = np.random.default_rng(5)
