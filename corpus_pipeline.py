@@ -19,9 +19,6 @@ from seqnet.llm.simhash import drop_near_duplicates
 from seqnet.llm.toxicity import drop_toxic
 from seqnet.plans.lineage import write_table
 
-#: Wider radii find more texts of similarity 0.8, but their candidates grow with the square of a group of near copies.
-NEAR_BITS = 8
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; learnt from the labels of the folder."""
@@ -38,10 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: similarity of 0.8 or more on shingles of five words.
 
-    Fingerprints at most ``NEAR_BITS`` bits apart are compared exactly.
+    The similarity alone decides: there is no limit on the distance of fingerprints.
     """
     on_workers(spark)
-    return drop_near_duplicates(docs, width=5, max_distance=NEAR_BITS, similarity=0.8)
+    return drop_near_duplicates(docs, width=5, max_distance=None, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,14 +10,17 @@ a partition out), every fingerprint within ``max_distance`` of the query is with
 programming on estimated candidate counts, so a value that very many fingerprints share is
 avoided by those that hold it, then probes the values in reach and verifies candidates.
 
-Equal fingerprints are one class from the start, so exact copies cost one row.
+Equal fingerprints are one class from the start, so exact copies cost one row.  Where a
+similarity is asked for, a class is an equal fingerprint and an equal shingle set, and
+every link is verified; texts too far apart for the fingerprints are found by the least
+hashes of their sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -41,6 +44,8 @@ PROBE_COST, VERIFY_COST = 1.0, 0.01
 PLAN_SAMPLE = 2000
 #: Most partitions that are considered.
 MOST_PARTS = 8
+#: Growing distances at which near copies are connected before similarity alone decides; affects cost only, not results.
+NEAR_STEPS = (4, 6, 8)
 POPCOUNT = np.array([bin(i).count("1") for i in range(1 << SUB_BITS)], dtype=np.uint8)
 
 
@@ -69,12 +74,17 @@ def shingle_hashes(raw: bytes, width: int) -> Iterator[np.ndarray]:
         yield np.array([hash64(joined[a:z], 42) for a, z in spans], dtype=np.uint64)
 
 
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that over half of ``n`` hashes have set, as a signed 64-bit integer."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(raw: bytes, width: int) -> int:
     """SimHash of a UTF-8 text as a signed 64-bit integer; zero without words."""
     ones, n = np.zeros(BITS, np.int64), 0
     for hashes in shingle_hashes(raw, width):
         ones, n = ones + bits_of(hashes).sum(axis=0, dtype=np.int64), n + len(hashes)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
@@ -278,41 +288,82 @@ def links(classes: DataFrame, max_distance: int = 4, groups: DataFrame | None =
     return probes.join(index, (probes["key"] == index["key"]) & close).select(F.col("query").alias("src"), F.col("fp").alias("dst"))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """``fp, shingles``: fingerprint and sorted different shingle hashes (32 bits of each) of each row."""
+def mark_and_set(raw: bytes, width: int) -> tuple[int, np.ndarray]:
+    """Fingerprint of a UTF-8 text, and its different shingle hashes, sorted."""
+    ones, n, parts = np.zeros(BITS, np.int64), 0, [np.zeros(0, np.uint64)]
+    for hashes in shingle_hashes(raw, width):
+        ones, n = ones + bits_of(hashes).sum(axis=0, dtype=np.int64), n + len(hashes)
+        parts.append(np.unique(hashes))
+    return majority(ones, n), np.unique(np.concatenate(parts))
+
+
+def node_of(mark: int, shingles: np.ndarray) -> int:
+    """A signed 64-bit number for a fingerprint and a shingle set: texts that share it are one class."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), mark & ((1 << BITS) - 1))).view(np.int64))
+
+
+def least_common(size: int, similarity: float) -> int:
+    """Shingles that a set of this size has at least in common with any other of this similarity."""
+    return ceil(similarity * size - 1e-9)
+
+
+def set_marks(docs: DataFrame, id_col: str, text: str, width: int, similarity: float) -> DataFrame:
+    """``doc_id, fp, node, size, prefix`` of each row.
+
+    ``prefix`` holds the least shingle hashes, so many that two sets of the similarity share one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            marks, sets = [], []
+            marks, nodes, sizes, prefixes = [], [], [], []
+            for raw in batch.column(1):
+                mark, own = mark_and_set(raw.as_py(), width)
+                marks.append(mark)
+                nodes.append(node_of(mark, own))
+                sizes.append(len(own))
+                prefixes.append(own[: len(own) - least_common(len(own), similarity) + 1].tobytes())
+            cells = [pa.array(marks, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], names=["doc_id", "fp", "node", "size", "prefix"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, fp bigint, node bigint, size bigint, prefix binary"
+    return docs.select(F.col(id_col).alias("doc_id"), raw_text(text).alias("raw")).mapInArrow(run, schema)
+
+
+def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """``node, shingles``: class and sorted different shingle hashes (64 bits each) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            nodes, sets = [], []
             for raw in batch.column(0):
-                raw = raw.as_py()
-                hashes = [np.unique((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)) for h in shingle_hashes(raw, width)]
-                marks.append(fingerprint(raw, width))
-                sets.append(np.unique(np.concatenate(hashes or [np.zeros(0, np.uint32)])).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+                mark, own = mark_and_set(raw.as_py(), width)
+                nodes.append(node_of(mark, own))
+                sets.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select(raw_text(text).alias("raw")).mapInArrow(run, "fp bigint, shingles binary")
+    return docs.select(raw_text(text).alias("raw")).mapInArrow(run, "node bigint, shingles binary")
 
 
 def similar(found: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, similarity: float) -> DataFrame:
-    """Those links whose shingle sets have at least this Jaccard similarity, compared exactly.
+    """Those links of classes whose shingle sets have at least this Jaccard similarity, compared exactly.
 
-    Only texts that stand for a linked fingerprint are read again, one for each.
+    Only texts with the id of a linked class's first row are read again, one set for each class.
     """
     pairs = write_table(found.distinct())
-    ends = pairs.select(F.col("src").alias("fp")).distinct().union(pairs.select("dst").distinct()).distinct()
-    heads = write_table(classes.join(ends, "fp").select(F.col("first").alias("_head")).filter("_head is not null"))
+    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    heads = write_table(classes.join(ends, "node").select(F.col("first").alias("_head")).distinct())
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
-    texts = texts.join(heads, texts["_id"] == heads["_head"], "left_semi")
-    sets = write_table(shingle_sets(texts, "_id", "text", width).groupBy("fp").agg(F.min("shingles").alias("shingles")))
-    left = sets.withColumnsRenamed({"fp": "src", "shingles": "_left"})
-    right = sets.withColumnsRenamed({"fp": "dst", "shingles": "_right"})
+    texts = texts.join(heads, texts["_id"].eqNullSafe(heads["_head"]), "left_semi")
+    sets = write_table(shingle_sets(texts, "text", width).groupBy("node").agg(F.min("shingles").alias("shingles")))
+    left = sets.withColumnsRenamed({"node": "src", "shingles": "_left"})
+    right = sets.withColumnsRenamed({"node": "dst", "shingles": "_right"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
+                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(common >= similarity * (len(a) + len(b) - common))
             yield batch.filter(pa.array(good, pa.bool_())).select(["src", "dst"])
@@ -321,46 +372,94 @@ def similar(found: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     return both.mapInArrow(run, "src bigint, dst bigint")
 
 
-def similar_links(classes: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, max_distance: int, similarity: float) -> DataFrame:
+def prefix_links(classes: DataFrame, groups: DataFrame | None, similarity: float, max_distance: int | None) -> DataFrame:
+    """``src, dst``: classes that may have this similarity; none that has it is left out.
+
+    Sets of the similarity share one of their least hashes, and at the first they share, both
+    have enough left.  ``groups`` (``node, component``) names what is connected already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            numbers = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            keys = [np.frombuffer(prefix.as_py(), np.int64) for prefix in batch.column(3)]
+            counts = np.fromiter(map(len, keys), np.int64, len(keys))
+            node, fp, size = np.repeat(numbers, counts, axis=1)
+            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            cells = [np.concatenate(keys), node, fp, size, size - place]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=["key", "node", "fp", "size", "rest"])
+
+    # Empty sets have no keys: all of them are one class.
+    keys = classes.filter("size > 0").select("node", "fp", "size", "prefix").mapInArrow(run, "key bigint, node bigint, fp bigint, size bigint, rest bigint")
+    if groups is None:
+        keys = keys.withColumn("component", F.col("node"))
+    else:
+        keys = keys.join(groups.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        keys = keys.withColumn("component", F.coalesce("component", "node")).drop("_node")
+    keys = write_table(keys)
+    left, right = (keys.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "fp", "size", "rest", "component"))) for side in ("a", "b"))
+    enough = F.least("a_rest", "b_rest") * (1 + similarity) >= similarity * (F.col("a_size") + F.col("b_size")) - 1e-6
+    fit = (F.col("a_node") > F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & enough
+    if max_distance is not None:
+        fit = fit & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= max_distance)
+    return left.join(right, (left["key"] == right["key"]) & fit).select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
+
+
+def similar_links(classes: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, max_distance: int | None, similarity: float) -> DataFrame:
     """Verified links that connect whatever all verified links connect.
 
-    Goes by growing radius; what a smaller one has connected is not compared again, so a large
-    group of copies does not make all its pairs at the largest radius.
+    Goes by growing radius over one class of each fingerprint; what a smaller one has connected is
+    not compared again, so a large group of copies does not make all its pairs at the end.  Then
+    every pair that shares a hash of its prefixes is compared, whatever its fingerprints.
     """
-    found, groups = None, None
-    for radius in sorted({(max_distance + 1) // 2, *range(max_distance, max_distance // 2, -2)}):
-        more = write_table(similar(links(classes, radius, groups), classes, docs, id_col, text, width, similarity))
-        found = more if found is None else found.unionByName(more)
-        if radius < max_distance:
-            labels = component_labels(found.select(F.lit(0).alias("graph_id"), "src", "dst"))
-            groups = write_table(labels.select(F.col("node").alias("fp"), "component"))
-    return write_table(found)
+    heads = write_table(classes.groupBy("fp").agg(F.min("node").alias("node")))
+    left, right = (heads.withColumnsRenamed({"fp": f"_{side}", "node": side}) for side in ("src", "dst"))
+    found, groups, marked = None, None, None
+    for radius in NEAR_STEPS:
+        if max_distance is not None and radius > max_distance:
+            break
+        near = links(heads, radius, marked).withColumnsRenamed({"src": "_src", "dst": "_dst"})
+        near = near.join(left, "_src").join(right, "_dst").select("src", "dst")
+        more = write_table(similar(near, classes, docs, id_col, text, width, similarity))
+        found = more if found is None else write_table(found.unionByName(more))
+        labels = component_labels(found.select(F.lit(0).alias("graph_id"), "src", "dst"))
+        groups = write_table(labels.select("node", "component"))
+        marked = groups.join(heads, "node").select("fp", "component")
+    more = similar(prefix_links(classes, groups, similarity, max_distance), classes, docs, id_col, text, width, similarity)
+    return write_table(more if found is None else found.unionByName(more))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, max_distance: int = 4, similarity: float | None = None
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, max_distance: int | None = 4, similarity: float | None = None
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id, kept`` of each row.
 
     ``component_id`` is the least id reachable over links, the row's own included; ``kept``
-    marks the one document of each group that stays.  With ``similarity``, two fingerprints that
-    differ link only when their texts' shingle sets have at least this Jaccard similarity too.
+    marks the one document of each group that stays.  With ``similarity``, two texts link only
+    when their shingle sets have at least this Jaccard similarity too, equal fingerprints or not;
+    ``max_distance`` None then leaves the decision to the similarity alone.
     Null and empty texts have fingerprint zero and link like any other.  Rows that repeat an id are one document.  A null id is
     never a component's id unless no other id is in it; such rows count as kept.  An empty
     table gives an empty result; other columns are ignored.
     """
-    marks = write_table(fingerprints(docs, id_col, text, width))
-    classes = write_table(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
     if similarity is None:
+        by = "fp"
+        marks = write_table(fingerprints(docs, id_col, text, width))
+        classes = write_table(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
         found = write_table(links(classes, max_distance))
     else:
+        by = "node"
+        marks = write_table(set_marks(docs, id_col, text, width, similarity))
+        one = [F.min(c).alias(c) for c in ("fp", "size", "prefix")]
+        classes = write_table(marks.groupBy("node").agg(F.min("doc_id").alias("first"), *one))
         found = similar_links(classes, docs, id_col, text, width, max_distance, similarity)
+        classes = classes.select("node", "first")
     labels = component_labels(found.select(F.lit(0).alias("graph_id"), "src", "dst"))
-    linked = write_table(labels.select(F.col("node").alias("fp"), "component").join(classes, "fp"))
+    linked = write_table(labels.select(F.col("node").alias(by), "component").join(classes, by))
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    lead = linked.join(least, "component").select("fp", "least")
-    heads = classes.join(lead, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "first").alias("component_id"))
-    return marks.join(heads, F.col("fp") == F.col("_fp")).select(
+    lead = linked.join(least, "component").select(by, "least")
+    heads = classes.join(lead, by, "left").select(F.col(by).alias("_by"), F.coalesce("least", "first").alias("component_id"))
+    return marks.join(heads, F.col(by) == F.col("_by")).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

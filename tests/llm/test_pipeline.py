@@ -6,7 +6,7 @@ from seqnet.llm import mixing, toxicity
 from tests.llm.test_linededup import plain
 from tests.llm.test_packing import check_layout, plain_pieces
 from tests.llm.test_packing import tokenizer as tokenizer  # noqa: PLC0414
-from tests.llm.test_simhash import similar_groups
+from tests.llm.test_simhash import jaccard_groups, near_copies, similar_groups
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -60,3 +60,21 @@ def test_planted_cases(spark, documents):
     assert [i for i, has in holders.items() if has] == [25]
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, cleaned, TABLES).collect()}
     assert set(body) <= kept and 10 not in kept
+
+
+def test_near_copies_go_whatever_their_fingerprints(spark, documents):
+    """One text of each group of plain Jaccard similarity 0.8 stays, the nearly equal copy of the planted cases among those that go."""
+    texts = near_copies()
+    extra = " ".join(f"w1x{k}" for k in range(120))
+    texts |= {1001: extra, 1012: extra + " extra"}
+    lead = jaccard_groups(texts)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(list(texts.items())), TABLES).collect()}
+    assert kept == set(lead.values()) and 1001 in kept and 1012 not in kept
+
+
+def test_near_copies_of_the_tables_go(spark, documents):
+    """On the given documents too, plain Jaccard similarity 0.8 decides, with no limit on the distance."""
+    documents([])
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    lead = jaccard_groups({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, TABLES).collect()} == set(lead.values())

@@ -72,6 +72,45 @@ def test_similarity_decides_among_close_fingerprints(spark, documents, distance)
     assert {0, 1, 2, 3} <= {r["doc_id"] for r in found if r["component_id"] == 0}
 
 
+def jaccard_groups(texts, width=5, similarity=0.8):
+    """Least id reachable over texts whose shingle sets are similar, by all pairs, whatever their fingerprints."""
+    sets = {}
+    for i, t in texts.items():
+        words = (t or "").encode().lower().split()
+        sets[i] = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+    near = [(i, j) for i in texts for j in texts if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    lead = {i: i for i in texts}
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            if lead[i] != lead[j]:
+                lead[i] = lead[j] = min(lead[i], lead[j])
+                changed = True
+    return lead
+
+
+def near_copies():
+    """Pairs of short texts of similarity near 0.8, whose fingerprints are up to over 12 bits apart."""
+    rng = np.random.default_rng(11)
+    texts = {}
+    for i in range(200):
+        words = [f"p{i}w{k}" for k in range(64)]
+        texts[2 * i] = " ".join(words)
+        texts[2 * i + 1] = " ".join([*words[: 64 - rng.integers(3, 9)], *(f"q{i}x{k}" for k in range(rng.integers(0, 7)))])
+    return texts
+
+
+def test_similarity_alone_decides(spark, documents):
+    """Every pair of Jaccard 0.8 is found, however far apart its fingerprints are, and nothing else."""
+    texts = near_copies()
+    lead = jaccard_groups(texts)
+    far = [(plain_mark(texts[i], 5) ^ plain_mark(texts[i + 1], 5)).bit_count() for i in range(0, len(texts), 2) if lead[i + 1] == i]
+    assert max(far) > 12 and any(lead[i + 1] != i for i in range(0, len(texts), 2))
+    found = simhash.near_duplicates(documents(list(texts.items())), width=5, max_distance=None, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == lead
+
+
 def test_query_equals_all_pairs(spark):
     rows = spark.read.parquet(f"{TABLES}/documents.parquet").collect()
     marks = [(r["doc_id"], plain_mark(r["text"], 4)) for r in rows]
