@@ -164,3 +164,17 @@ def test_odd_rows(documents, odd_rows, clashing):
 def test_empty_table(documents):
     assert simhash.near_duplicates(documents([])).count() == 0
     assert simhash.drop_near_duplicates(documents([])).count() == 0
+
+
+def test_equal_fingerprints_are_compared_too(spark, documents):
+    """One shingle that makes over half of a text is its fingerprint; what else the text holds still decides."""
+    filler = "x " * 200
+    texts = {i: filler + " ".join(f"t{i}w{k}" for k in range(90)) for i in range(12)}
+    texts |= {20 + i: texts[i] + " end" for i in range(3)}
+    texts |= {30: "x " * 300 + texts[5], 31: texts[6]}
+    assert len({plain_mark(t, 5) for t in texts.values()}) == 1
+    lead = jaccard_groups(texts)
+    assert len(set(lead.values())) == 12
+    for distance in (8, None):
+        found = simhash.near_duplicates(documents(list(texts.items())), width=5, max_distance=distance, similarity=0.8).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == lead
