@@ -53,6 +53,17 @@ def test_random_strings_are_found_and_names_are_not():
         assert not [s for s in secrets.find(f"a {fine} b") if s[0] == "token"], fine
 
 
+def test_random_strings_in_the_shape_of_names_are_found():
+    rng = random.Random(2)
+    keys = ["JBSWY3DPEHPK3PXPJBSW", "qzxvkjhwpltrnbgfdsm7", "kjhgQZxvWplmTrNbGfdS"]
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        keys += ["".join(rng.choices(letters, k=32)) for _ in range(100)]
+    for key in keys:
+        assert ("token", 4, 4 + len(key)) in secrets.find(f"use {key} here"), key
+    for fine in ("MAX_BUFFER_SIZE_LIMIT", "HTTP_REQUEST_TIMEOUT_MS", "get_id_by_user_name", "XMLHttpRequestEventTarget", "internationalization_", "-" * 40, "=" * 30):
+        assert not [s for s in secrets.find(f"a {fine} b") if s[0] == "token"], fine
+
+
 def test_token_spans_inside_base_spans_stay_out():
     assert [s[0] for s in secrets.find("token=sk4eC39HqLyjWDarjtT1zdp7dcX9 ")] == ["assign"]
 
