@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from seqnet.llm.common import sliced
 
 #: At most so many labelled documents of each class, and so many code points in all, are learnt from.
-SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 8_000_000
+SAMPLE_ROWS = 2500
+SAMPLE_CHARS = 12_000_000
 FOLDS = 5
 #: Code points that end a word.
 SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
@@ -161,7 +161,7 @@ def fit_weights(texts: list[str], own: np.ndarray, s: Settings) -> Model | None:
     docs = []
     for text in texts:
         words = code_points(text).tobytes().decode("utf-32-le").split(" ")
-        docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words if w], np.int64))
+        docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words if w], np.int32))
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, own = [docs[i] for i in keep], own[keep]
     if not docs or own.min() == own.max():

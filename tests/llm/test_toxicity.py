@@ -27,6 +27,14 @@ def test_held_out_accuracy(spark):
     assert (scores[labels == 1] >= 0.5).mean() > 0.8
 
 
+@pytest.mark.xfail(strict=True, reason="measured 0.856 on sf0.1; open, see README")
+def test_held_out_recall(spark):
+    """Of the toxic documents that were not learnt from, over nine in ten are found."""
+    folder = "/root/testdata/sf0.1"
+    found = QUERIES["op3_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out and toxic = 1").collect()
+    assert np.mean([r["predicted"] for r in found]) > 0.9
+
+
 def test_misspellings_share_grams():
     clean = ["the quiet river runs along the valley and the old mill", "a small garden with red flowers near the house"] * 40
     toxic = [f"{c} you worthless fool" for c in clean]
@@ -60,3 +68,8 @@ def test_without_labels_nothing_goes(spark, documents, odd_rows):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.drop_toxic(documents(odd_rows), none).count() == len(odd_rows)
     assert toxicity.toxicity(documents([]), none).count() == 0
+
+
+def test_sample_is_whole():
+    """The bound that the README states."""
+    assert (toxicity.SAMPLE_ROWS, toxicity.SAMPLE_CHARS) == (2500, 12_000_000)
