@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqnet.llm import embeddings, licenses, linededup, mixing, mpeg, packing, secrets, simhash, toxicity, warc
+from seqnet.llm import divergence, embeddings, licenses, linededup, mixing, mpeg, packing, prefixtrie, scoring, secrets, simhash, toxicity, warc
 from seqnet.llm.common import on_workers
 
 
@@ -55,6 +55,18 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op11_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.score(table(spark, folder, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mpeg_audio,
         op9_line_dedup,
         op10_warc,
+        op11_lm_scoring,
+        op12_conversation_trie,
+        op13_source_divergence,
     )
 }
 
@@ -76,4 +91,6 @@ ORACLES: dict[str, str] = {
     "op6_source_mixing": mixing.oracle(),
     "op9_line_dedup": linededup.oracle(),
     "op10_warc": warc.oracle(),
+    "op12_conversation_trie": prefixtrie.oracle(),
+    "op13_source_divergence": divergence.oracle(),
 }

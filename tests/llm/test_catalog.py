@@ -27,5 +27,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_names():
-    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
