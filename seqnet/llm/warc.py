@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqnet.plans.lineage import cut, shared_folder, write_table
@@ -86,15 +86,20 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"))
 
 
+def number(raw: bytes) -> int | None:
+    """A length in a header field: 1 to 18 ASCII digits, so that places stay below 2^63; nothing else is one."""
+    return int(raw) if raw.isdigit() and len(raw) <= 18 else None
+
+
 def fields_of(raw: bytes) -> dict[bytes, bytes] | None:
-    """Header fields by lower-case name; nothing unless every line is one and the length is a number."""
+    """Header fields by lower-case name; nothing unless every line is one and the length is a ``number``."""
     out = {}
     for line in raw[len(MAGIC) :].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon or not name or name != name.strip():
             return None
         out[name.lower()] = value.strip()
-    return out if out.get(b"content-length", b"").isdigit() else None
+    return out if number(out.get(b"content-length", b"")) is not None else None
 
 
 class Candidate:
@@ -102,7 +107,7 @@ class Candidate:
 
     def __init__(self, at: int, body: int, fields: dict[bytes, bytes]):
         self.at, self.body, self.fields = at, body, fields
-        self.size = self.left = int(fields[b"content-length"])
+        self.size = self.left = number(fields[b"content-length"])
         self.digest = hashlib.sha1()
 
     def feed(self, raw: bytes) -> None:
@@ -111,11 +116,10 @@ class Candidate:
 
     def row(self, file: str, block: int) -> dict:
         text = {k: v.decode("utf-8", "replace") for k, v in self.fields.items()}
-        size = text.get(b"x-payload-length", "")
         return {
             "file": file, "block": block, "at": self.at, "body": self.body, "next": self.body + self.size + len(BREAK), "size": self.size,
             "type": text.get(b"warc-type"), "id": text.get(b"warc-record-id"), "refers": text.get(b"warc-refers-to"),
-            "url": text.get(b"warc-target-uri"), "declared": text.get(b"warc-payload-digest"), "full_size": int(size) if size.isdigit() else None,
+            "url": text.get(b"warc-target-uri"), "declared": text.get(b"warc-payload-digest"), "full_size": number(self.fields.get(b"x-payload-length", b"")),
             "found": base32(self.digest.digest()) if not self.left else None,
         }
 
@@ -206,9 +210,9 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """
     made = write_table(candidates(spark, path))
     blocks = made.filter("block_bytes is not null").select("file", "block", "block_bytes")
-    # A split's first byte is known once the bytes of the splits before it are.
-    earlier = blocks.select("file", F.col("block").alias("_b"), F.col("block_bytes").alias("_n"))
-    base = blocks.join(earlier, "file", "left").groupBy("file", "block").agg(F.sum(F.when(F.col("_b") < F.col("block"), F.col("_n")).otherwise(0)).alias("base"))
+    # A split's first byte is known once the bytes of the splits before it are: one small row for each split.
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.select("file", "block", F.coalesce(F.sum("block_bytes").over(before), F.lit(0)).alias("base"))
     placed = made.filter("at is not null").join(base, ["file", "block"])
     for name in ("at", "body", "next", "exit"):
         placed = placed.withColumn(name, F.col(name) + F.col("base"))

@@ -42,6 +42,8 @@ FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nCon
 TRAPS = [
     f"before\r\n\r\n{FAKE}\r\n\r\ninside a payload\r\n\r\nafter", FAKE, f"{FAKE}\r\n\r\n", f"\r\n\r\n{FAKE}\r\n\r\n{FAKE}\r\n\r\n", "\r\n", "\r\n\r\n", "x\r\n\r\n\r\n\r\n",
     "ends with\r", "ends with\r\n", "ends with\n", "\n\r\n\r\n\r", "WARC/1.1\r\n", "WARC/1.1\r\nContent-Length: 5\r\n\r\n", "\r\n\r", "Ünïcode 日本 🎉", "a" * 20_000, "",
+    f"{FAKE[:-2]}{'9' * 20}\r\n\r\nmore", f"{FAKE[:-2]}{'7' * 5000}", f"{FAKE}\r\nX-Payload-Length: ²\r\n\r\n{'b' * 60}", f"{FAKE[:-2]}²", f"{FAKE[:-2]}{'9' * 18}\r\n\r\n",
+    f"{FAKE}\r\nX-Payload-Length: {'8' * 30}",
 ]
 
 
