@@ -1,9 +1,9 @@
 """MPEG audio columns: frames, tags, variable-bitrate tables, checksums and seek offsets.
 
-``parse`` reads any MPEG-1, 2 or 2.5 stream of layers I to III: it skips tags, looks for a
-frame header that a second one follows, resynchronises after damage, verifies the CRC-16 of
-protected layer III frames and the frame and byte counts of a Xing table, and gives exact
-durations (samples over rate) and the byte offset of every frame.
+``parse`` reads any MPEG-1, 2 or 2.5 stream of layers I to III: it reads ID3 tags of versions
+2.2 to 2.4 and 1, looks for a frame header that a second one follows, resynchronises after
+damage, verifies the CRC-16 of protected frames and the frame and byte counts of a Xing or
+VBRI table, and gives exact durations (samples over rate) and the byte offset of every frame.
 
 ``encode`` stores bytes losslessly in a layer III stream of silent frames: side information
 is all zero, so nothing of a frame belongs to the sound and the payload rides as ancillary
@@ -17,7 +17,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import lru_cache
 from zlib import crc32
 
 import pyarrow as pa
@@ -45,6 +45,18 @@ HEAD, CHECK, SIDE = 4, 2, 17
 #: kbit/s of the frame that carries so many units of payload.
 CARRIER = {1: 48, 2: 96, 3: 160, 4: 192, 5: 224, 7: 320}
 TAG_END = 128
+#: Where a VBRI table stands in its frame, and its bytes before the entries (fixed values).
+VBRI_AT, VBRI_BYTES = 36, 26
+# Fixed values of the standard: bits of a layer II subband's allocation, as (subbands, bits) runs.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lower": ((4, 4), (7, 3), (19, 2)),
+}
+#: Names of text encodings in ID3 frames, by their number (fixed values).
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 
 
 @dataclass(frozen=True)
@@ -57,6 +69,7 @@ class Header:
     mono: bool
     length: int
     samples: int
+    bound: int
 
     def like(self, other: Header) -> bool:
         return (self.version, self.layer, self.rate) == (other.version, other.layer, other.rate)
@@ -67,8 +80,40 @@ class Header:
             return 0
         return (17 if self.mono else 32) if self.version == 1 else (9 if self.mono else 17)
 
-
-@cache
+    @property
+    def allocation(self) -> list[int]:
+        """Layer II: bits of each subband's allocation."""
+        each = self.kbits // (1 if self.mono else 2)
+        if self.version != 1:
+            kind = "lower"
+        elif each <= 48:
+            kind = "d" if self.rate == 32000 else "c"
+        else:
+            kind = "a" if each <= 80 or self.rate == 48000 else "b"
+        return [bits for subbands, bits in ALLOCATION[kind] for _ in range(subbands)]
+
+    def checked_bits(self, body: bytes) -> int | None:
+        """How many bits behind the checksum it covers; nothing where the frame is too short for them."""
+        channels = 1 if self.mono else 2
+        if self.layer == 3:
+            return 8 * self.side if len(body) >= self.side else None
+        if self.layer == 1:
+            bits = 4 * (channels * self.bound + 32 - self.bound)
+            return bits if 8 * len(body) >= bits else None
+        # Layer II: allocations, and two bits of selection for each that is not zero.
+        value, at, chosen = int.from_bytes(body[:64], "big"), 0, 0
+        have = 8 * len(body[:64])
+        for subband, bits in enumerate(self.allocation):
+            for _ in range(channels if subband < self.bound else 1):
+                at += bits
+                if at > have:
+                    return None
+                if value >> (have - at) & ((1 << bits) - 1):
+                    chosen += 2 if subband < self.bound else 2 * channels
+        return at + chosen if at + chosen <= have else None
+
+
+@lru_cache(4096)
 def header_of(raw: bytes) -> Header | None:
     """The frame header that four bytes are, if they are one.  Free-format frames are not read."""
     if len(raw) < HEAD or raw[0] != 0xFF or raw[1] & 0xE0 != 0xE0:
@@ -82,20 +127,25 @@ def header_of(raw: bytes) -> Header | None:
     kbits, rate, pad = BITRATES[family, layer][index], RATES[version][rate_index], raw[2] >> 1 & 1
     samples = SAMPLES[family, layer]
     length = (12000 * kbits // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbits // rate + pad
-    return Header(version, layer, not raw[1] & 1, kbits, rate, raw[3] >> 6 == 3, length, samples)
+    # Joint stereo shares the allocation of the upper subbands.
+    bound = 4 + 4 * (raw[3] >> 4 & 3) if raw[3] >> 6 == 1 else 32
+    return Header(version, layer, not raw[1] & 1, kbits, rate, raw[3] >> 6 == 3, length, samples, bound)
 
 
-@cache
-def crc16(data: bytes) -> int:
-    """CRC-16 of polynomial 0x8005, from 0xFFFF, highest bit first."""
+def crc16_bits(data: bytes, bits: int) -> int:
+    """CRC-16 of polynomial 0x8005, from 0xFFFF, highest bit first, of the first ``bits`` bits."""
     value = 0xFFFF
-    for byte in data:
-        value ^= byte << 8
-        for _ in range(8):
-            value = (value << 1 ^ (0x8005 if value & 0x8000 else 0)) & 0xFFFF
+    for at in range(bits):
+        top = value >> 15 ^ (data[at >> 3] >> (7 - (at & 7)) & 1)
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
     return value
 
 
+@lru_cache(4096)
+def crc16(data: bytes) -> int:
+    return crc16_bits(data, 8 * len(data))
+
+
 def syncsafe(n: int) -> bytes:
     return bytes(n >> shift & 0x7F for shift in (21, 14, 7, 0))
 
@@ -109,7 +159,7 @@ def frame_header(kbits: int, protected: bool) -> bytes:
     return bytes([0xFF, 0xFA if protected else 0xFB, BITRATES[1, 3].index(kbits) << 4 | 2 << 2, 0xC0])
 
 
-@cache
+@lru_cache(16)
 def frame_start(kbits: int) -> tuple[bytes, int]:
     """Header, checksum and empty side information, and the frame's length."""
     head = frame_header(kbits, True)
@@ -156,7 +206,10 @@ def encode(raw: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a stream holds.  Offsets are of whole frames, the table's own frame left out."""
+    """What a stream holds.  Offsets are of whole frames, the table's own frame left out.
+
+    ``seek`` has the places that a variable-bitrate table names, from the stream's first frame on.
+    """
 
     tags: dict[str, str] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
@@ -169,35 +222,95 @@ class Stream:
     skipped: int = 0
     table: str = "none"
     toc: bytes = b""
+    seek: list[int] = field(default_factory=list)
 
     @property
     def micros(self) -> int:
         return self.samples * 1_000_000 // self.rate if self.rate else 0
 
 
+def decoded(value: bytes) -> str:
+    """The text of an ID3 frame by the encoding its first byte names."""
+    if not value:
+        return ""
+    name = ENCODINGS[value[0]] if value[0] < len(ENCODINGS) else "latin-1"
+    return value[1:].decode(name, "replace")
+
+
+def tag_frames(body: bytes, version: int) -> Iterator[tuple[str, bytes]]:
+    """Name and content of the frames of an ID3 tag, up to its padding or damage."""
+    name_bytes, head = (3, 6) if version == 2 else (4, 10)
+    at = 0
+    while at + head <= len(body) and body[at]:
+        raw = body[at + name_bytes : at + (6 if version == 2 else 8)]
+        size = from_syncsafe(raw) if version == 4 and max(raw) < 0x80 else int.from_bytes(raw, "big")
+        yield body[at : at + name_bytes].decode("latin-1"), body[at + head : at + head + size]
+        at += head + size
+
+
 def read_tags(data: bytes, out: Stream) -> tuple[int, int]:
     """Where the frames lie between the tags."""
     start, end = 0, len(data)
     if data[:3] == b"ID3" and len(data) >= 10:
-        start = min(end, 10 + from_syncsafe(data[6:10]))
-        at = 10
-        while at + 10 <= start and data[at] and data[3] == 3:
-            name, (size, _) = data[at : at + 4].decode("latin-1"), struct.unpack(">IH", data[at + 4 : at + 10])
-            value = data[at + 11 : at + 10 + size].decode("latin-1")
-            key, _, rest = value.partition("\0")
-            out.tags[f"{name}:{key}" if name == "TXXX" else name] = rest if name == "TXXX" else value
-            at += 10 + size
+        version, flags = data[3], data[5]
+        stop = 10 + from_syncsafe(data[6:10])
+        start = min(end, stop + (10 if version == 4 and flags & 0x10 else 0))
+        body = data[10 : min(end, stop)]
+        if flags & 0x80 and version < 4:
+            body = body.replace(b"\xff\0", b"\xff")
+        if flags & 0x40 and version in (3, 4) and len(body) >= 4:
+            # The size of an extended header counts itself from version 4 on.
+            body = body[from_syncsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big") :]
+        for name, content in tag_frames(body, version) if version in (2, 3, 4) else ():
+            if name[0] != "T":
+                continue
+            value = decoded(content)
+            if name in ("TXXX", "TXX"):
+                key, _, rest = value.partition("\0")
+                out.tags[f"TXXX:{key}"] = rest.lstrip("\ufeff").rstrip("\0")
+            else:
+                out.tags[name] = value.rstrip("\0")
     if end - start >= TAG_END and data[end - TAG_END : end - TAG_END + 3] == b"TAG":
         end -= TAG_END
         out.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
     return start, end
 
 
+def read_table(frame: bytes, head: Header, out: Stream) -> tuple[int, int] | bool:
+    """The frames and bytes that a variable-bitrate table in this frame tells; True where it tells none, False without a table."""
+    at = HEAD + CHECK * head.protected + head.side
+    if head.layer == 3 and frame[at : at + 4] in (b"Xing", b"Info"):
+        flags = int.from_bytes(frame[at + 4 : at + 8], "big") if len(frame) >= at + 8 else 0
+        at += 8
+        told = []
+        for bit in (1, 2):
+            if flags & bit:
+                told.append(int.from_bytes(frame[at : at + 4], "big") if len(frame) >= at + 4 else -1)
+                at += 4
+        if flags & 4 and len(frame) >= at + 100:
+            out.toc = frame[at : at + 100]
+            if len(told) == 2:
+                out.seek = [mark * told[1] // 256 for mark in out.toc]
+        return tuple(told) if len(told) == 2 else True
+    if head.layer == 3 and frame[VBRI_AT : VBRI_AT + 4] == b"VBRI":
+        if len(frame) < VBRI_AT + VBRI_BYTES:
+            return True
+        total, frames, entries, scale, size, _ = struct.unpack(">IIHHHH", frame[VBRI_AT + 10 : VBRI_AT + VBRI_BYTES])
+        at = VBRI_AT + VBRI_BYTES
+        if 1 <= size <= 4 and len(frame) >= at + entries * size:
+            place = len(frame)
+            for k in range(entries):
+                out.seek.append(place)
+                place += scale * int.from_bytes(frame[at + k * size : at + (k + 1) * size], "big")
+        return frames, total
+    return False
+
+
 def parse(data: bytes) -> Stream:
-    """Walk a whole stream; bytes that belong to no frame are counted as skipped."""
+    """Walk a whole stream; bytes that belong to no frame are counted as skipped.  Any bytes may be given."""
     out = Stream()
     at, end = read_tags(data, out)
-    begin, last, xing = at, None, None
+    begin, last, told = at, None, False
     while at + HEAD <= end:
         head = header_of(data[at : at + HEAD])
         after = at + head.length if head else 0
@@ -211,16 +324,20 @@ def parse(data: bytes) -> Stream:
             out.skipped += step - at
             at = step
             continue
-        body = at + HEAD + CHECK * head.protected + head.side
-        if last is None and data[body : body + 4] in (b"Xing", b"Info"):
-            flags, frames, total = struct.unpack(">III", data[body + 4 : body + 16])
-            xing = (frames, total) if flags & 3 == 3 else None
-            out.table, out.toc = "unchecked", data[body + 16 : body + 116] if flags & 7 == 7 else b""
+        found = read_table(data[at:after], head, out) if last is None else False
+        if found:
+            told, out.table = found, "unchecked"
         else:
-            if head.protected and head.layer == 3:
+            if head.protected:
+                body = data[at + HEAD + CHECK : after]
+                bits = head.checked_bits(body)
                 out.checked += 1
-                told = struct.unpack(">H", data[at + HEAD : at + HEAD + CHECK])[0]
-                out.failed += told != crc16(data[at + 2 : at + HEAD] + data[at + HEAD + CHECK : body])
+                if bits is None:
+                    out.failed += 1
+                else:
+                    covered = data[at + 2 : at + HEAD] + body[: (bits + 7) // 8]
+                    value = crc16(covered) if bits % 8 == 0 else crc16_bits(covered, 16 + bits)
+                    out.failed += int.from_bytes(data[at + HEAD : at + HEAD + CHECK], "big") != value
             out.offsets.append(at)
             out.lengths.append(head.length)
             out.kbits.add(head.kbits)
@@ -228,8 +345,8 @@ def parse(data: bytes) -> Stream:
             out.rate = head.rate
         last, at = head, after
     out.skipped += max(0, end - at)
-    if xing:
-        out.table = "ok" if xing == (len(out.offsets), end - begin) else "wrong"
+    if isinstance(told, tuple):
+        out.table = "ok" if told == (len(out.offsets), end - begin) else "wrong"
     return out
 
 
@@ -280,7 +397,7 @@ def features(stored: DataFrame) -> DataFrame:
         return {
             "frames": len(found.offsets), "samples": found.samples, "rate": found.rate, "micros": found.micros, "kbits": sorted(found.kbits),
             "crc_checked": found.checked, "crc_failed": found.failed, "skipped": found.skipped, "table": found.table, "seek": found.offsets,
-            "n_bytes": int(told) if told.isdigit() else len(payload), "payload_bytes": len(payload),
+            "n_bytes": int(told) if told.isascii() and told.isdigit() and len(told) <= 18 else len(payload), "payload_bytes": len(payload),
             "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": crc32(payload[-16:]),
         }
 
