@@ -26,8 +26,8 @@ from seqnet.llm.common import sliced
 from seqnet.plans.lineage import write_table
 
 LENGTH = 2048
-#: Pieces ranked by one task, about.
-RANK_ROWS = 200_000
+#: Pieces of a length that are ranked together, about.
+RANK_ROWS = 1_000
 
 
 def place(folder: str | None, file: str) -> str:
@@ -40,9 +40,13 @@ def place(folder: str | None, file: str) -> str:
 def tokenizer(folder: str | None, name: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(place(folder, f"{name}.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(place(folder, f"{name}.json"))
+
+
+@cache
+def added_tokens(folder: str | None, name: str) -> tuple[str, ...]:
+    """Texts that are one id each in the tokenizer, whatever stands around them."""
+    return tuple(token.content for token in tokenizer(folder, name).get_added_tokens_decoder().values())
 
 
 @cache
@@ -59,14 +63,18 @@ def fast_encoder(folder: str | None, name: str):
 
 
 def token_ids(text: str, folder: str | None = None, name: str = "byte_bpe_50k") -> list[int]:
-    """Token ids of a whole text, special tokens as plain text.
+    """Token ids of a whole text as the unmodified tokenizer gives them without special tokens around it.
 
     A Latin-1 text goes through the faster encoder, which splits it alike; another, whose
-    letters may depend on a library's Unicode version, through the tokenizer itself.
+    letters may depend on a library's Unicode version, and one that holds an added token, through
+    the tokenizer itself.
     """
     try:
         text.encode("latin-1")
+        plain = not any(token in text for token in added_tokens(folder, name))
     except UnicodeEncodeError:
+        plain = False
+    if not plain:
         return tokenizer(folder, name).encode(text, add_special_tokens=False).ids
     return fast_encoder(folder, name).encode_ordinary(text)
 

@@ -16,9 +16,7 @@ TABLES = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def plain_pieces(tokenizer, rows, length=2048):
@@ -61,6 +59,14 @@ def test_encoders_agree(tokenizer):
     assert [packing.token_ids(t) for t in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_are_one_id(documents, tokenizer):
+    """Ids are those of the unmodified file, so the end-of-text token in a text is its own id."""
+    assert packing.token_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 3000), (3, "<|endoftext| >"), (4, "日本 <|endoftext|>")]
+    found = packing.pack(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == sorted(plain_pieces(tokenizer, rows))
+
+
 def fewest(sizes, capacity):
     """Least number of bins by exhaustive search."""
     best = [len(sizes)]
