@@ -17,6 +17,7 @@ never all pairs, so its output is no larger than its input.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,10 @@ from pyspark.sql import types as T
 from seqnet.operators.graph import component_labels
 from seqnet.plans.lineage import write_table
 
-#: Vectors, by least id hash, that codebooks and radius are fitted on; every vector is indexed.
-SAMPLE = 8192
+#: Vectors, by least id hash, that codebooks and radius are fitted on, at least, and for each centroid; every vector is indexed.
+SAMPLE, SAMPLE_EACH = 8192, 8
 #: Vectors of a cell on average, centroids of a half at most, rows of a block at most.
-PER_CELL, MOST_CENTROIDS, BLOCK = 32, 256, 2048
+PER_CELL, MOST_CENTROIDS, BLOCK = 32, 4096, 2048
 TARGET_RECALL = 0.999
 
 
@@ -52,7 +53,7 @@ def unpack(column, dims: int) -> np.ndarray:
 
 
 def prepared(vectors: DataFrame, dims: int) -> DataFrame:
-    """``vec_id, label, unit``: the vectors that can link, scaled to length one, as bytes of doubles."""
+    """``vec_id, label, unit, mark``: the vectors that can link, scaled to length one, as bytes of doubles, and their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +64,8 @@ def prepared(vectors: DataFrame, dims: int) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     rows = vectors.filter("vec_id is not null and label is not null and embedding is not null").select("vec_id", "label", "embedding")
-    return rows.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, unit binary")
+    found = rows.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, unit binary")
+    return found.withColumn("mark", F.unhex(F.sha2("unit", 256)))
 
 
 def codebook(rows: np.ndarray, size: int, rounds: int = 10) -> np.ndarray:
@@ -164,16 +166,20 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def search(prepared_rows: DataFrame, index: MultiIndex, dims: int, limit: float) -> DataFrame:
-    """``vec_id, other, n``: link counts (``other`` null) to be added up, and links that connect (``n`` zero)."""
-    label = prepared_rows.schema["label"]
-    key = prepared_rows.schema["vec_id"]
+def search(rows: DataFrame, index: MultiIndex, dims: int, limit: float) -> DataFrame:
+    """``vec_id, other, n``: link counts (``other`` null) to be added up, and links that connect (``n`` zero).
+
+    ``rows`` has ``vec_id, label, unit, weight``: different vectors, and how many ids share each.
+    """
+    label = rows.schema["label"]
+    key = rows.schema["vec_id"]
+    names = ["vec_id", "label", "unit", "weight"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 cells = index.cells(unpack(batch.column(2), dims))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int64())], names=["vec_id", "label", "unit", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int64())], names=[*names, "cell"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,11 +187,13 @@ def search(prepared_rows: DataFrame, index: MultiIndex, dims: int, limit: float)
                 part = batch.slice(at, 1024)
                 rows, cells = index.visits(unpack(part.column(2), dims))
                 chosen = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(cells, pa.int64())], names=["vec_id", "label", "unit", "cell"])
+                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(cells, pa.int64())], names=[*names, "cell"])
 
-    schema = T.StructType([key, label, T.StructField("unit", T.BinaryType()), T.StructField("cell", T.LongType())])
-    base = prepared_rows.mapInArrow(place, schema)
-    probes = write_table(prepared_rows.mapInArrow(probe, schema))
+    longs = [T.StructField(name, T.LongType()) for name in ("weight", "cell")]
+    schema = T.StructType([key, label, T.StructField("unit", T.BinaryType()), *longs])
+    rows = rows.select(*names)
+    base = rows.mapInArrow(place, schema)
+    probes = write_table(rows.mapInArrow(probe, schema))
     cell = ["label", "cell"]
     blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
     sizes = base.groupBy(*cell).agg(blocks.alias("bases")).join(probes.groupBy(*cell).agg(blocks.alias("queries")), cell)
@@ -196,25 +204,30 @@ def search(prepared_rows: DataFrame, index: MultiIndex, dims: int, limit: float)
         chosen = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.col(own)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         out = rows.join(sizes, cell).withColumn("_own", chosen).withColumn("_other", copies)
-        return out.select(*cell, F.col("_own").alias(own), F.col("_other").alias(other), "vec_id", "unit")
+        return out.select(*cell, F.col("_own").alias(own), F.col("_other").alias(other), "vec_id", "unit", "weight")
 
     def verify(bases: pa.Table, queries: pa.Table) -> pa.Table:
         out = pa.schema([("vec_id", bases.schema.field("vec_id").type), ("other", bases.schema.field("vec_id").type), ("n", pa.int64())])
         if not bases.num_rows or not queries.num_rows:
             return out.empty_table()
-        ids = [t.column("vec_id").to_numpy() for t in (queries, bases)]
+        ids, weights = ([t.column(c).to_numpy() for t in (queries, bases)] for c in ("vec_id", "weight"))
         left, right = (unpack(t.column("unit"), dims) for t in (queries, bases))
         near = (left @ right.T >= limit) & (ids[0][:, None] != ids[1][None, :])
         if not near.any():
             return out.empty_table()
         rows, columns = np.nonzero(near)
         # A query counts what it finds; the other end counts it too unless it visits this query's cell itself.
-        cells = index.cells(left)
-        blind = np.zeros(len(rows), bool)
-        for at in range(0, len(rows), 65_536):
-            span = slice(at, at + 65_536)
-            blind[span] = index.needed(right[columns[span]], cells[rows[span]]) > index.radius
-        counts = [np.bincount(rows, minlength=len(left)), np.bincount(columns[blind], minlength=len(right))]
+        cells, own = np.unique(index.cells(left), return_inverse=True)
+        visits, which = np.unique(columns * len(cells) + own[rows], return_inverse=True)
+        unseen = np.zeros(len(visits), bool)
+        for at in range(0, len(visits), 65_536):
+            base, cell = np.divmod(visits[at : at + 65_536], len(cells))
+            unseen[at : at + 65_536] = index.needed(right[base], cells[cell]) > index.radius
+        blind = unseen[which]
+        counts = [
+            np.bincount(rows, weights[1][columns], len(left)).astype(np.int64),
+            np.bincount(columns[blind], weights[0][rows[blind]], len(right)).astype(np.int64),
+        ]
         pairs = forest(near)
         who = np.concatenate([ids[0][counts[0] > 0], ids[1][counts[1] > 0], ids[0][[p[0] for p in pairs]]])
         number = np.concatenate([counts[0][counts[0] > 0], counts[1][counts[1] > 0], np.zeros(len(pairs), np.int64)])
@@ -224,34 +237,56 @@ def search(prepared_rows: DataFrame, index: MultiIndex, dims: int, limit: float)
 
     by = [*cell, "bases", "queries"]
     kind = key.dataType.simpleString()
-    found = dealt(base, "bases", "queries").groupBy(*by).cogroup(dealt(probes, "queries", "bases").select(*by, "vec_id", "unit").groupBy(*by))
-    return found.applyInArrow(verify, f"vec_id {kind}, other {kind}, n bigint")
+    bases, queries = dealt(base, "bases", "queries"), dealt(probes, "queries", "bases").select(*by, "vec_id", "unit", "weight")
+    return bases.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(verify, f"vec_id {kind}, other {kind}, n bigint")
+
+
+def linked(vectors: DataFrame, dims: int, limit: float, target: float) -> DataFrame | None:
+    """``vec_id, head, n`` of the usable vectors of one length, and the links ``head, other`` that connect heads.
+
+    Equal vectors of a label are one row of the index, under their smallest id.  Nothing without usable vectors.
+    """
+    rows = write_table(prepared(vectors.filter(F.size("embedding") == dims), dims))
+    members = rows.select("vec_id", "label", "mark").distinct()
+    heads = members.groupBy("label", "mark").agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("weight"))
+    heads = write_table(heads.withColumn("number", F.monotonically_increasing_id()))
+    facts = heads.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
+    if not facts["n"]:
+        return None
+    first = rows.dropDuplicates(["vec_id", "label", "mark"]).withColumnRenamed("vec_id", "head")
+    single = first.join(heads, ["head", "label", "mark"]).select(F.col("number").alias("vec_id"), "label", "unit", "weight")
+    single = write_table(single)
+    per_half = int(np.clip(round((facts["n"] / (max(1, facts["labels"]) * PER_CELL)) ** 0.5), 2, MOST_CENTROIDS))
+    index = MultiIndex(unpack_sample(single, dims, max(SAMPLE, SAMPLE_EACH * per_half)), per_half, limit, target)
+    found = write_table(search(single, index, dims, limit))
+    # The ids that share a vector link with each other, and with whatever their vector links with.
+    counts = found.groupBy(F.col("vec_id").alias("number")).agg(F.sum("n").alias("n"))
+    own = members.join(heads, ["label", "mark"]).join(counts, "number", "left")
+    own = own.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.col("head").alias("other"))
+    names = heads.select("number", "head")
+    links = found.filter("other is not null").join(names.toDF("vec_id", "_from"), "vec_id").join(names.toDF("other", "_to"), "other")
+    return own.unionByName(links.select(F.col("_from").alias("vec_id"), F.lit(0).cast("long").alias("n"), F.col("_to").alias("other")))
 
 
 def near_duplicates(vectors: DataFrame, limit: float = 0.98, target: float = TARGET_RECALL) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row.
 
-    Vectors link when their labels are equal and their cosine is at least ``limit``.  Null
-    labels, ids and vectors, zero vectors, and vectors with null or non-finite components, or of
-    another length than most, link with nothing.  Rows that repeat an id never link with each
-    other and share one result.  Equal vectors link like any others.  An empty table gives an
-    empty result; other columns are ignored.
+    Vectors link when their labels and lengths are equal and their cosine is at least ``limit``;
+    every length has an index of its own.  Null labels, ids and vectors, zero vectors, and vectors
+    with null or non-finite components link with nothing.  Rows that repeat an id with an equal
+    vector and label are one vector; with another they are vectors of their own, whose links are
+    added up.  Equal vectors link like any others.  An empty table gives an empty result; other
+    columns are ignored.
     """
     # One row per vector length comes to the driver.
-    lengths = vectors.filter("embedding is not null").groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
-    most = lengths.orderBy(F.desc("n"), F.desc("dims")).first()
-    dims = most["dims"] if most else 0
+    lengths = vectors.filter("embedding is not null").groupBy(F.size("embedding").alias("dims")).count().orderBy("dims").collect()
+    found = [part for row in lengths if row["dims"] and (part := linked(vectors, row["dims"], limit, target)) is not None]
     ids = vectors.select("vec_id")
-    rows = write_table(prepared(vectors, dims))
-    sample = unpack_sample(rows, dims)
-    if not len(sample):
+    if not found:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
-    per_half = int(np.clip(round((facts["n"] / (max(1, facts["labels"]) * PER_CELL)) ** 0.5), 2, MOST_CENTROIDS))
-    index = MultiIndex(sample, per_half, limit, target)
-    found = write_table(search(rows, index, dims, limit))
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    edges = found.filter("other is not null").select(F.lit(0).alias("graph_id"), F.col("vec_id").alias("src"), F.col("other").alias("dst"))
+    rows = write_table(reduce(DataFrame.unionByName, found))
+    counts = rows.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    edges = rows.select(F.lit(0).alias("graph_id"), F.col("vec_id").alias("src"), F.col("other").alias("dst"))
     labels = component_labels(edges).select(F.col("node").alias("vec_id"), "component")
     joined = ids.join(counts, "vec_id", "left").join(labels, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
@@ -263,7 +298,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.98, target: float = TAR
     )
 
 
-def unpack_sample(rows: DataFrame, dims: int) -> np.ndarray:
-    """The ``SAMPLE`` vectors of least id hash, on the driver."""
-    found = rows.select("vec_id", "unit").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+def unpack_sample(rows: DataFrame, dims: int, most: int) -> np.ndarray:
+    """The ``most`` vectors of least id hash, on the driver."""
+    found = rows.select("vec_id", "unit").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
     return np.frombuffer(b"".join(r["unit"] for r in found), np.float64).reshape(-1, max(dims, 1))

@@ -8,11 +8,11 @@ TABLES = "/root/testdata/sf0.01"
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
 
-def brute(rows, limit=0.98):
+def brute(rows, limit=0.98, dims=64):
     """Links by comparing all pairs in double precision: number per id and least id reachable."""
     usable = []
     for i, v, label in rows:
-        if i is None or label is None or v is None or None in v or len(v) != 64:
+        if i is None or label is None or v is None or None in v or len(v) != dims:
             continue
         a = np.array(v, np.float64)
         if np.isfinite(a).all() and np.any(a):
@@ -97,6 +97,29 @@ def test_odd_rows(spark, documents):
     assert embeddings.near_duplicates(spark.createDataFrame([(1, None, 1)], SCHEMA)).first()["kept"]
 
 
+def test_every_length_and_equal_vectors(spark, documents):
+    """Vectors of several lengths link within their own; a third of all vectors equal is one row of the index."""
+    documents([])
+    rng = np.random.default_rng(6)
+    rows, i = [], 0
+    for dims, n in ((64, 60), (32, 40), (3, 30)):
+        for v in rng.normal(size=(n, dims)):
+            for copy in ([v, v * 2.0, v + 1e-3 * rng.normal(size=dims)] if i % 2 else [v]):
+                rows.append((i, [float(np.float32(x)) for x in copy], i % 3))
+                i += 1
+    same = [float(np.float32(x)) for x in rng.normal(size=64)]
+    rows += [(i + k, same, 1) for k in range(150)] + [(i + 200, [*same[:-1], same[-1] * 1.0001], 1), (i + 201, same[:32], 1)]
+    counts, lead = {}, {}
+    for dims in (64, 32, 3):
+        some = [r for r in rows if len(r[1]) == dims]
+        for found, own in zip((counts, lead), brute(some, dims=dims), strict=True):
+            found.update(own)
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), target=1).collect()
+    assert {r["vec_id"]: r["n_links"] for r in found} == counts
+    assert {r["vec_id"]: r["component_id"] for r in found} == lead
+    assert counts[i] == 150
+
+
 def test_forest_connects_what_links_connect():
     rng = np.random.default_rng(8)
     for density in (0.01, 0.05, 0.5):
