@@ -3,7 +3,8 @@
 Natural text and code come in pieces that a subword vocabulary knows, so a token covers
 several characters; random strings break into many short tokens.  A string of secret-like
 characters whose characters per token fall below a ratio is reported, unless it is a digest
-of a known length, a plain number or an identifier made of words that the vocabulary knows.
+of a known length or an identifier made of words that the vocabulary knows.  Digits count like
+any other characters: the ratio decides for a long number too.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ def is_name(run: str, folder: str | None, name: str) -> bool:
 
 
 def is_random(run: str, folder: str | None, name: str, ratio: float) -> bool:
-    """Whether few characters of the run make a token, and it is neither number, digest nor identifier."""
-    if run.isdigit() or (len(run) in DIGEST_CHARS and HEXADECIMAL.fullmatch(run)) or UUID.fullmatch(run):
+    """Whether few characters of the run make a token, and it is neither digest nor identifier."""
+    if (len(run) in DIGEST_CHARS and HEXADECIMAL.fullmatch(run)) or UUID.fullmatch(run):
         return False
     return len(run) < ratio * len(vocabulary(folder, name).encode_ordinary(run)) and not is_name(run, folder, name)
 
