@@ -38,8 +38,8 @@ def segment_events(spark: SparkSession, folder: str) -> DataFrame:
     return keep(ev.event_table(rows, "user_id", "ts", "event_type", graph="c_mktsegment"))
 
 
-def brand_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Brands bought by each customer in order of date, order and line; one graph per segment; stored."""
+def brand_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Brands bought by each customer in order of date, order and line; one graph per segment."""
     lines = table(spark, folder, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
     orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     parts = table(spark, folder, "part", "p_partkey", "p_brand")
@@ -49,7 +49,37 @@ def brand_events(spark: SparkSession, folder: str) -> DataFrame:
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
     )
-    return keep(ev.event_table(rows, "o_custkey", "o_orderdate", "p_brand", graph="c_mktsegment", tie=["o_orderkey", "l_linenumber"]))
+    return ev.event_table(rows, "o_custkey", "o_orderdate", "p_brand", graph="c_mktsegment", tie=["o_orderkey", "l_linenumber"])
+
+
+def brand_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each customer, counted by order before the wide join: no case of ``brand_rows`` has more events."""
+    lines = table(spark, folder, "lineitem", "l_orderkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_lines"))
+    orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    customers = table(spark, folder, "customer", "c_custkey", "c_mktsegment")
+    counted = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum("_lines").alias("_n"))
+    rows = counted.join(customers, F.col("o_custkey") == F.col("c_custkey")).filter("c_mktsegment is not null")
+    return rows.select(F.col("c_mktsegment").alias("graph_id"), F.col("o_custkey").alias("case_id"), "_n")
+
+
+def brand_events(spark: SparkSession, folder: str) -> DataFrame:
+    """``brand_rows``, stored."""
+    return keep(brand_rows(spark, folder))
+
+
+def brand_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The observed network of brands, in one pass over the joined rows."""
+    return nw.pair_frequencies(brand_rows(spark, folder), sizes=brand_sizes(spark, folder))
+
+
+def order_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer's orders as a chain of nodes, one graph per segment; ``chain`` is the customer."""
+    orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    customers = table(spark, folder, "customer", "c_custkey", "c_mktsegment")
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    placed = ev.event_table(rows.withColumn("_key", F.format_string("%08d", "o_orderkey")), "o_custkey", "o_orderdate", "_key", graph="c_mktsegment", tie=["o_orderkey"])
+    steps = nw.transitions(placed)
+    return keep(steps.join(rows.select(F.format_string("%08d", "o_orderkey").alias("src"), F.col("o_custkey").alias("chain")), "src").select("graph_id", "src", "dst", F.lit(1.0).alias("weight"), "chain"))
 
 
 def order_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +103,7 @@ def segment_states(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def brand_network(spark: SparkSession, folder: str) -> DataFrame:
-    return keep(nw.pair_frequencies(brand_events(spark, folder)))
+    return keep(brand_pairs(spark, folder))
 
 
 def brand_states(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +112,7 @@ def brand_states(spark: SparkSession, folder: str) -> DataFrame:
 
 def strong_brands(spark: SparkSession, folder: str) -> DataFrame:
     """The 30 heaviest brand transitions of each segment: a sparse network."""
-    return keep(nw.filter_edges(nw.pair_frequencies(brand_events(spark, folder)), top_n=30))
+    return keep(nw.filter_edges(brand_pairs(spark, folder), top_n=30))
 
 
 def token_sequences(spark: SparkSession, folder: str) -> DataFrame:

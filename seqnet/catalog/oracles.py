@@ -850,3 +850,115 @@ bf AS (SELECT graph_id, count(*) AS eb, sum(weight) AS tw FROM net GROUP BY 1)""
         "true AS is_dag, k <= 1 AS is_tree, true AS is_polytree FROM sz JOIN ins USING (graph_id) JOIN bf USING (graph_id)",
     ),
 )
+
+
+# --- deep and many-rooted networks --------------------------------------------------------------------------------
+
+_STRONG = states(BRANDS) + """,
+far AS (SELECT graph_id, src AS a, dst AS b FROM states UNION SELECT f.graph_id, f.a, s.dst FROM far f JOIN states s ON s.graph_id = f.graph_id AND s.src = f.b),
+points AS (SELECT graph_id, src AS node FROM states UNION SELECT graph_id, dst FROM states),
+mutual AS (SELECT x.graph_id, x.a AS node, x.b AS other FROM far x JOIN far y ON x.graph_id = y.graph_id AND x.a = y.b AND x.b = y.a)"""
+oracle("strong_components", w(_STRONG, "SELECT graph_id, node, least(node, coalesce(min(other), node)) AS component FROM points LEFT JOIN mutual USING (graph_id, node) GROUP BY graph_id, node"))
+_ORDER_CHAIN = """
+placed AS (SELECT c_mktsegment AS graph_id, o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS place
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+steps AS (SELECT a.graph_id, a.o_orderkey AS src, b.o_orderkey AS dst FROM placed a JOIN placed b ON a.o_custkey = b.o_custkey AND b.place = a.place + 1)"""
+oracle("order_chain_levels", w(_ORDER_CHAIN, "SELECT graph_id, printf('%08d', o_orderkey) AS node, place AS level FROM placed WHERE o_custkey IN (SELECT o_custkey FROM placed WHERE place = 1)"))
+oracle(
+    "order_ring_is_dag",
+    w(
+        _ORDER_CHAIN,
+        "SELECT graph_id, graph_id <> 'BUILDING' AS is_dag, graph_id = 'BUILDING' AS has_cycles FROM steps GROUP BY ALL",
+    ),
+)
+
+
+def brand_betweenness(hops: int = 24) -> str:
+    """Shortest ways edge by edge, their number along the tight edges, and the share of ways through each node."""
+    return net(BRANDS) + NODES + f""",
+cnt AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1),
+dk AS (SELECT graph_id, src AS a, dst AS b, weight AS d, 1 AS k FROM net
+  UNION ALL SELECT dk.graph_id, dk.a, n.dst, min(dk.d + n.weight), dk.k + 1 FROM dk JOIN net n ON n.graph_id = dk.graph_id AND n.src = dk.b
+    WHERE dk.k < {hops} AND dk.a <> n.dst GROUP BY dk.graph_id, dk.a, n.dst, dk.k),
+ds AS MATERIALIZED (SELECT graph_id, a, b, min(d) AS d FROM dk GROUP BY graph_id, a, b),
+base AS (SELECT graph_id, a, b, d FROM ds UNION ALL SELECT graph_id, node, node, 0 FROM nodes),
+tight AS MATERIALIZED (SELECT x.graph_id, x.a, n.src AS u, n.dst AS v FROM base x JOIN net n ON n.graph_id = x.graph_id AND n.src = x.b
+  JOIN ds y ON y.graph_id = x.graph_id AND y.a = x.a AND y.b = n.dst AND y.d = x.d + n.weight),
+ck AS (SELECT graph_id, node AS a, node AS b, 1::DOUBLE AS c, 0 AS k FROM nodes
+  UNION ALL SELECT ck.graph_id, ck.a, t.v, sum(ck.c), ck.k + 1 FROM ck JOIN tight t ON t.graph_id = ck.graph_id AND t.a = ck.a AND t.u = ck.b
+    WHERE ck.k < {hops} GROUP BY ck.graph_id, ck.a, t.v, ck.k),
+ways AS MATERIALIZED (SELECT graph_id, a, b, sum(c) AS c FROM ck GROUP BY graph_id, a, b),
+acc AS (SELECT x.graph_id, x.b AS node, sum(px.c * py.c / pz.c) AS s FROM ds x JOIN ds y ON y.graph_id = x.graph_id AND y.a = x.b
+  JOIN ds z ON z.graph_id = x.graph_id AND z.a = x.a AND z.b = y.b AND z.d = x.d + y.d
+  JOIN ways px ON px.graph_id = x.graph_id AND px.a = x.a AND px.b = x.b JOIN ways py ON py.graph_id = x.graph_id AND py.a = y.a AND py.b = y.b
+  JOIN ways pz ON pz.graph_id = x.graph_id AND pz.a = z.a AND pz.b = z.b GROUP BY x.graph_id, x.b)"""
+
+
+oracle(
+    "brand_betweenness",
+    w(
+        brand_betweenness(),
+        "SELECT graph_id, node, round(coalesce(s, 0) * CASE WHEN n > 2 THEN 1.0 / ((n - 1) * (n - 2)) ELSE 1 END, 6) AS betweenness FROM nodes JOIN cnt USING (graph_id) LEFT JOIN acc USING (graph_id, node)",
+    ),
+)
+
+
+def brand_centrality(rounds: int = 60) -> str:
+    """PageRank of every brand network as ``central``; a graph rests when its ranks hardly move."""
+    parts = ["""
+cn AS (SELECT graph_id, count(*)::DOUBLE AS n FROM nodes GROUP BY 1), ow AS (SELECT graph_id, src, sum(weight) AS o FROM net GROUP BY ALL),
+sharing AS MATERIALIZED (SELECT net.graph_id, net.src, net.dst, net.weight / ow.o AS share FROM net JOIN ow USING (graph_id, src)),
+r0 AS MATERIALIZED (SELECT graph_id, node, n, 1 / n AS r, NULL::DOUBLE AS b, (graph_id, node) NOT IN (SELECT (graph_id, src) FROM ow) AS stuck FROM nodes JOIN cn USING (graph_id))"""]
+    for k in range(rounds):
+        parts.append(f"""
+g{k} AS (SELECT graph_id, sum(CASE WHEN stuck THEN r ELSE 0 END) AS lost, coalesce(sum(abs(r - b)) < max(n) * 1e-6, false) AS still FROM r{k} GROUP BY 1),
+s{k} AS (SELECT r{k}.graph_id, dst AS node, sum(r * share) AS got FROM r{k} JOIN sharing ON sharing.graph_id = r{k}.graph_id AND src = node GROUP BY ALL),
+r{k + 1} AS MATERIALIZED (SELECT graph_id, node, n, CASE WHEN still THEN r ELSE 0.85 * (coalesce(got, 0) + lost / n) + 0.15 / n END AS r, r AS b, stuck
+  FROM r{k} JOIN g{k} USING (graph_id) LEFT JOIN s{k} USING (graph_id, node))""")
+    parts.append(f"""
+central AS MATERIALIZED (SELECT graph_id, node, r / max(r) OVER (PARTITION BY graph_id) AS centrality FROM r{rounds})""")
+    return ",".join(parts)
+
+
+def multiobjective(levels: int = 5, branching: int = 3, target: float = 0.7) -> str:
+    """The scored levels one after the other, with the default weights."""
+    parts = [f"""
+roots AS (SELECT graph_id, node AS root FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY CASE WHEN upper(node) = 'START' THEN 0 ELSE 1 END, out_weight DESC, centrality DESC, out_degree DESC, node) AS r
+  FROM strength JOIN central USING (graph_id, node)) WHERE r = 1),
+totals AS (SELECT graph_id, sum(weight) AS total, max(weight) AS top FROM net GROUP BY 1),
+scored AS MATERIALIZED (SELECT net.graph_id, net.src, net.dst, net.weight, total, top, out_weight AS o, centrality FROM net JOIN totals USING (graph_id)
+  JOIN strength s ON s.graph_id = net.graph_id AND s.node = net.src JOIN central c ON c.graph_id = net.graph_id AND c.node = net.dst),
+front1 AS (SELECT graph_id, root AS src, [root] AS path FROM roots),
+chosen0 AS (SELECT graph_id, src, dst, weight, 0::BIGINT AS level, '' AS parent_path, 0::DOUBLE AS score, '' AS reason, false AS new FROM net WHERE false)"""]
+    for k in range(1, levels + 1):
+        parts.append(f"""
+ways{k} AS (SELECT s.*, f.path, coalesce(fs.k, 0) AS frm, coalesce(tt.k, 0) AS rep, coalesce(pr.seen, false) AS seen, coalesce(sm.k, 0) AS alln, coalesce(sm.kept, 0) AS kept
+  FROM scored s JOIN front{k} f ON f.graph_id = s.graph_id AND f.src = s.src
+  LEFT JOIN (SELECT graph_id, src, count(*) AS k FROM chosen{k - 1} GROUP BY ALL) fs ON fs.graph_id = s.graph_id AND fs.src = s.src
+  LEFT JOIN (SELECT graph_id, dst, count(*) AS k FROM chosen{k - 1} GROUP BY ALL) tt ON tt.graph_id = s.graph_id AND tt.dst = s.dst
+  LEFT JOIN (SELECT DISTINCT graph_id, src, dst, true AS seen FROM chosen{k - 1}) pr ON pr.graph_id = s.graph_id AND pr.src = s.src AND pr.dst = s.dst
+  LEFT JOIN (SELECT graph_id, count(*) AS k, sum(CASE WHEN new THEN weight ELSE 0 END) AS kept FROM chosen{k - 1} GROUP BY ALL) sm ON sm.graph_id = s.graph_id
+  WHERE NOT list_contains(f.path, s.dst) AND coalesce(fs.k, 0) < {branching} AND coalesce(sm.kept, 0) / total < {target}),
+terms{k} AS (SELECT *, weight / top AS nw, weight / o AS tp, CASE WHEN seen THEN 0 ELSE weight / total END AS cg, rep / greatest(alln, 1) AS rp,
+  least(1.0::DOUBLE, {k}::DOUBLE / {levels} + frm::DOUBLE / {branching}) AS cp FROM ways{k}),
+rated{k} AS (SELECT *, 0.35::DOUBLE * nw + 0.25::DOUBLE * tp + 0.15::DOUBLE * cg + 0.15::DOUBLE * centrality - 0.05::DOUBLE * rp - 0.05::DOUBLE * cp AS score,
+  CASE WHEN nw >= 0.7 AND tp >= 0.5 THEN 'heavy' WHEN cg >= 0.05 THEN 'covering' WHEN centrality >= 0.65 THEN 'central' WHEN rp > 0 AND nw >= 0.35 THEN 'repeated' ELSE 'balanced' END AS reason FROM terms{k}),
+bys{k} AS (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY score DESC, weight DESC, dst, src, path) AS s FROM rated{k} WHERE score >= 0),
+byg{k} AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, weight DESC, dst, src, path) AS g FROM bys{k} WHERE s <= {branching} AND s + frm <= {branching}),
+new{k} AS (SELECT *, NOT seen AND row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY g) = 1 AS new FROM byg{k} WHERE g <= {branching}),
+had{k} AS (SELECT *, kept + coalesce(sum(CASE WHEN new THEN weight ELSE 0 END) OVER (PARTITION BY graph_id ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM new{k}),
+step{k} AS MATERIALIZED (SELECT * FROM had{k} WHERE had / total < {target}),
+chosen{k} AS MATERIALIZED (SELECT * FROM chosen{k - 1} UNION ALL SELECT graph_id, src, dst, weight, {k}, array_to_string(path, ' -> '), score, reason, new FROM step{k}),
+front{k + 1} AS (SELECT graph_id, dst AS src, list_append(path, dst) AS path FROM step{k})""")
+    return ",".join(parts)
+
+
+oracle(
+    "multiobjective_polytree",
+    w(
+        net(BRANDS) + STRENGTH + NODES + "," + brand_centrality() + "," + multiobjective(),
+        "SELECT graph_id, src, dst, weight, level, parent_path, round(score, 6) AS score, reason FROM chosen5",
+    ),
+)
+oracle("brand_pagerank", w(net(BRANDS) + NODES + "," + brand_centrality(), "SELECT graph_id, node, round(centrality, 6) AS centrality FROM central"))
+oracle("brand_topk_polytree", w(net(BRANDS) + GREEDY_ROOT + TOPK, "SELECT * FROM topk"))

@@ -11,9 +11,11 @@ from seqnet.catalog.inputs import (
     EVENT_TYPES,
     brand_events,
     brand_network,
+    brand_pairs,
     brand_states,
     influence_net,
     influence_rows,
+    order_chains,
     order_events,
     role_events,
     scratch,
@@ -381,7 +383,7 @@ def pair_frequencies(spark, folder):
 
 @query
 def brand_pair_frequencies(spark, folder):
-    return nw.pair_frequencies(brand_events(spark, folder))
+    return brand_pairs(spark, folder)
 
 
 @query
@@ -631,6 +633,12 @@ def topk_polytree(spark, folder):
     return pt.topk_polytree(net, tr.choose_root_greedy(net))
 
 
+@query
+def brand_topk_polytree(spark, folder):
+    net = brand_network(spark, folder)
+    return pt.topk_polytree(net, tr.choose_root_greedy(net))
+
+
 @query
 def multiobjective_polytree(spark, folder):
     net = brand_network(spark, folder)
@@ -728,6 +736,44 @@ def betweenness(spark, folder):
     return rounded(gr.betweenness(segment_network(spark, folder)))
 
 
+@query
+def brand_betweenness(spark, folder):
+    return rounded(gr.betweenness(brand_network(spark, folder)))
+
+
+@query
+def brand_pagerank(spark, folder):
+    return rounded(gr.pagerank(brand_network(spark, folder)))
+
+
+@query
+def strong_components(spark, folder):
+    """Brands follow each other in circles; SOURCE and SINK stay alone."""
+    return gr.strong_components(brand_states(spark, folder))
+
+
+@query
+def order_chain_levels(spark, folder):
+    """Place of every order in its customer's chain of orders, from the first ones on: many deep chains in a graph."""
+    net = order_chains(spark, folder)
+    later = net.select("graph_id", F.col("dst").alias("node"))
+    first = net.select("graph_id", F.col("src").alias("node")).join(later, ["graph_id", "node"], "left_anti")
+    return gr.hops(net, first).df
+
+
+@query
+def order_ring_is_dag(spark, folder):
+    """The chains of orders, and in one segment the way back from the last order of the longest chain to its first."""
+    net = order_chains(spark, folder)
+    own = net.filter("graph_id = 'BUILDING'")
+    longest = own.groupBy("chain").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "chain").limit(1).select("chain")
+    ring = own.join(longest, "chain", "left_semi")
+    last = ring.join(ring.select(F.col("src").alias("dst")), "dst", "left_anti").select("chain", F.col("dst").alias("src"))
+    first = ring.join(ring.select(F.col("dst").alias("src")), "src", "left_anti").select("chain", F.col("src").alias("dst"))
+    back = last.join(first, "chain").select(F.lit("BUILDING").alias("graph_id"), "src", "dst", F.lit(1.0).alias("weight"))
+    return gr.is_dag(net.drop("chain").unionByName(back))
+
+
 @query
 def validate_observed(spark, folder):
     return rounded(me.validate_observed(brand_network(spark, folder)))

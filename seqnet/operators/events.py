@@ -70,9 +70,9 @@ def event_table(
     return out.filter("ord is not null")
 
 
-def ordered(events: DataFrame, hot_rows: int = HOT_ROWS, position: bool = True) -> DataFrame:
-    """Events with ``prev``, ``next`` and ``pos`` inside their case."""
-    return neighbours(with_chunks(events, CASE, EVENT_ORDER, hot_rows), CASE, event_order(), "item", position)
+def ordered(events: DataFrame, hot_rows: int = HOT_ROWS, position: bool = True, sizes: DataFrame | None = None) -> DataFrame:
+    """Events with ``prev``, ``next`` and ``pos`` inside their case; ``sizes`` as for ``with_chunks``."""
+    return neighbours(with_chunks(events, CASE, EVENT_ORDER, hot_rows, sizes), CASE, event_order(), "item", position)
 
 
 def order_events(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

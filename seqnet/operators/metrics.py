@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqnet.operators.graph import arcs_of, component_labels, graph_summary, is_dag, reachable_all
+from seqnet.operators.graph import arcs_of, component_labels, graph_summary, hops, is_dag, reachable_all
 from seqnet.operators.network import network_metrics, node_strength, nodes_of
 from seqnet.operators.trees import ancestors, as_nodes, orient
 from seqnet.plans.lineage import cut
@@ -187,30 +187,67 @@ def tree_center(tree: DataFrame) -> DataFrame:
     return centers.unionByName(alone)
 
 
-def graph_center(edges: DataFrame) -> DataFrame:
-    """Node of least undirected eccentricity; ties by total weight, then name.
+def center_search(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``graph_id, center, eccentricity``, and the number of sweeps it took.
 
-    Hop distances from every node to every other are needed for the exact answer, so
-    the table of distances has one row per pair of connected nodes.
+    A sweep gives a node's eccentricity, and from it a lower bound for every other node's: the
+    distance, and the eccentricity less the distance.  Sweeps start in turn at the node of least
+    bound and at the node farthest from it, and a graph is done when no bound is below the
+    best eccentricity found; all graphs are swept together.
     """
-    arcs = cut(arcs_of(edges, directed=False))
-    nodes = nodes_of(edges)
-    state = cut(nodes.select("graph_id", F.col("node").alias("origin"), "node", F.lit(0).cast("long").alias("level")))
-    depth = 0
+    both = arcs_of(edges, directed=False)
+    weight = node_strength(edges).select("graph_id", "node", (F.col("out_weight") + F.col("in_weight")).alias("weight"))
+    zero = F.lit(0).cast("long")
+    state = cut(weight.select("graph_id", "node", "weight", zero.alias("bound"), F.lit(False).alias("swept"), zero.alias("level")))
+    sizes = state.df.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
+    arcs = cut(both)
+    sweeps, rank = 0, F.struct(F.col("bound").cast("double").alias("e"), (-F.col("weight")).alias("w"), F.col("node").alias("node"))
+    apart = None
     while True:
-        step = arcs.small(state).withColumnRenamed("src", "node")
-        reached = state.df.filter(F.col("level") == depth).join(step, ["graph_id", "node"]).select("graph_id", "origin", F.col("dst").alias("node"), F.lit(depth + 1).cast("long").alias("level"))
-        before = state.rows
-        state = cut(state.df.unionByName(reached).groupBy("graph_id", "origin", "node").agg(F.min("level").alias("level")))
-        depth += 1
-        if state.rows == before:
+        best = state.df.filter("swept").groupBy("graph_id").agg(F.min(rank).alias("_best"))
+        open_ = state.df.filter("not swept").withColumn("rank", rank).join(best, "graph_id", "left").filter("_best is null or rank < _best")
+        if apart is not None:
+            open_ = open_.join(apart.small(state), "graph_id", "left_anti")
+        # Every second sweep goes to the far side, as long as some node there has not been swept.
+        left = state.df.join(open_.select("graph_id").distinct(), "graph_id", "left_semi").filter("not swept")
+        near = open_.groupBy("graph_id").agg(F.min_by("node", "rank").alias("node"))
+        picked = near if sweeps % 2 == 0 else left.groupBy("graph_id").agg(F.max_by("node", F.struct("level", "node")).alias("node"))
+        starts = cut(picked.select("graph_id", "node"), state.tiny)
+        if not starts.rows:
             break
-    sizes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
-    far = state.df.groupBy("graph_id", "origin").agg(F.max("level").alias("_e"), F.count(F.lit(1)).alias("_r")).join(sizes, "graph_id")
-    far = far.select("graph_id", F.col("origin").alias("node"), F.when(F.col("_r") == F.col("_n"), F.col("_e").cast("double")).otherwise(float("inf")).alias("eccentricity"))
-    weight = node_strength(edges).select("graph_id", "node", (F.col("out_weight") + F.col("in_weight")).alias("_w"))
-    rank = F.struct("eccentricity", -F.col("_w"), F.col("node"))
-    return far.join(weight, ["graph_id", "node"]).groupBy("graph_id").agg(F.min_by("node", rank).alias("center"), F.min("eccentricity").alias("eccentricity"))
+        sweeps += 1
+        levels = hops(arcs.df, starts.df)
+        far = levels.df.groupBy("graph_id").agg(F.max("level").alias("_e"), F.count(F.lit(1)).alias("_r"))
+        if apart is None:
+            # The first sweep of a graph in pieces does not reach all of it.
+            apart = cut(far.join(sizes, "graph_id").filter("_r < _n").select("graph_id"), state.tiny)
+        found = levels.small(state).withColumnRenamed("level", "_d")
+        begun = starts.small(state).withColumn("_start", F.lit(True))
+        told = state.df.join(found, ["graph_id", "node"], "left").join(far.drop("_r"), "graph_id", "left").join(begun, ["graph_id", "node"], "left")
+        bound = F.greatest("bound", F.coalesce(F.greatest("_d", F.col("_e") - F.col("_d")), zero))
+        start = F.coalesce("_start", F.lit(False))
+        state = cut(
+            told.select(
+                "graph_id", "node", "weight", F.when(start, F.col("_e")).otherwise(bound).alias("bound"), (F.col("swept") | start).alias("swept"), F.coalesce("_d", "level").alias("level")
+            ),
+            state.tiny,
+            replaces=state,
+        )
+    whole = state.df if apart is None else state.df.join(apart.small(state), "graph_id", "left_anti")
+    done = whole.filter("swept").groupBy("graph_id").agg(F.min(rank).alias("b")).select("graph_id", F.col("b.node").alias("center"), F.col("b.e").alias("eccentricity"))
+    if apart is None:
+        return done, sweeps
+    far_apart = state.df.join(apart.small(state), "graph_id", "left_semi").groupBy("graph_id")
+    pieces = far_apart.agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("node").alias("node"))).alias("b"))
+    return done.unionByName(pieces.select("graph_id", F.col("b.node").alias("center"), F.lit(float("inf")).alias("eccentricity"))), sweeps
+
+
+def graph_center(edges: DataFrame) -> DataFrame:
+    """Node of least undirected eccentricity; ties by total weight, then name.
+
+    In a graph of several components every eccentricity is infinite.
+    """
+    return center_search(edges)[0]
 
 
 # Names of the compared methods.

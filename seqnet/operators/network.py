@@ -16,19 +16,22 @@ PAIR = ["graph_id", "src", "dst"]
 NORMAL, FROM_SOURCE, TO_SINK = "normal_transition", "source_transition", "sink_transition"
 
 
-def transitions(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def transitions(events: DataFrame, hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """One row per change of item inside a case.
 
     A change from ``prev`` to ``item`` is exactly one step of the run-free sequence,
     so a single window is enough and no second pass renumbers the events.
     """
-    rows = ordered(events, hot_rows, position=False).filter("prev <> item")
+    rows = ordered(events, hot_rows, position=False, sizes=sizes).filter("prev <> item")
     return rows.select(*CASE, F.col("prev").alias("src"), F.col("item").alias("dst"))
 
 
-def pair_frequencies(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The observed network: how often each item is followed by each other item."""
-    return transitions(events, hot_rows).groupBy(*PAIR).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def pair_frequencies(events: DataFrame, hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
+    """The observed network: how often each item is followed by each other item.
+
+    ``sizes`` (``graph_id, case_id, _n``) spares a pass that counts the rows of each case.
+    """
+    return transitions(events, hot_rows, sizes).groupBy(*PAIR).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def state_network(

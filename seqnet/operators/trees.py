@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqnet.operators.graph import reachable_subgraph
-from seqnet.operators.network import PAIR, node_strength, observed_edges
+from seqnet.operators.network import PAIR, node_strength, nodes_of, observed_edges
 from seqnet.plans.lineage import Stage, beside, cut
 from seqnet.plans.ordering import neighbours, with_chunks
 
@@ -254,40 +254,144 @@ def max_rooted_branching(edges: DataFrame, roots: DataFrame | None = None) -> Da
 # --- forward tree ---------------------------------------------------------------
 
 
+def ranked_edges(edges: DataFrame) -> DataFrame:
+    """``graph_id, src, dst, weight, rank``: the place of every edge of a graph in the order of all its edges, from 1."""
+    order = ["_nw", "src", "dst"]
+    rows = with_chunks(edges.withColumn("_nw", -F.col("weight")), ["graph_id"], order)
+    placed = neighbours(rows, ["graph_id"], [F.col(c) for c in order], "src")
+    return placed.select(*PAIR, "weight", F.col("pos").alias("rank"))
+
+
+#: Steps of a written round while tables are tiny, steps and rounds of labels, and written rounds before forced nodes are contracted.
+TINY_STEPS, LABEL_STEPS, LABEL_ROUNDS, FEW_ROUNDS = 4, 6, 5, 3
+PROBLEM = ["graph_id", "problem"]
+
+
+def _bottlenecks(arcs: Stage, starts: Stage, contract: bool = False) -> DataFrame:
+    """``graph_id, problem, node, worst``: the least possible largest rank on a way from the problem's start.
+
+    ``arcs`` are ``graph_id, problem, src, dst, rank``.  Ways are followed edge by edge; if that
+    takes many rounds, nodes with a single arc in are contracted into the node before them by
+    pointer doubling, where the largest rank on the way is all that counts, and the rest is solved alike.
+    """
+    tiny, key = arcs.tiny, [*PROBLEM, "node"]
+    forced, worthwhile = None, True
+    if contract:
+        worthwhile = False
+        into = arcs.df.groupBy(*PROBLEM, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min("src").alias("top"), F.min("rank").alias("worst"))
+        single = cut(into.filter("_n = 1").drop("_n"), tiny)
+        if single.rows:
+            forced, reach, steps = single, 1, 2 if tiny else 1
+            while reach < single.rows:
+                table = forced.df
+                for _ in range(steps):
+                    ahead = table.select(*PROBLEM, F.col("node").alias("top"), F.col("top").alias("_top"), F.col("worst").alias("_worst"))
+                    table = table.join(beside(ahead, tiny), [*PROBLEM, "top"], "left").select(
+                        *key, F.coalesce("_top", "top").alias("top"), F.greatest("worst", "_worst").alias("worst"), F.col("_top").isNotNull().alias("_moved")
+                    )
+                forced = cut(table.select(*key, "top", "worst", "_moved"), tiny, moved=F.count_if(F.col("_moved")))
+                moved, reach = forced["moved"], reach * 2**steps
+                forced = Stage(forced.df.drop("_moved"), 5, forced.figures, forced.path)
+                if not moved:
+                    break
+            ends = forced.small(arcs)
+            rest = arcs.df.join(ends.select(*PROBLEM, F.col("node").alias("dst")), [*PROBLEM, "dst"], "left_anti")
+            rest = rest.join(ends.withColumnsRenamed({"node": "src", "top": "_top", "worst": "_worst"}), [*PROBLEM, "src"], "left")
+            rest = rest.select(*PROBLEM, F.coalesce("_top", "src").alias("src"), "dst", F.greatest("rank", "_worst").alias("rank")).filter("src <> dst")
+            rows = arcs.rows
+            arcs = cut(rest.groupBy(*PROBLEM, "src", "dst").agg(F.min("rank").alias("rank")), tiny)
+            worthwhile = arcs.rows < rows
+    state = cut(starts.df.select(*key, F.lit(0).cast("long").alias("worst")), tiny)
+    # A step of rank 0 from each node to itself keeps what it has.
+    ends = arcs.df.select(*PROBLEM, F.explode(F.array("src", "dst")).alias("src")).distinct()
+    steps = cut(arcs.df.unionByName(ends.select(*PROBLEM, "src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("rank"))), tiny)
+    before, rounds, found = None, 0, None
+    while before != (state.rows, state.figures.get("total")):
+        before = (state.rows, state.figures.get("total"))
+        if rounds == FEW_ROUNDS and worthwhile:
+            found = _bottlenecks(arcs, starts, True)
+            break
+        table = state.df
+        for _ in range(TINY_STEPS if tiny else 1):
+            moved = steps.df.join(beside(table.withColumnRenamed("node", "src"), tiny), [*PROBLEM, "src"])
+            table = moved.groupBy(*PROBLEM, F.col("dst").alias("node")).agg(F.min(F.greatest("worst", "rank")).alias("worst"))
+        state = cut(table, tiny, replaces=state, total=F.sum("worst"))
+        rounds += 1
+    found = state.df.filter("worst > 0") if found is None else found
+    if forced is None:
+        return found
+    known = cut(found.unionByName(starts.df.select(*key, F.lit(0).cast("long").alias("worst"))), tiny)
+    tops = known.small(forced).select(*PROBLEM, F.col("node").alias("top"), F.col("worst").alias("_worst"))
+    behind = forced.df.join(tops, [*PROBLEM, "top"]).select(*key, F.greatest("worst", "_worst").alias("worst"))
+    return known.df.filter("worst > 0").unionByName(behind)
+
+
+def _by_labels(arcs: Stage, starts: Stage) -> DataFrame | None:
+    """``graph_id, rank`` of the tree's edges in small shallow networks; nothing if the rounds are too few.
+
+    The label of a node is the worst rank on its way, the worst behind that edge, and so on:
+    following an edge drops the better ranks at the end of the list and appends its own.  This
+    keeps the order of lists, so the least label of every node comes from one fixpoint, and
+    its last rank is the edge that enters the node.
+    """
+    state = cut(starts.df.select("graph_id", "node", F.array().cast("array<bigint>").alias("label")), True)
+    # A step of no edge from each node to itself keeps what it has.
+    stay = nodes_of(arcs.df).select("graph_id", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("bigint").alias("rank"))
+    steps = cut(arcs.df.select(*PAIR, "rank").unionByName(stay), True).df.withColumnRenamed("src", "node")
+    longer = F.when(F.col("rank").isNull(), F.col("label")).otherwise(F.concat(F.filter("label", lambda r: r > F.col("rank")), F.array("rank")))
+    mark = None
+    for _ in range(LABEL_ROUNDS):
+        table = state.df
+        for _ in range(LABEL_STEPS):
+            moved = steps.join(beside(table, True), ["graph_id", "node"])
+            table = moved.groupBy("graph_id", F.col("dst").alias("node")).agg(F.min(longer).alias("label"))
+        state = cut(table, True, replaces=state, mark=F.bit_xor(F.xxhash64("graph_id", "node", "label")))
+        if mark == (state.rows, state["mark"]):
+            return state.df.filter(F.size("label") > 0).select("graph_id", F.element_at("label", -1).alias("rank"))
+        mark = (state.rows, state["mark"])
+    return None
+
+
 def forward_tree(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Greedy growth from the root, always by the heaviest edge that leaves the tree.
 
-    The greedy way to a node has the least possible worst edge, after that edge again
-    the least possible worst edge, and so on.  The label of a node is this list of ever
-    better edges.  Following one more edge drops the better edges at the end of the list
-    and appends the new one, which keeps the order of labels, so the least label of every
-    node comes from one fixpoint over all graphs; its last edge enters the node.
+    Every edge has one number, its rank in the order of all edges of its graph.  The greedy way to a
+    node has the least possible worst edge.  Nodes whose ways have the same worst edge are taken
+    right after it, one after the other, before any edge that is worse: so that edge is in
+    the tree, and the nodes behind it are a problem of their own, from its end and among
+    themselves.  All problems of all graphs are solved together until none has an edge left.
     """
-    base = cut(edges.filter("weight > 0 and src <> dst").select(*PAIR, "weight"))
+    base = cut(ranked_edges(edges.filter("weight > 0 and src <> dst").select(*PAIR, "weight")))
+    tiny = base.tiny
     roots = choose_root_forward(base.df) if roots is None else roots
-    tops = cut(roots.select("graph_id", F.col("root").alias("top")))
-    arcs = cut(
-        base.df.join(tops.small(base), "graph_id").filter("dst <> top").select("graph_id", F.col("src").alias("node"), "dst", edge_key().alias("edge"))
-    )
-    none = F.array().cast(f"array<{arcs.df.schema['edge'].dataType.simpleString()}>")
-    state = cut(tops.df.select("graph_id", F.col("top").alias("node"), none.alias("label"), F.lit(True).alias("fresh")))
-    while True:
-        table = state.small(arcs)
-        # Two steps per written table while everything fits in one partition.
-        for _ in range(2 if arcs.tiny else 1):
-            moving = table.filter("fresh").drop("fresh")
-            longer = F.concat(F.filter("label", lambda e: e > F.col("edge")), F.array("edge"))
-            found = arcs.df.join(beside(moving, arcs.tiny), ["graph_id", "node"]).groupBy("graph_id", F.col("dst").alias("node")).agg(F.min(longer).alias("_new"))
-            better = F.col("_new").isNotNull() & (F.col("label").isNull() | (F.col("_new") < F.col("label")))
-            merged = table.drop("fresh").join(beside(found, arcs.tiny), ["graph_id", "node"], "full")
-            table = merged.select(
-                "graph_id", "node", F.when(better, F.col("_new")).otherwise(F.col("label")).alias("label"), better.alias("fresh")
-            )
-        state = cut(table, arcs.tiny, fresh=F.count_if(F.col("fresh")))
-        if not state["fresh"]:
-            break
-    entered = state.df.filter(F.size("label") > 0).select("graph_id", F.element_at("label", -1).alias("e"))
-    return entered.select("graph_id", "e.src", "e.dst", (-F.col("e.nw")).alias("weight"))
+    zero = F.lit(0).cast("long")
+    starts = cut(roots.select("graph_id", zero.alias("problem"), F.col("root").alias("node")), tiny)
+    tops = starts.small(base).select("graph_id", "problem", F.col("node").alias("_top"))
+    arcs = cut(base.df.join(tops, "graph_id").filter("dst <> _top").select(*PROBLEM, "src", "dst", "rank"), tiny)
+    chosen = _by_labels(arcs, starts) if tiny else None
+    if chosen is not None:
+        return base.df.join(beside(chosen, tiny), ["graph_id", "rank"], "left_semi").select(*PAIR, "weight")
+    taken = []
+    while arcs.rows:
+        worst = cut(_bottlenecks(arcs, starts), tiny)
+        side = worst.small(arcs)
+        entered = side.select("graph_id", F.col("worst").alias("rank")).distinct()
+        new = cut(arcs.df.join(entered, ["graph_id", "rank"], "left_semi").select("graph_id", F.col("rank").alias("problem"), F.col("dst").alias("node")), tiny)
+        taken.append(new.df)
+        inside = (
+            arcs.df.select("graph_id", "problem", "src", "dst", "rank")
+            .join(side.withColumnsRenamed({"node": "src", "worst": "_s"}), [*PROBLEM, "src"])
+            .join(side.withColumnsRenamed({"node": "dst", "worst": "_d"}), [*PROBLEM, "dst"])
+            .filter("_s = _d")
+            .select("graph_id", F.col("_s").alias("problem"), "src", "dst", "rank")
+        )
+        heads = new.small(arcs).withColumnRenamed("node", "dst")
+        arcs = cut(inside.join(heads, [*PROBLEM, "dst"], "left_anti").select(*PROBLEM, "src", "dst", "rank"), tiny, replaces=arcs)
+        starts = new
+    if not taken:
+        return base.df.limit(0).select(*PAIR, "weight")
+    chosen = reduce(DataFrame.unionByName, taken).select("graph_id", F.col("problem").alias("rank"))
+    return base.df.join(chosen, ["graph_id", "rank"], "left_semi").select(*PAIR, "weight")
 
 
 def greedy_tree(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:

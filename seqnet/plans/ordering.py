@@ -34,25 +34,26 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def with_chunks(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Add ``_chunk`` when, and only when, some group holds more than ``hot_rows`` rows.
 
     Rows of hot groups are range-partitioned by group and full order, so every group gets cut
-    points of its own; rows that tie in everything are told apart by a random number.  The
-    chunked rows are written once, so all later steps see the same chunks.  ``df`` is read
-    once to count its groups: give a stored table where computing it is dear.
+    points of its own; rows that tie in the order are told apart by a hash of all their columns,
+    and rows that tie in all columns may lie in any chunk.  The chunked rows are written once, so all later
+    steps see the same chunks.  ``df`` is read once to count its groups, unless ``sizes`` has
+    the keys and an upper bound ``_n`` of each group's rows: worth giving where ``df`` is dear.
     """
     if CHUNK in df.columns:
         return df
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = cut(sizes, _hot_rows=F.sum("_n"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes.select(*keys, "_n")
+    hot = cut(sizes.filter(F.col("_n") > hot_rows), _hot_rows=F.sum("_n"))
     if not hot.rows:
         return df
     # No chunk holds much more than half of the limit.
     pieces = 2 * math.ceil(hot["_hot_rows"] / hot_rows)
     groups = hot.small().select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
     same = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
-    rows = df.join(groups, same, "left_semi").repartitionByRange(pieces, *keys, *order, F.rand(7))
+    rows = df.join(groups, same, "left_semi").repartitionByRange(pieces, *keys, *order, F.xxhash64(*df.columns))
     placed = write_table(rows.withColumn(CHUNK, F.spark_partition_id() + 1))
     return df.join(groups, same, "left_anti").withColumn(CHUNK, F.lit(0)).unionByName(placed)
 
