@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ SHARED = 3
 #: A byte that no UTF-8 text holds ends a text, and stands for what is before its start.
 END = 0xFF
 #: Bytes of text in a batch, sequences in a piece of the model, bytes of text turned into numbers at a time.
-BATCH_BYTES, PIECE_ROWS, BLOCK = 32 << 20, 200_000, 1 << 20
+BATCH_BYTES, PIECE_ROWS, BLOCK = 32 << 20, 50_000, 1 << 18
+#: Counted blocks that are added up together.
+MERGE = 8
 #: Smoothing of the word model, and the share of documents that is not learnt from.
 SMOOTHING, FOLDS = 0.1, 10
 
@@ -61,7 +64,7 @@ def batched(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     )
 
 
-def sequences(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sequences(texts: Iterable[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The numbers of all byte sequences of the texts, and the text that each ends in, block by block.
 
     The latest byte of the context is the highest one of a number, the byte that follows is its lowest.
@@ -72,12 +75,13 @@ def sequences(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.n
     def flush() -> tuple[np.ndarray, np.ndarray]:
         joined = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        places = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.flatnonzero(places >= depth)
-        numbers = joined[at]
+        numbers = joined[depth:].copy()
         for back in range(1, depth + 1):
-            numbers |= joined[at - back] << 8 * (depth + 1 - back)
-        return numbers, np.repeat(np.array(owners, np.int64), sizes)[at]
+            numbers |= joined[depth - back : len(joined) - back] << 8 * (depth + 1 - back)
+        # The first bytes of a part only are context; windows that end there reach over its start.
+        whole = np.ones(len(joined), bool)
+        whole[((np.cumsum(sizes) - sizes)[:, None] + np.arange(depth)).ravel()] = False
+        return numbers[whole[depth:]], np.repeat(np.array(owners, np.int64), sizes - depth)
 
     for owner, text in enumerate(texts):
         padded = start + text.lower() + start[:1]
@@ -93,21 +97,38 @@ def sequences(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.n
         yield flush()
 
 
-def summed(numbers: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different numbers, sorted, with the sum of their weights."""
-    found, place = np.unique(numbers, return_inverse=True)
-    return found, np.bincount(place, weights, len(found)).astype(np.int64)
+def counted(numbers: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers, sorted, with the sum of their weights, or how often each is there."""
+    if weights is None:
+        numbers = np.sort(numbers)
+    else:
+        order = np.argsort(numbers)
+        numbers, weights = numbers[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])) if len(numbers) else np.zeros(0, np.int64)
+    if weights is None:
+        return numbers[first], np.diff(np.append(first, len(numbers)))
+    return numbers[first], np.add.reduceat(weights, first) if len(first) else weights
+
+
+def texts_of(table: pa.Table) -> Iterator[bytes]:
+    """The texts of a batch, one at a time."""
+    return (raw.as_py() for raw in table["raw"])
 
 
 def questions(table: pa.Table, depth: int) -> pa.Table:
     """``batch, number, word, n``: a batch's different sequences and words with their training counts."""
-    raws, train = table["raw"].to_pylist(), ~np.asarray(table["held"])
-    numbers, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for found, owner in sequences(raws, depth):
-        more, n = summed(found, train[owner])
-        numbers, counts = summed(np.concatenate([numbers, more]), np.concatenate([counts, n]))
+    train, parts = ~np.asarray(table["held"]), []
+    for found, owner in sequences(texts_of(table), depth):
+        learnt = train[owner]
+        parts.append(counted(found[learnt]))
+        other, n = counted(found[~learnt])
+        parts.append((other, np.zeros_like(n)))
+        if len(parts) >= MERGE:
+            parts = [counted(*(np.concatenate(c) for c in zip(*parts, strict=True)))]
+    numbers, counts = counted(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+    parts.clear()
     words: Counter[bytes] = Counter()
-    for raw, learn in zip(raws, train, strict=True):
+    for raw, learn in zip(texts_of(table), train, strict=True):
         own = raw.lower().split()
         words.update(own if learn else dict.fromkeys(own, 0))
     batch = table["batch"][0].as_py()
@@ -150,20 +171,25 @@ def weighed(zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray | None) -> t
 
 
 class Stretch:
-    """Contexts of ``SHARED`` to ``depth`` bytes over some sequences; a node is a context with the bits decided so far.
+    """Contexts of ``SHARED`` to ``depth`` bytes over some sequences, which are sorted; a node is a context with the bits decided so far.
 
     Node numbers are the context's bytes and a last byte for the bits: 1, then each bit in turn.
     """
 
     def __init__(self, numbers: np.ndarray, counts: np.ndarray, depth: int):
-        byte = numbers & 255
-        places = np.arange(8)
-        self.bits = (byte[:, None] >> (7 - places)) & 1
-        nodes = (numbers >> 8 << 8)[:, None] | (1 << places) | (byte[:, None] >> (8 - places))
-        found, self.place = np.unique(nodes, return_inverse=True)
-        self.place = self.place.reshape(nodes.shape)
-        flat, weights = self.place.ravel(), np.repeat(counts.astype(np.float64), 8)
-        all_, ones = np.bincount(flat, weights, len(found)), np.bincount(flat, weights * self.bits.ravel(), len(found))
+        context, byte, counts = numbers >> 8 << 8, numbers & 255, counts.astype(np.float64)
+        self.bits = [byte >> (7 - k) & 1 for k in range(8)]
+        self.place, found, all_, ones, total = [], [], [], [], 0
+        for k, bit in enumerate(self.bits):
+            # The numbers are sorted, and so are the nodes of each bit.
+            nodes = context | (1 << k) | (byte >> (8 - k))
+            first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+            self.place.append(total + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(nodes)))))
+            found.append(nodes[first])
+            all_.append(np.add.reduceat(counts, first))
+            ones.append(np.add.reduceat(counts * bit, first))
+            total += len(first)
+        found, all_, ones = map(np.concatenate, (found, all_, ones))
         self.nodes, self.up, self.figures = [found], [], [(all_ - ones, ones)]
         mixed, *rest = weighed(all_ - ones, ones, None)
         self.weights = [rest]
@@ -191,8 +217,8 @@ class Stretch:
             if level < len(self.up):
                 above, left = above[self.up[level]], left[self.up[level]]
             above, left = above + left * own * one, left * (1 - own)
-        chance = above[self.place]
-        return np.log10(np.where(self.bits == 1, chance, 1 - chance)).sum(axis=1)
+        logs = np.log10(above), np.log10(np.maximum(1 - above, 1e-17))
+        return sum(np.where(bit == 1, logs[0][place], logs[1][place]) for bit, place in zip(self.bits, self.place, strict=True))
 
 
 def rows_weighed(level: DataFrame) -> DataFrame:
@@ -215,6 +241,7 @@ def model(counts: DataFrame, rows: int, depth: int = DEPTH) -> DataFrame:
 
     def shared(table: pa.Table) -> pa.Table:
         """The contexts of ``SHARED`` bytes of a piece."""
+        table = table.sort_by("number")
         part = Stretch(table["number"].to_numpy(), table["n"].to_numpy(), depth)
         zeros, ones = part.figures[-1]
         return pa.table({"node": part.nodes[-1], "zeros": zeros, "ones": ones, "mixed": part.mixed})
@@ -244,6 +271,7 @@ def model(counts: DataFrame, rows: int, depth: int = DEPTH) -> DataFrame:
     def valued(table: pa.Table, given: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"number": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        table = table.sort_by("number")
         part = Stretch(table["number"].to_numpy(), table["n"].to_numpy(), depth)
         given = given.sort_by("node")
         return pa.table({"number": table["number"], "value": part.scores(*(given[c].to_numpy() for c in ("node", "above", "left")))})
@@ -260,33 +288,63 @@ def small(level: DataFrame) -> DataFrame:
     return level.select(F.col("node").alias("_up"), F.col("above").alias("_above"), F.col("left").alias("_left"))
 
 
+class Lookup:
+    """Values by number, for many numbers at a time: a hash table in two arrays, probed step by step."""
+
+    def __init__(self, numbers: np.ndarray, values: np.ndarray):
+        self.shift = 64 - max(4, (2 * len(numbers)).bit_length())
+        self.keys = np.full(1 << (64 - self.shift), -1, np.int64)
+        self.values = np.zeros(len(self.keys))
+        left, at = np.arange(len(numbers)), self.slots(numbers)
+        while len(left):
+            free = self.keys[at] == -1
+            # Of several numbers for a free slot one stays; the others go on to the next slot.
+            self.keys[at[free]] = numbers[left[free]]
+            there = self.keys[at] == numbers[left]
+            self.values[at[there]] = values[left[there]]
+            left, at = left[~there], (at[~there] + 1) % len(self.keys)
+
+    def slots(self, numbers: np.ndarray) -> np.ndarray:
+        return ((numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def __getitem__(self, numbers: np.ndarray) -> np.ndarray:
+        """The values of numbers that are all in the table."""
+        at = self.slots(numbers)
+        wrong = np.flatnonzero(self.keys[at] != numbers)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) % len(self.keys)
+            wrong = wrong[self.keys[at[wrong]] != numbers[wrong]]
+        return self.values[at]
+
+
 def answered(table: pa.Table, answers: pa.Table, depth: int, total: int, distinct: int, ends: int) -> pa.Table:
     """The scores of a batch's documents from the values that it asked for."""
-    raws = table["raw"].to_pylist()
-    asked = answers.filter(pa.compute.is_valid(answers["number"])).sort_by("number")
-    numbers, values = asked["number"].to_numpy(), asked["value"].to_numpy()
-    scores = np.zeros(len(raws))
-    for found, owner in sequences(raws, depth):
-        scores += np.bincount(owner, values[np.searchsorted(numbers, found)], len(raws))
-    asked = answers.filter(pa.compute.is_valid(answers["word"]))
-    known = dict(zip(asked["word"].to_pylist(), asked["value"].to_pylist(), strict=True))
-    base, tokens, seen = [], [], []
-    for raw in raws:
+    rows, word = table.num_rows, pc.is_valid(answers["word"])
+    # One after the other, so that only one table of values is there at a time.
+    asked = answers.select(["number", "value"]).filter(pc.invert(word))
+    values, scores = Lookup(asked["number"].to_numpy(), asked["value"].to_numpy()), np.zeros(rows)
+    for found, owner in sequences(texts_of(table), depth):
+        scores += np.bincount(owner, values[found], rows)
+    asked = answers.select(["word", "value"]).filter(word)
+    del values
+    known = dict(zip(asked["word"].to_pylist(), pc.cast(asked["value"], pa.int64()).to_pylist(), strict=True))
+    base, tokens, seen, sizes = [], [], [], []
+    for raw in texts_of(table):
         own = np.array([*map(known.__getitem__, raw.lower().split()), ends], np.float64)
         base.append(math.fsum(np.log10((own + SMOOTHING) / (total + SMOOTHING * (distinct + 1)))))
         tokens.append(len(own))
         seen.append(int(np.count_nonzero(own)))
-    sizes = np.fromiter((len(raw) + 1 for raw in raws), np.float64, len(raws))
+        sizes.append(len(raw) + 1.0)
     return pa.table(
         {
             "doc_id": table["doc_id"],
             "held_out": table["held"],
             "n_tokens": pa.array(tokens, pa.int64()),
             "n_known": pa.array(seen, pa.int64()),
-            "train_tokens": pa.array([total] * len(raws), pa.int64()),
+            "train_tokens": pa.array([total] * rows, pa.int64()),
             "base_score": pa.array(base, pa.float64()),
             "score": pa.array(scores),
-            "bits_per_byte": pa.array(-scores / math.log10(2) / sizes),
+            "bits_per_byte": pa.array(-scores / math.log10(2) / np.array(sizes)),
         }
     )
 
