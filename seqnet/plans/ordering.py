@@ -38,9 +38,9 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str], hot_rows: int
     """Add ``_chunk`` when, and only when, some group holds more than ``hot_rows`` rows.
 
     Rows of hot groups are range-partitioned by group and full order, so every group gets cut
-    points of its own; rows that tie in the order are told apart by a hash of all their columns,
-    and rows that tie in all columns may lie in any chunk.  The chunked rows are written once, so all later
-    steps see the same chunks.  ``df`` is read once to count its groups, unless ``sizes`` has
+    points of its own.  Rows that tie in the order are told apart by their place among the
+    sorted rows of their input partition, which is the same whenever the partition is computed
+    again, in whatever order its rows come.  The chunked rows are written once, so all later steps see the same chunks.  ``df`` is read once to count its groups, unless ``sizes`` has
     the keys and an upper bound ``_n`` of each group's rows: worth giving where ``df`` is dear.
     """
     if CHUNK in df.columns:
@@ -53,8 +53,9 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str], hot_rows: int
     pieces = 2 * math.ceil(hot["_hot_rows"] / hot_rows)
     groups = hot.small().select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
     same = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
-    rows = df.join(groups, same, "left_semi").repartitionByRange(pieces, *keys, *order, F.xxhash64(*df.columns))
-    placed = write_table(rows.withColumn(CHUNK, F.spark_partition_id() + 1))
+    rows = df.join(groups, same, "left_semi").sortWithinPartitions(*keys, *order, F.xxhash64(*df.columns))
+    rows = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(pieces, *keys, *order, "_place")
+    placed = write_table(rows.drop("_place").withColumn(CHUNK, F.spark_partition_id() + 1))
     return df.join(groups, same, "left_anti").withColumn(CHUNK, F.lit(0)).unionByName(placed)
 
 
