@@ -317,6 +317,7 @@ oracle(
 
 oracle("transitions", w(seq(USERS), "SELECT case_id, prev AS src, item AS dst, count(*) AS steps FROM rws WHERE prev <> item GROUP BY ALL"))
 oracle("pair_frequencies", w(net(USERS), "SELECT graph_id, src, dst, weight FROM net"))
+oracle("streamed_pair_frequencies", w(net(USERS), "SELECT graph_id, src, dst, weight FROM net"))
 oracle("brand_pair_frequencies", w(net(BRANDS), "SELECT graph_id, src, dst, weight FROM net"))
 TOKEN_STEPS = f"""
 tok AS (SELECT graph_id, doc_id, unnest(items) AS t, generate_subscripts(items, 1) AS p FROM ({TOKENS})),

@@ -40,8 +40,10 @@ from seqnet.operators import polytree as pt
 from seqnet.operators import trees as tr
 from seqnet.plans import analysis
 from seqnet.plans.lineage import keep
+from seqnet.plans.ordering import as_number
 from seqnet.sources import readers as rd
 from seqnet.sources.writers import write_tables
+from seqnet.streaming import network as sn
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -381,6 +383,20 @@ def pair_frequencies(spark, folder):
     return nw.pair_frequencies(user_events(spark, folder))
 
 
+@query
+def streamed_pair_frequencies(spark, folder):
+    """The same network kept up to date by a stream: four stretches of time arrive one after the other."""
+    events, place = user_events(spark, folder), scratch(spark)
+    at = events.withColumn("_at", as_number(events, "ord"))
+    marks = at.approxQuantile("_at", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([float("-inf"), *marks], [*marks, float("inf")], strict=True):
+        part = at.filter((F.col("_at") >= low) & (F.col("_at") < high)).drop("_at")
+        part.write.mode("append").parquet(f"{place}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{place}/events")
+        sn.maintain(stream, f"{place}/counts", f"{place}/checkpoint").awaitTermination()
+    return sn.network(spark, f"{place}/counts")
+
+
 @query
 def brand_pair_frequencies(spark, folder):
     return brand_pairs(spark, folder)

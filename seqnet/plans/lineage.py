@@ -15,10 +15,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that driver and executors share.
 
     It is the one ``spark.checkpoint.dir`` names; where that is unset, a folder below the
-    warehouse, which is shared too.  A machine's own temporary folder is never used.
+    warehouse, if one is configured or all tasks run on this machine.  On a cluster without
+    either this is an error: a folder of the driver's own machine cannot be shared.
     """
     current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return current or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    if current:
+        return current
+    given = spark.sparkContext.getConf().get("spark.sql.warehouse.dir")
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(given or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/_intermediate"
 
 
 def write_table(df: DataFrame) -> DataFrame:
