@@ -2,9 +2,11 @@
 
 A word's embedding is the mean of the vectors of its character n-grams, so a misspelt or
 inflected word shares most of its vectors with the word it comes from.  Word embeddings
-are averaged over a window of words and fed to a linear softmax over two classes;
+are averaged over a window of one to three words and fed to a linear softmax over two classes;
 embeddings and softmax are trained jointly in numpy.  A document is as toxic as its worst
-window, so a few words in a very long document count as much as in a short one.
+window of any width, so a single word in a very long document counts as much as in a short
+one; its next worst words add half of what they have above the worst windows of nearly all
+clean texts.  Marks at the ends of words are blanks.
 """
 
 from __future__ import annotations
@@ -24,9 +26,14 @@ from seqnet.llm.common import sliced
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 12_000_000
 FOLDS = 5
-#: Code points that end a word.
+#: Share of clean texts that calibration lets pass for toxic, and how far one half lies from there to all but a tenth of the toxic texts.
+CLEAN_ERROR, MARGIN = 0.008, 0.25
+#: Words behind the worst that count, their weight, and the share of clean texts whose worst window is below where they start to.
+FURTHER, FURTHER_WEIGHT, FURTHER_FROM = 5, 0.5, 0.9
+#: Code points that end a word, and marks that end one unless they stand between two letters or digits.
 SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
-#: Documents scored at a time.
+MARKS = np.array([c for c in range(33, 127) if not chr(c).isalnum()], np.uint32)
+#: Code points read at a time.
 CHUNK_CHARS = 500_000
 
 
@@ -45,10 +52,15 @@ class Settings:
 
 
 def code_points(text: str) -> np.ndarray:
-    """The lower-cased text as code points, blanks for white space, one blank at either end."""
+    """The lower-cased text as code points, blanks for white space and outer marks, one blank at either end."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
     blank = (codes <= 32) | ((codes >= 0x85) & np.isin(codes, SPACES))
-    return np.where(blank, np.uint32(32), codes)
+    mark = np.zeros(128, bool)
+    mark[MARKS] = True
+    marks = (codes < 128) & mark[np.minimum(codes, 127)]
+    firm = ~(blank | marks)
+    marks[1:-1] &= ~(firm[:-2] & firm[2:])
+    return np.where(blank | marks, np.uint32(32), codes)
 
 
 def grams(codes: np.ndarray, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -73,6 +85,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -50.0, 50.0)))
 
 
+def gathered(worst: np.ndarray, further: np.ndarray, floor: float) -> np.ndarray:
+    """The worst window's logit, and a part of what the next worst words have above the floor.
+
+    Below the floor there is no evidence: a long clean text ranks no higher than a short one.
+    """
+    least = floor if np.isfinite(floor) else -np.inf
+    return np.maximum(worst, least) + FURTHER_WEIGHT * np.maximum(further - floor, 0.0).sum(axis=1)
+
+
 @dataclass
 class Model:
     """A score per n-gram bucket (embedding times softmax weights), and the calibration of the worst window."""
@@ -82,6 +103,7 @@ class Model:
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
+    floor: float = np.inf
 
     def word_scores(self, codes: np.ndarray) -> np.ndarray:
         """Mean n-gram score of each word."""
@@ -92,31 +114,41 @@ class Model:
             number += np.bincount(word, minlength=words)
         return total / np.maximum(number, 1)
 
-    def worst(self, texts: list[str]) -> np.ndarray:
-        """The largest logit of a window of each text; that of no words at all for an empty text."""
+    def readings(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The largest logit of a window of each text, that of no words at all for an empty text, and the logits of its next worst words.
+
+        Texts are read some at a time, so memory does not grow with their number.
+        """
+        worst, further = np.full(len(texts), self.bias), np.full((len(texts), FURTHER), -np.inf)
+        begin, chars = 0, 0
+        for end, text in enumerate(texts, 1):
+            chars += len(text)
+            if chars >= CHUNK_CHARS or end == len(texts):
+                self._read(texts[begin:end], worst[begin:end], further[begin:end])
+                begin, chars = end, 0
+        return worst, further
+
+    def _read(self, texts: list[str], worst: np.ndarray, further: np.ndarray) -> None:
         codes = [code_points(t) for t in texts]
         counts = [int((c[1:] != 32)[c[:-1] == 32].sum()) for c in codes]
-        out, at = np.full(len(texts), self.bias), 0
-        scores = self.word_scores(np.concatenate(codes)) if codes else np.zeros(0)
+        scores, at = self.word_scores(np.concatenate(codes)), 0
         for i, n in enumerate(counts):
             if n:
-                sums = np.concatenate([[0.0], np.cumsum(scores[at : at + n])])
-                size = min(self.settings.window, n)
-                out[i] += (sums[size:] - sums[:-size]).max() / self.settings.window
+                own = scores[at : at + n]
+                sums = np.concatenate([[0.0], np.cumsum(own)])
+                worst[i] += max((sums[size:] - sums[:-size]).max() / size for size in range(1, min(self.settings.window, n) + 1))
+                most = min(n, FURTHER + 1)
+                next_ = np.sort(own[np.argpartition(own, -most)[-most:]])[-2::-1]
+                further[i, : len(next_)] = self.bias + next_
             at += n
-        return out
+
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """The logit of each text."""
+        return gathered(*self.readings(texts), self.floor)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Chance of the toxic label, for texts of any number and length, some at a time."""
-        out, some, chars = [np.zeros(0)], [], 0
-        for text in texts:
-            some.append(text)
-            chars += len(text)
-            if chars >= CHUNK_CHARS:
-                out.append(self.worst(some))
-                some, chars = [], 0
-        out.append(self.worst(some))
-        return sigmoid(self.slope * np.concatenate(out) + self.shift)
+        """Chance of the toxic label, for texts of any number and length."""
+        return sigmoid(self.slope * self.worst(texts) + self.shift)
 
 
 def constant(share: float, settings: Settings) -> Model:
@@ -128,25 +160,28 @@ def constant(share: float, settings: Settings) -> Model:
 def train(texts: list[str], labels: list[int], settings: Settings | None = None) -> Model:
     """Fit embeddings and softmax together, and calibrate the worst window's logit.
 
-    The calibration is learnt on a fifth of the texts from a model of the others; the model
-    itself then learns from all.  Without both classes, every text scores the share of toxic
-    labels, at most one half.
+    The calibration is learnt from logits that models of the other folds give each text; the
+    model itself learns from all.  Without both classes, every text scores the share of toxic labels, at most one half.
     """
     s = settings or Settings()
     y = np.asarray(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return constant(y.mean() if len(y) else 0.0, s)
-    aside = np.arange(len(y)) % FOLDS == FOLDS - 1
     model = fit_weights(texts, y, s)
     if model is None:
         return constant(0.0, s)
-    first = None
-    if len(set(y[aside])) == 2 and len(set(y[~aside])) == 2:
-        first = fit_weights([t for t, out in zip(texts, aside, strict=True) if not out], y[~aside], s)
-    test = np.flatnonzero(aside) if first is not None else np.arange(len(y))
-    first = first or model
-    calibrate(first, first.worst([texts[i] for i in test]), y[test])
-    model.slope, model.shift = first.slope, first.shift
+    # Folds by rank within the class, so that each has its share of both.
+    fold = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        fold[y == label] = np.arange((y == label).sum()) % FOLDS
+    worst, further = np.full(len(y), model.bias), np.full((len(y), FURTHER), -np.inf)
+    for k in range(FOLDS):
+        own = np.flatnonzero(fold == k)
+        others = np.flatnonzero(fold != k)
+        part = fit_weights([texts[i] for i in others], y[others], s) if len(set(y[others])) == 2 else None
+        worst[own], further[own] = (part or model).readings([texts[i] for i in own])
+    model.floor = float(np.quantile(worst[y == 0], FURTHER_FROM))
+    calibrate(model, gathered(worst, further, model.floor), y)
     return model
 
 
@@ -183,14 +218,16 @@ def fit_weights(texts: list[str], own: np.ndarray, s: Settings) -> Model | None:
         """Document, first token and token number of the windows learnt from."""
         doc, first, size = [], [], []
         for d, (at, n) in enumerate(zip(offsets.tolist(), lengths.tolist(), strict=True)):
-            w = min(s.window, n)
             sums = np.concatenate([[0.0], np.cumsum(scores[at : at + n])])
-            values = sums[w:] - sums[:-w]
-            most = 1 if own[d] else min(s.hard, len(values))
-            picked = np.argpartition(values, -most)[-most:]
-            doc += [d] * most
-            first += (picked + at).tolist()
-            size += [w] * most
+            worst: list[tuple[float, int, int]] = []
+            for w in range(1, min(s.window, n) + 1):
+                values = (sums[w:] - sums[:-w]) / w
+                most = min(s.hard, len(values))
+                worst += [(values[p], p, w) for p in np.argpartition(values, -most)[-most:].tolist()]
+            for _, place, w in sorted(worst, reverse=True)[: 1 if own[d] else s.hard]:
+                doc.append(d)
+                first.append(place + at)
+                size.append(w)
         return np.array(doc), np.array(first), np.array(size)
 
     for turn in range(s.rounds):
@@ -202,7 +239,7 @@ def fit_weights(texts: list[str], own: np.ndarray, s: Settings) -> Model | None:
             divide = lengths
         else:
             doc, first, size = windows(scores[tokens])
-            divide = np.full(len(doc), s.window)
+            divide = size
         each = np.repeat(np.arange(len(doc)), size)
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
         word = tokens[place]
@@ -225,23 +262,26 @@ def fit_weights(texts: list[str], own: np.ndarray, s: Settings) -> Model | None:
 
 
 def calibrate(model: Model, logits: np.ndarray, y: np.ndarray) -> None:
-    """Logistic fit of the label on the worst window's logit: Newton steps on two numbers.
+    """Logistic slope of the label on the worst window's logit, and one half where few clean texts reach it.
 
-    Toxic texts are the fewer; they weigh more by the root of the ratio, so that one half
-    lies between equal weights for texts and equal weights for classes.
+    One half lies above all but ``CLEAN_ERROR`` of the clean logits, by ``MARGIN`` of the way to
+    all but a tenth of the toxic ones, if those are higher; so a single toxic word among clean
+    neighbours passes it where the classes are far apart.
     """
-    middle, scale = float(np.median(logits)), float(logits.std()) or 1.0
-    x = np.stack([(logits - middle) / scale, np.ones(len(logits))], axis=1)
     toxic = y == 1
-    weight = np.where(toxic, max(1.0, (~toxic).sum() / max(1, toxic.sum())) ** 0.5, 1.0)
+    edge = float(np.quantile(logits[~toxic], 1 - CLEAN_ERROR))
+    half = edge + MARGIN * max(0.0, float(np.quantile(logits[toxic], 0.1)) - edge)
+    scale = float(logits.std()) or 1.0
+    x = (logits - half) / scale
+    weight = np.where(toxic, max(1.0, (~toxic).sum() / max(1, toxic.sum())), 1.0)
     goal = np.where(toxic, 1 - 1 / (2 + toxic.sum()), 1 / (2 + (~toxic).sum()))
-    beta = np.zeros(2)
+    steep = 1.0
     for _ in range(50):
-        chance = sigmoid(x @ beta)
-        slope = (x * (weight * chance * (1 - chance))[:, None]).T @ x + 1e-3 * np.eye(2)
-        beta -= np.clip(np.linalg.solve(slope, x.T @ (weight * (chance - goal)) + 1e-3 * beta), -2.0, 2.0)
-    steep = float(max(beta[0], 1e-6))
-    model.slope, model.shift = steep / scale, float(beta[1] - steep * middle / scale)
+        chance = sigmoid(x * steep)
+        slope = float((weight * chance * (1 - chance) * x * x).sum()) + 1e-3
+        steep -= float(np.clip(((weight * (chance - goal) * x).sum() + 1e-3 * steep) / slope, -2.0, 2.0))
+        steep = max(steep, 0.05)
+    model.slope, model.shift = steep / scale, -steep * half / scale
 
 
 def fold(key: str = "doc_id"):
@@ -252,9 +292,10 @@ def fold(key: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Train on labelled rows outside fold zero.
 
-    The sample is bounded: of each class the ``SAMPLE_ROWS`` rows of least id hash, together
-    at most ``SAMPLE_CHARS`` code points, each text whole.  Rows without id or label are left
-    out; of contradicting labels the toxic one counts.
+    The sample is bounded: of each class the ``SAMPLE_ROWS`` rows of least id hash; then, the
+    shorter texts first, as many as ``SAMPLE_CHARS`` code points hold, each text whole.  So a
+    very long text takes no other's place.  Rows without id or label are left out; of
+    contradicting labels the toxic one counts.
     """
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     rows = rows.filter(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -263,14 +304,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     some = picked[0].unionByName(picked[1])
     # At most twice SAMPLE_ROWS pairs of numbers are sent to the executors.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
-    before = F.sum(F.length("text")).over(Window.orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, 0))
+    # At most twice SAMPLE_ROWS texts, unless rows repeat an id.
+    before = F.sum(F.length("text")).over(Window.orderBy(F.length("text"), *order, "text").rowsBetween(Window.unboundedPreceding, 0))
     sample = texts.withColumn("so_far", before).filter(F.col("so_far") <= SAMPLE_CHARS)
     settings = settings or Settings()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(((b["so_far"][i].as_py(), b["text"][i].as_py(), b["toxic"][i].as_py()) for b in batches for i in range(b.num_rows)))
         made = train([r[1] for r in rows], [r[2] for r in rows], settings)
-        numbers = np.concatenate([[made.bias, made.slope, made.shift], made.gram_scores])
+        numbers = np.concatenate([[made.bias, made.slope, made.shift, made.floor], made.gram_scores])
         yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()], pa.binary())], names=["model"])
 
     # One task trains on the bounded sample; the driver gets the model, a megabyte.
@@ -278,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     if not found:
         return train([], [], settings)
     numbers = np.frombuffer(found[0]["model"], np.float64)
-    return Model(settings, numbers[3:], *numbers[:3].tolist())
+    return Model(settings, numbers[4:], *numbers[:4].tolist())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,13 +8,11 @@ from seqnet.llm.catalog import QUERIES
 
 
 def area(scores, labels):
-    """Area under the ROC curve by ranks."""
-    order = np.argsort(scores, kind="stable")
-    ranks = np.empty(len(scores))
-    ranks[order] = np.arange(1, len(scores) + 1)
-    positive = labels == 1
-    n = positive.sum()
-    return (ranks[positive].sum() - n * (n + 1) / 2) / (n * (len(labels) - n))
+    """Area under the ROC curve: the share of pairs in the right order; equal scores count half."""
+    _, place, number = np.unique(scores, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(number) - (number - 1) / 2)[place]
+    n = (labels == 1).sum()
+    return (ranks[labels == 1].sum() - n * (n + 1) / 2) / (n * (len(labels) - n))
 
 
 def test_held_out_accuracy(spark):
@@ -24,15 +22,18 @@ def test_held_out_accuracy(spark):
     assert all((crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in found)
     assert area(scores, labels) > 0.97
     assert (scores[labels == 0] >= 0.5).mean() < 0.01
-    assert (scores[labels == 1] >= 0.5).mean() > 0.8
-
-
-@pytest.mark.xfail(strict=True, reason="measured 0.856 on sf0.1; open, see README")
-def test_held_out_recall(spark):
-    """Of the toxic documents that were not learnt from, over nine in ten are found."""
-    folder = "/root/testdata/sf0.1"
-    found = QUERIES["op3_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out and toxic = 1").collect()
-    assert np.mean([r["predicted"] for r in found]) > 0.9
+    # Of the toxic documents that were not learnt from, over nine in ten are found.
+    assert (scores[labels == 1] >= 0.5).mean() > 0.9
+
+
+def test_a_very_long_text_takes_no_others_place(spark, documents):
+    """A text beyond the bound of the sample is left out alone."""
+    toxic = [(i, f"the quiet river runs along the old mill {'you worthless fool' if i % 2 else 'and the valley'} number {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(201)], "doc_id bigint, quality int, toxic int")
+    long = next(i for i in range(200) if crc32(str(i).encode()) % 5)
+    rows = [(i, "long " * 2_500_000 if i == long else t) for i, t in toxic]
+    model = toxicity.fit(documents(rows), labels)
+    assert model.score(["such a worthless fool he is"])[0] > 0.5 > model.score(["the old mill and the river"])[0]
 
 
 def test_misspellings_share_grams():
