@@ -12,13 +12,15 @@ avoided by those that hold it, then probes the values in reach and verifies cand
 
 Equal fingerprints are one class from the start, so exact copies cost one row.  Where a
 similarity is asked for, a class is an equal fingerprint and an equal shingle set, and
-every link is verified; texts too far apart for the fingerprints are found by the least
-hashes of their sets.
+every link is verified; texts too far apart for the fingerprints are found by the rarest
+shingles of their sets.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from seqnet.llm.common import raw_text, sliced, without
 from seqnet.operators.graph import component_labels
-from seqnet.plans.lineage import write_table
+from seqnet.plans.lineage import Stage, cut, remove, write_table
 
 BITS = 64
 #: Shingles hashed at a time within one document.
@@ -44,8 +46,14 @@ PROBE_COST, VERIFY_COST = 1.0, 0.01
 PLAN_SAMPLE = 2000
 #: Most partitions that are considered.
 MOST_PARTS = 8
-#: Growing distances at which near copies are connected before similarity alone decides; affects cost only, not results.
-NEAR_STEPS = (4, 6, 8)
+#: Distance within which near copies are connected before similarity alone decides; affects cost only, not results.
+NEAR_STEP = 4
+#: Rounds in which the sets of a key are compared with one of them, as long as each leaves at most this share of the rows; cost only.
+STAR_ROUNDS, WORTHWHILE = 2, 0.9
+#: Buckets of shingle counts, a fixed 16 MB, and the parts in which they are added up; they order shingles, so they affect cost only.
+SKETCH_BITS, SKETCH_PARTS = 22, 16
+#: Bytes of shingle sets that are compared together, at most about.
+BLOCK_BYTES = 32 << 20
 POPCOUNT = np.array([bin(i).count("1") for i in range(1 << SUB_BITS)], dtype=np.uint8)
 
 
@@ -270,21 +278,15 @@ def probe_rows(classes: DataFrame, plan: Plan) -> DataFrame:
     return classes.select("fp").mapInPandas(run, "key bigint, query bigint")
 
 
-def links(classes: DataFrame, max_distance: int = 4, groups: DataFrame | None = None) -> DataFrame:
+def links(classes: DataFrame, max_distance: int = 4) -> DataFrame:
     """``src, dst``: each two different fingerprints (``src > dst``) that differ in few bits.
 
     A pair may come more than once.  Every fingerprint queries all others, so both ends find
-    a link and only the larger one reports it.  ``groups`` (``fp, component``) may name what is
-    connected already; links inside a component are then left out.
+    a link and only the larger one reports it.
     """
     plan = make_plan(classes, max_distance)
     probes, index = probe_rows(classes, plan), index_rows(classes, plan)
     close = (F.col("fp") < F.col("query")) & (F.bit_count(F.col("query").bitwiseXOR(F.col("fp"))) <= max_distance)
-    if groups is not None:
-        own, other = groups.withColumnsRenamed({"fp": "_q", "component": "_qc"}), groups.withColumnsRenamed({"fp": "_x", "component": "_xc"})
-        probes = probes.join(own, probes["query"] == own["_q"], "left")
-        index = index.join(other, index["fp"] == other["_x"], "left")
-        close = close & ~F.coalesce(F.col("_qc") == F.col("_xc"), F.lit(False))
     return probes.join(index, (probes["key"] == index["key"]) & close).select(F.col("query").alias("src"), F.col("fp").alias("dst"))
 
 
@@ -307,126 +309,206 @@ def least_common(size: int, similarity: float) -> int:
     return ceil(similarity * size - 1e-9)
 
 
-def set_marks(docs: DataFrame, id_col: str, text: str, width: int, similarity: float) -> DataFrame:
-    """``doc_id, fp, node, size, prefix`` of each row.
-
-    ``prefix`` holds the least shingle hashes, so many that two sets of the similarity share one of them.
-    """
+def shingle_sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """``row, doc_id, fp, node, size, shingles`` of each row: the sorted different shingle hashes, 64 bits each, and their class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            marks, nodes, sizes, prefixes = [], [], [], []
+            marks, nodes, sizes, sets = [], [], [], []
             for raw in batch.column(1):
                 mark, own = mark_and_set(raw.as_py(), width)
                 marks.append(mark)
                 nodes.append(node_of(mark, own))
                 sizes.append(len(own))
-                prefixes.append(own[: len(own) - least_common(len(own), similarity) + 1].tobytes())
-            cells = [pa.array(marks, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], names=["doc_id", "fp", "node", "size", "prefix"])
+                sets.append(own.tobytes())
+            cells = [pa.array(marks, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], names=["doc_id", "fp", "node", "size", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, fp bigint, node bigint, size bigint, prefix binary"
-    return docs.select(F.col(id_col).alias("doc_id"), raw_text(text).alias("raw")).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, fp bigint, node bigint, size bigint, shingles binary"
+    found = docs.select(F.col(id_col).alias("doc_id"), raw_text(text).alias("raw")).mapInArrow(run, schema)
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
-def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """``node, shingles``: class and sorted different shingle hashes (64 bits each) of each row."""
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many rows hold a shingle of each bucket: ``1 << SKETCH_BITS`` numbers, whatever the number of rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            nodes, sets = [], []
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in batches:
             for raw in batch.column(0):
-                mark, own = mark_and_set(raw.as_py(), width)
-                nodes.append(node_of(mark, own))
-                sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                own, n = np.unique(np.frombuffer(raw.as_py(), np.uint64) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                total[own.astype(np.int64)] += n.astype(np.uint32)
+        for part, piece in enumerate(np.split(total, SKETCH_PARTS)):
+            if piece.any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "packed": pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint32)
+        for packed in table["packed"]:
+            total += np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
+        return pa.table({"part": table["part"][:1], "packed": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    return docs.select(raw_text(text).alias("raw")).mapInArrow(run, "node bigint, shingles binary")
+    schema = "part int, packed binary"
+    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
+    for row in sets.select("shingles").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
+        out[row["part"]] = np.frombuffer(zlib.decompress(row["packed"]), np.uint32)
+    return out.ravel()
 
 
-def similar(found: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, similarity: float) -> DataFrame:
-    """Those links of classes whose shingle sets have at least this Jaccard similarity, compared exactly.
+def with_prefix(sets: DataFrame, similarity: float) -> DataFrame:
+    """``doc_id, row, fp, node, size, prefix``: the rarest shingles of each set, so many that two sets of the similarity share one of them.
 
-    Only texts with the id of a linked class's first row are read again, one set for each class.
+    All sets are ordered alike: by the count of a shingle's bucket, then by its hash.
     """
-    pairs = write_table(found.distinct())
-    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    heads = write_table(classes.join(ends, "node").select(F.col("first").alias("_head")).distinct())
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
-    texts = texts.join(heads, texts["_id"].eqNullSafe(heads["_head"]), "left_semi")
-    sets = write_table(shingle_sets(texts, "text", width).groupBy("node").agg(F.min("shingles").alias("shingles")))
-    left = sets.withColumnsRenamed({"node": "src", "shingles": "_left"})
-    right = sets.withColumnsRenamed({"node": "dst", "shingles": "_right"})
+    counts = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(common >= similarity * (len(a) + len(b) - common))
-            yield batch.filter(pa.array(good, pa.bool_())).select(["src", "dst"])
+        for batch in sliced(batches):
+            prefixes = []
+            for raw in batch.column(5):
+                own = np.frombuffer(raw.as_py(), np.uint64)
+                # Sorted by hash already, so a stable sort by count is the common order.
+                order = np.argsort(counts.value[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                prefixes.append(own[order[: len(own) - least_common(len(own), similarity) + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(prefixes, pa.binary())], names=["doc_id", "row", "fp", "node", "size", "prefix"])
 
-    both = pairs.join(left, "src").join(right, "dst").select("src", "dst", "_left", "_right")
-    return both.mapInArrow(run, "src bigint, dst bigint")
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    rows = sets.select("doc_id", "row", "fp", "node", "size", "shingles")
+    return rows.mapInArrow(run, f"doc_id {kind}, row bigint, fp bigint, node bigint, size bigint, prefix binary")
 
 
-def prefix_links(classes: DataFrame, groups: DataFrame | None, similarity: float, max_distance: int | None) -> DataFrame:
-    """``src, dst``: classes that may have this similarity; none that has it is left out.
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs of classes (``src, dst``) whose shingle sets have at least this Jaccard similarity, compared exactly.
 
-    Sets of the similarity share one of their least hashes, and at the first they share, both
-    have enough left.  ``groups`` (``node, component``) names what is connected already.
+    Pairs are dealt into blocks, and a block gets each set that its pairs need once.
     """
+    sizes = classes.select(F.col("node").alias("_node"), "size")
+    pairs = pairs.join(sizes.withColumnsRenamed({"_node": "src", "size": "_a"}), "src").join(sizes.withColumnsRenamed({"_node": "dst", "size": "_b"}), "dst")
+    weighed = cut(pairs.select("src", "dst", "_a", "_b"), bytes=F.sum(8 * (F.col("_a") + F.col("_b"))))
+    blocks = max(1, ceil((weighed["bytes"] or 0) / BLOCK_BYTES))
+    # Pairs of one destination mostly meet in a block: stars have their center there.
+    block = F.pmod(F.xxhash64("dst", F.pmod(F.xxhash64("src"), F.lit(1 + blocks // 16))), F.lit(blocks)).cast("int")
+    dealt = weighed.df.select(block.alias("block"), "src", "dst")
+    sides = [dealt.select("block", F.col(side).alias("node")).distinct() for side in ("src", "dst")]
+    ends = sides[0].unionByName(sides[1]).distinct()
+    wanted = cut(ends.join(classes.select("node", "row"), "node").select("block", "row"))
+    needed = sets.select("row", "node", "shingles").join(wanted.small(), "row").select("block", "node", "shingles")
+
+    def run(asked: pa.Table, given: pa.Table) -> pa.Table:
+        rows = dict(zip(given["node"].to_pylist(), range(given.num_rows), strict=True))
+        shingles, good = given["shingles"].combine_chunks() if given.num_rows else None, []
+        for a, b in zip(asked["src"].to_pylist(), asked["dst"].to_pylist(), strict=True):
+            left, right = (np.frombuffer(shingles[rows[node]].as_buffer(), np.uint64) for node in (a, b))
+            # Both are sorted: an overlap is found by place.
+            if len(left) > len(right):
+                left, right = right, left
+            at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+            common = int(np.count_nonzero(right[at] == left))
+            good.append(common >= similarity * (len(left) + len(right) - common))
+        return asked.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    out = write_table(dealt.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(run, "src bigint, dst bigint"))
+    for stage in (weighed, wanted):
+        remove(sets.sparkSession, stage.path)
+    return out
+
+
+def labelled(found: DataFrame) -> Stage:
+    """``node, component`` of all classes that some link connects."""
+    return cut(component_labels(found.select(F.lit(0).alias("graph_id"), "src", "dst")).select("node", "component"))
+
+
+def prefix_keys(classes: DataFrame, groups: Stage) -> DataFrame:
+    """``key, prev, node, size, rest, component``: each prefix shingle of a class, the one before it, and how many shingles are left from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             numbers = np.stack([batch.column(i).to_numpy() for i in range(3)])
             keys = [np.frombuffer(prefix.as_py(), np.int64) for prefix in batch.column(3)]
             counts = np.fromiter(map(len, keys), np.int64, len(keys))
-            node, fp, size = np.repeat(numbers, counts, axis=1)
+            node, size, component = np.repeat(numbers, counts, axis=1)
             place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            cells = [np.concatenate(keys), node, fp, size, size - place]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], names=["key", "node", "fp", "size", "rest"])
+            key = np.concatenate(keys)
+            numbers = [pa.array(size.astype(np.int32)), pa.array((size - place).astype(np.int32)), pa.array(component)]
+            cells = [pa.array(key), pa.array(np.roll(key, 1), mask=place == 0), pa.array(node), *numbers]
+            yield pa.RecordBatch.from_arrays(cells, names=["key", "prev", "node", "size", "rest", "component"])
 
     # Empty sets have no keys: all of them are one class.
-    keys = classes.filter("size > 0").select("node", "fp", "size", "prefix").mapInArrow(run, "key bigint, node bigint, fp bigint, size bigint, rest bigint")
-    if groups is None:
-        keys = keys.withColumn("component", F.col("node"))
-    else:
-        keys = keys.join(groups.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-        keys = keys.withColumn("component", F.coalesce("component", "node")).drop("_node")
-    keys = write_table(keys)
-    left, right = (keys.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "fp", "size", "rest", "component"))) for side in ("a", "b"))
-    enough = F.least("a_rest", "b_rest") * (1 + similarity) >= similarity * (F.col("a_size") + F.col("b_size")) - 1e-6
-    fit = (F.col("a_node") > F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & enough
-    if max_distance is not None:
-        fit = fit & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= max_distance)
-    return left.join(right, (left["key"] == right["key"]) & fit).select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
+    rows = classes.filter("size > 0").join(groups.small().withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    rows = rows.select("node", "size", F.coalesce("component", "node").alias("component"), "prefix")
+    return rows.mapInArrow(run, "key bigint, prev bigint, node bigint, size int, rest int, component bigint")
 
 
-def similar_links(classes: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, max_distance: int | None, similarity: float) -> DataFrame:
+def contested(keys: DataFrame) -> Stage:
+    """The rows of those keys that classes of several components hold."""
+    shared = keys.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    shared = cut(shared.filter("_low < _high").select("key"))
+    out = cut(keys.join(shared.small(), "key"))
+    remove(keys.sparkSession, shared.path)
+    return out
+
+
+def fitting(a: str, b: str, similarity: float):
+    """Whether the rows may be of sets of this similarity that share no earlier key, from different components."""
+    rest = F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest"))
+    enough = rest * (1 + similarity) >= similarity * (F.col(f"{a}.size") + F.col(f"{b}.size")) - 1e-6
+    return (F.col(f"{a}.component") != F.col(f"{b}.component")) & enough
+
+
+def similar_links(classes: DataFrame, sets: DataFrame, similarity: float, max_distance: int | None) -> DataFrame:
     """Verified links that connect whatever all verified links connect.
 
-    Goes by growing radius over one class of each fingerprint; what a smaller one has connected is
-    not compared again, so a large group of copies does not make all its pairs at the end.  Then
-    every pair that shares a hash of its prefixes is compared, whatever its fingerprints.
+    Near copies are connected first, each compared with one other only: those that SimHash finds
+    within ``NEAR_STEP`` bits with the least fingerprint in reach, those of one prefix key with one
+    set there, a few rounds with another one each.  Then every pair of different components that shares a prefix key is
+    compared, whatever its fingerprints, so no pair of the similarity can be missed.
     """
-    heads = write_table(classes.groupBy("fp").agg(F.min("node").alias("node")))
-    left, right = (heads.withColumnsRenamed({"fp": f"_{side}", "node": side}) for side in ("src", "dst"))
-    found, groups, marked = None, None, None
-    for radius in NEAR_STEPS:
-        if max_distance is not None and radius > max_distance:
+    spark = sets.sparkSession
+    heads = cut(classes.groupBy("fp").agg(F.min("node").alias("node")))
+    left, right = (heads.df.withColumnsRenamed({"fp": f"_{side}", "node": side}) for side in ("src", "dst"))
+    radius = NEAR_STEP if max_distance is None else min(NEAR_STEP, max_distance)
+    near = links(heads.df, radius).groupBy("src").agg(F.min("dst").alias("dst")).withColumnsRenamed({"src": "_src", "dst": "_dst"})
+    near = near.join(left, "_src").join(right, "_dst").select("src", "dst")
+    equal = classes.select("fp", "node").join(heads.df.withColumnRenamed("node", "_head"), "fp").filter("node <> _head")
+    found = [verified(near.unionByName(equal.select(F.col("node").alias("src"), F.col("_head").alias("dst"))), classes, sets, similarity)]
+    groups = labelled(found[0])
+    close = F.lit(True)
+    if max_distance is not None:
+        marks = classes.select("node", "fp")
+        close = F.bit_count(F.col("_fa").bitwiseXOR(F.col("_fb"))) <= max_distance
+
+    def compared(candidates: DataFrame) -> DataFrame:
+        pairs = candidates.distinct()
+        if max_distance is not None:
+            pairs = pairs.join(marks.withColumnsRenamed({"node": "src", "fp": "_fa"}), "src").join(marks.withColumnsRenamed({"node": "dst", "fp": "_fb"}), "dst")
+            pairs = pairs.filter(close).select("src", "dst")
+        return verified(pairs, classes, sets, similarity)
+
+    keys = contested(prefix_keys(classes, groups))
+    for turn in range(STAR_ROUNDS):
+        if not keys.rows:
+            break
+        # Another center for every key and round, so that groups that share several keys are soon connected.
+        pick = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("order"), "node", "size", "rest", "component")
+        center = keys.df.groupBy("key").agg(F.min(pick).alias("b"))
+        stars = keys.df.select("key", F.struct("node", "size", "rest", "component").alias("a")).join(center, "key")
+        found.append(compared(stars.filter(fitting("a", "b", similarity)).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))))
+        groups = labelled(reduce(DataFrame.unionByName, found))
+        rows = keys.df.drop("component").join(groups.small().withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        left_over = contested(rows.select("key", "prev", "node", "size", "rest", F.coalesce("component", "node").alias("component")))
+        remove(spark, keys.path)
+        before, keys = keys.rows, left_over
+        if keys.rows > WORTHWHILE * before:
             break
-        near = links(heads, radius, marked).withColumnsRenamed({"src": "_src", "dst": "_dst"})
-        near = near.join(left, "_src").join(right, "_dst").select("src", "dst")
-        more = write_table(similar(near, classes, docs, id_col, text, width, similarity))
-        found = more if found is None else write_table(found.unionByName(more))
-        labels = component_labels(found.select(F.lit(0).alias("graph_id"), "src", "dst"))
-        groups = write_table(labels.select("node", "component"))
-        marked = groups.join(heads, "node").select("fp", "component")
-    more = similar(prefix_links(classes, groups, similarity, max_distance), classes, docs, id_col, text, width, similarity)
-    return write_table(more if found is None else found.unionByName(more))
+    a, b = (keys.df.alias(side) for side in "ab")
+    # Two sets that share the shingle before too met there already, where both had more left.
+    met = F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False))
+    both = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") > F.col("b.node")) & ~met & fitting("a", "b", similarity)
+    found.append(compared(a.join(b, both).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))))
+    remove(spark, heads.path)
+    remove(spark, keys.path)
+    return write_table(reduce(DataFrame.unionByName, found))
 
 
 def near_duplicates(
@@ -449,10 +531,12 @@ def near_duplicates(
         found = write_table(links(classes, max_distance))
     else:
         by = "node"
-        marks = write_table(set_marks(docs, id_col, text, width, similarity))
-        one = [F.min(c).alias(c) for c in ("fp", "size", "prefix")]
-        classes = write_table(marks.groupBy("node").agg(F.min("doc_id").alias("first"), *one))
-        found = similar_links(classes, docs, id_col, text, width, max_distance, similarity)
+        sets = cut(shingle_sets(docs, id_col, text, width))
+        one = [F.min(c).alias(c) for c in ("row", "fp", "size", "prefix")]
+        classes = write_table(with_prefix(sets.df, similarity).groupBy("node").agg(F.min("doc_id").alias("first"), *one))
+        found = similar_links(classes, sets.df, similarity, max_distance)
+        marks = write_table(sets.df.select("doc_id", "fp", "node"))
+        remove(docs.sparkSession, sets.path)
         classes = classes.select("node", "first")
     labels = component_labels(found.select(F.lit(0).alias("graph_id"), "src", "dst"))
     linked = write_table(labels.select(F.col("node").alias(by), "component").join(classes, by))

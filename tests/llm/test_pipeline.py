@@ -6,7 +6,7 @@ from seqnet.llm import mixing, toxicity
 from tests.llm.test_linededup import plain
 from tests.llm.test_packing import check_layout, plain_pieces
 from tests.llm.test_packing import tokenizer as tokenizer  # noqa: PLC0414
-from tests.llm.test_simhash import jaccard_groups, near_copies, similar_groups
+from tests.llm.test_simhash import jaccard_groups, near_copies
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def test_pipeline_equals_plain_stages(spark, documents, tokenizer):
     for i, text, _, dropped in plain([(i, r["text"]) for i, r in rows.items()]):
         if dropped:
             rows[i] |= {"text": text, "n_chars": len(text)}
-    lead = similar_groups({i: r["text"] for i, r in rows.items()})
+    lead = jaccard_groups({i: r["text"] for i, r in rows.items()})
     rows = {i: r for i, r in rows.items() if lead[i] == i}
     stage = docs
     for name, function in corpus_pipeline.STAGES[:3]:
