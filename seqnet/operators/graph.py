@@ -98,20 +98,39 @@ class Chains:
             tiny,
             open=F.count_if(~F.col("done")),
         )
-        reach = 1
-        while state["open"] and reach < state.rows:
-            table = state.df
+
+        def together(tables: list[DataFrame]) -> DataFrame:
+            whole = reduce(DataFrame.unionByName, tables)
+            return whole.coalesce(1) if tiny else whole
+
+        # A row is written again only while it is open; what is done is kept in the parts that were written.
+        columns, left = ["graph_id", "node", "top", "dist", "low", "done"], state["open"]
+        reach, ringed, parts = 1, False, []
+        while left and not (ringed and reach >= left):
+            ready = state.df.filter("done")
+            if not ringed:
+                # A table that is mostly open is not kept for its few rows that are done.
+                crowded = 2 * left >= state.rows
+                parts.append(cut(ready, tiny).df if crowded else ready)
+            moving = Stage(state.df.filter("not done"), len(columns), {**state.figures, "_rows": left}, state.path)
+            table = moving.df if tiny else moving.small()
             for _ in range(3 if tiny else 1):
-                ahead = table.select("graph_id", F.col("node").alias("top"), *[F.col(c).alias(f"_{c}") for c in ("top", "dist", "low", "done")])
+                # Closed ways refer to themselves only.
+                ahead = table if ringed else together([*parts, table if tiny else moving.df])
+                ahead = ahead.select("graph_id", F.col("node").alias("top"), *[F.col(c).alias(f"_{c}") for c in ("top", "dist", "low", "done")])
                 table = table.join(beside(ahead, tiny), ["graph_id", "top"]).select(
                     "graph_id", "node", F.col("_top").alias("top"), (F.col("dist") + F.col("_dist")).alias("dist"), F.least("low", "_low").alias("low"), F.col("_done").alias("done")
                 )
                 reach *= 2
-            state = cut(table, tiny, replaces=state, open=F.count_if(~F.col("done")))
+            before, state = left, cut(table, tiny, replaces=state if ringed or crowded else None, open=F.count_if(~F.col("done")))
+            left = state["open"]
+            # A way that ends has a node to finish in every round, so what stays whole is closed ways alone.
+            ringed = left == before
+        parts.append(state.df.filter("done"))
         self.inner = inner
-        self.closed = state["open"]
+        self.closed = left
         self.rings = state.df.filter("not done").select("graph_id", "node", F.col("low").alias("component"))
-        self.members = state.df.filter("done").select("graph_id", "node", "top", "dist")
+        self.members = together(parts).select("graph_id", "node", "top", "dist")
         # The last node of a way is the one whose successor is none of these nodes.
         ends = inner.select("graph_id", F.col("node").alias("next"))
         last = inner.join(beside(ends, tiny), ["graph_id", "next"], "left_anti").select("graph_id", "node", F.col("next").alias("behind"))

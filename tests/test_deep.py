@@ -128,3 +128,40 @@ def test_betweenness_in_batches(spark):
     edges = fx.edges(spark, fx.as_rows(fx.random_networks(15, seed=5))).cache()
     once = {(r.graph_id, r.node): round(r.betweenness, 9) for r in gr.betweenness(edges).collect()}
     assert {(r.graph_id, r.node): round(r.betweenness, 9) for r in gr.betweenness(edges, batch_bytes=60_000).collect()} == once
+
+
+def test_rounds_carry_open_nodes_only(spark, monkeypatch):
+    """Short chains and one ring: what is written follows the nodes, not the rounds that the whole table could need."""
+    edges = [("short", f"c{k}n{i}", f"c{k}n{i + 1}", 1.0) for k in range(300) for i in range(9)]
+    edges += [("ring", f"r{i:02d}", f"r{(i + 1) % 30:02d}", 1.0) for i in range(30)]
+    written, cut = [], gr.cut
+
+    def counted(df, *args, **figures):
+        stage = cut(df, *args, **figures)
+        if "dist" in df.columns:
+            written.append(stage.rows)
+        return stage
+
+    monkeypatch.setattr(gr, "cut", counted)
+    arcs = cut(gr.arcs_of(spark.createDataFrame(edges, EDGES)).withColumn("len", F.lit(1).cast("long")))
+    degrees = gr._degrees(arcs)
+    chains = gr.Chains(degrees)
+    # Eight of the ten nodes of a chain have one arc in and one out.
+    assert sum(written) <= 2.5 * (300 * 8 + 30)
+    assert chains.closed == 30
+    assert {(r.graph_id, r.component) for r in chains.rings.collect()} == {("ring", "r00")}
+    members = {r.node: (r.top, r.dist) for r in chains.members.collect()}
+    assert members == {f"c{k}n{i}": (f"c{k}n1", i - 1) for k in range(300) for i in range(1, 9)}
+
+
+@pytest.mark.parametrize("sizes", [(1,), (2, 3, 64), (100,)])
+def test_chains_of_larger_tables(spark, monkeypatch, sizes):
+    """The same ways when tables count as large: rounds join what is open with what was written."""
+    edges = [("g", f"s{k}n{i:03d}", f"s{k}n{i + 1:03d}", 1.0) for k, n in enumerate(sizes) for i in range(n + 1)]
+    edges += [("g", f"q{i:02d}", f"q{(i + 1) % 21:02d}", 1.0) for i in range(21)]
+    arcs = gr.cut(gr.arcs_of(spark.createDataFrame(edges, EDGES)).withColumn("len", F.lit(1).cast("long")))
+    degrees = gr._degrees(arcs)
+    degrees.tiny = False
+    chains = gr.Chains(degrees)
+    assert {r.node: (r.top, r.dist) for r in chains.members.collect()} == {f"s{k}n{i:03d}": (f"s{k}n001", i - 1) for k, n in enumerate(sizes) for i in range(1, n + 1)}
+    assert {(r.node, r.component) for r in chains.rings.collect()} == {(f"q{i:02d}", "q00") for i in range(21)}
