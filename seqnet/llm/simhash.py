@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqnet.llm.common import raw_text, sliced, without
+from seqnet.llm.common import raw_text, sliced, small_batches, without
 from seqnet.operators.graph import component_labels
 from seqnet.plans.lineage import Stage, cut, remove, write_table
 
@@ -53,7 +53,7 @@ STAR_ROUNDS, WORTHWHILE = 2, 0.9
 #: Buckets of shingle counts, a fixed 16 MB, and the parts in which they are added up; they order shingles, so they affect cost only.
 SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: Bytes of shingle sets that are compared together, at most about.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 POPCOUNT = np.array([bin(i).count("1") for i in range(1 << SUB_BITS)], dtype=np.uint8)
 
 
@@ -351,7 +351,9 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
     schema = "part int, packed binary"
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
-    for row in sets.select("shingles").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
+    with small_batches(sets.sparkSession):
+        parts = sets.select("shingles").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect()
+    for row in parts:
         out[row["part"]] = np.frombuffer(zlib.decompress(row["packed"]), np.uint32)
     return out.ravel()
 
@@ -408,7 +410,8 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity:
             good.append(common >= similarity * (len(left) + len(right) - common))
         return asked.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    out = write_table(dealt.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(run, "src bigint, dst bigint"))
+    with small_batches(sets.sparkSession):
+        out = write_table(dealt.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(run, "src bigint, dst bigint"))
     for stage in (weighed, wanted):
         remove(sets.sparkSession, stage.path)
     return out
@@ -531,9 +534,11 @@ def near_duplicates(
         found = write_table(links(classes, max_distance))
     else:
         by = "node"
-        sets = cut(shingle_sets(docs, id_col, text, width))
+        with small_batches(docs.sparkSession):
+            sets = cut(shingle_sets(docs, id_col, text, width))
         one = [F.min(c).alias(c) for c in ("row", "fp", "size", "prefix")]
-        classes = write_table(with_prefix(sets.df, similarity).groupBy("node").agg(F.min("doc_id").alias("first"), *one))
+        with small_batches(docs.sparkSession):
+            classes = write_table(with_prefix(sets.df, similarity).groupBy("node").agg(F.min("doc_id").alias("first"), *one))
         found = similar_links(classes, sets.df, similarity, max_distance)
         marks = write_table(sets.df.select("doc_id", "fp", "node"))
         remove(docs.sparkSession, sets.path)

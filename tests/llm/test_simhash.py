@@ -178,3 +178,21 @@ def test_equal_fingerprints_are_compared_too(spark, documents):
     for distance in (8, None):
         found = simhash.near_duplicates(documents(list(texts.items())), width=5, max_distance=distance, similarity=0.8).collect()
         assert {r["doc_id"]: r["component_id"] for r in found} == lead
+
+
+def test_sets_reach_workers_in_small_batches(spark, documents, monkeypatch):
+    """Shingle sets never cross to a worker by the thousand, and the session's setting is as it was."""
+    rows, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(rows)
+    for name in ("cut", "write_table"):
+        def noted(df, *args, _run=getattr(simhash, name), **options):
+            seen[tuple(df.columns)] = int(spark.conf.get(rows))
+            return _run(df, *args, **options)
+
+        monkeypatch.setattr(simhash, name, noted)
+    texts = near_copies()
+    simhash.near_duplicates(documents(list(texts.items())), width=5, max_distance=None, similarity=0.8).collect()
+    held = [n for columns, n in seen.items() if {"shingles", "prefix"} & set(columns)]
+    assert held and max(held) <= 500
+    assert spark.conf.get(rows) == before
+    assert simhash.BLOCK_BYTES <= 8 << 20
